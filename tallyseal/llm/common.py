@@ -167,7 +167,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def pages_sum(df: DataFrame, parts: int) -> DataFrame:
     """Sums little-endian uint32 pages (page int, part int, data binary) in a tree of 64 children a node."""
 
-    def fold(key, table: pa.Table) -> pa.Table:
+    def fold(key, table):
         total = None
         for x in table.column("data"):
             page = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
