@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, quality_rules
+from tallyseal.llm import jaccard_join, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
