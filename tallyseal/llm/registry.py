@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, quality_rules, substring_dedup
+from tallyseal.llm import jaccard_join, packing, quality_rules, substring_dedup
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "op1_pack": packing.op1_pack,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "pipeline": pipeline,
     }
 
 

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyseal.llm.common import Scratch, arrow_map, signed, span_hashes, text_slices, word_hashes, word_spans
 
@@ -236,9 +237,10 @@ def _rewrite(batches, window: int, texts: bool) -> Iterator[pa.RecordBatch]:
                 removed.append(n - int(keep.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if texts:
-                    kept_texts.append(kept.decode() if removed[-1] else None)
-        cols = [batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())] + ([pa.array(kept_texts, pa.string())] if texts else [])
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "n_words", "n_removed", "kept_sha256", *["kept"] * texts])
+                    kept_texts.append(kept if removed[-1] else raw[offs[k] : offs[k + 1]])
+        more = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names if k == "_row"}
+        cols = [batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())] + ([pa.array(kept_texts, pa.binary()).cast(pa.string())] if texts else [])
+        yield pa.RecordBatch.from_arrays([*cols, *more.values()], names=["key", "n_words", "n_removed", "kept_sha256", *["kept"] * texts, *more])
 
 
 def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments: int) -> DataFrame:
@@ -281,23 +283,24 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5000, texts: bool = False) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n_words, n_removed, kept_sha256[, kept]); kept is null where nothing was removed."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substring")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = keyed.select("doc_id")
-    plain = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    if plain:
-        keyed = keyed.withColumnRenamed("doc_id", "key")
+    """docs(doc_id, text, ...) to (doc_id, n_words, n_removed, kept_sha256).
+
+    With texts: all columns of docs and these four, text being what is kept; a text that loses nothing stays byte for byte.
+    """
+    scratch = Scratch(docs.sparkSession, "substring")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")] * texts)
+    if keyed.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        keyed = keyed.withColumn("key", F.col("doc_id"))
     else:  # ids that are no key: rows get numbers of their own in a written copy
         keyed = scratch.keep(keyed.withColumn("key", F.monotonically_increasing_id()), "numbered")
     hits = find_repeats(keyed.select("key", "text"), scratch, window, shard_segments)
-    joined = keyed.select("key", "text").join(hits.hint("shuffle_hash"), "key", "left")
-    schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    out = arrow_map(joined.select("key", "text", "hits"), lambda it: _rewrite(it, window, texts), schema)
-    if plain:
-        return out.withColumnRenamed("key", "doc_id")
-    return keyed.select("key", "doc_id").join(out, "key").drop("key")
+    own = keyed.select("key", "text", *["_row"] * texts, *([] if texts else [F.struct("doc_id").alias("_row")]))
+    joined = own.join(hits.hint("shuffle_hash"), "key", "left").select("key", "text", "hits", "_row")
+    schema = T.StructType.fromDDL("key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts).add(joined.schema["_row"])
+    out = arrow_map(joined, lambda it: _rewrite(it, window, texts), schema)
+    if not texts:
+        return out.select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select(*[F.col("kept").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns], *[c for c in ("n_words", "n_removed", "kept_sha256") if c not in docs.columns])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
