@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, packing, quality_rules, substring_dedup
+from tallyseal.llm import jaccard_join, lm_scoring, packing, quality_rules, substring_dedup, token_files, topk
 
 
 def pipeline(spark, sf_dir):
@@ -15,11 +15,14 @@ def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+        "op6_token_files": token_files.op6_token_files,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_topk": topk.op10_topk,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": topk.OP10_SQL}
