@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, lm_scoring, packing, quality_rules, substring_dedup, token_files, topk
+from tallyseal.llm import jaccard_join, license_scan, lm_scoring, media, packing, pieces, quality_rules, substring_dedup, token_files, topk
 
 
 def pipeline(spark, sf_dir):
@@ -15,14 +15,17 @@ def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_license_scan": license_scan.op3_license_scan,
+        "op4_media": media.op4_media,
         "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_token_files": token_files.op6_token_files,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_pieces": pieces.op9_pieces,
         "op10_topk": topk.op10_topk,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": topk.OP10_SQL}
+    return {"op3_license_scan": license_scan.sql(), "op10_topk": topk.OP10_SQL}
