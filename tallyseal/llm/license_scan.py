@@ -4,7 +4,8 @@ Units are the lines of a text and, where it has more than one line, the whole te
 (line 0). A unit is normalised (lower case, everything but letters and digits is one
 space) and becomes its set of word bigrams. A template is compared only if the sizes
 allow the threshold (2 min / (a + b) >= t) and the unit shares a bigram with any
-template. All of it is a projection and a filter of the scan: no shuffle, no Python.
+template; texts and units without a telling word of any template are left out before
+(those sizes allow so few missing bigrams that none of them can reach the threshold). All of it is a projection and a filter of the scan: no shuffle, no Python.
 
 Edge cases: null and empty texts and units of one word match nothing; null ids and
 repeated rows are carried through; of templates with equal coefficients the first
@@ -41,6 +42,18 @@ def bigram_set(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def telling_words(text: str, threshold: float) -> set[str]:
+    """Longest words of a template without any of which a unit can't reach the threshold: too many of the template's bigrams hold one of them."""
+    pairs = bigram_set(text)
+    spare = len(pairs) - len(pairs) * threshold / (2 - threshold)  # so many bigrams may be missing at most
+    words: set[str] = set()
+    for w in sorted(set(normalised_words(text)), key=lambda w: (-len(w), w)):
+        words.add(w)
+        if sum(not words.isdisjoint(p.split()) for p in pairs) > spare + 1e-9:
+            break
+    return words
+
+
 def _bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(pairs)
@@ -48,18 +61,28 @@ def _bigrams(words: Column) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, license, dice) for each unit with a template at the threshold or above; line 0 is the whole text."""
-    sets = {name: bigram_set(t) for name, t in sorted((templates or TEMPLATES).items())}
+    chosen = dict(sorted((templates or TEMPLATES).items()))
+    sets = {name: bigram_set(t) for name, t in chosen.items()}
     least = min(len(s) for s in sets.values()) * threshold / (2 - threshold)
-    clean = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split(clean, "\n", -1)
+    telling = sorted({w for t in chosen.values() for w in telling_words(t, threshold)})
+
+    def may_hold(x: Column) -> Column:
+        hold = F.lit(False)
+        for w in telling:
+            hold = hold | F.contains(x, F.lit(w))
+        return hold
+
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).where(may_hold(F.lower("_t")))
+    clean = rows.select(id_col, F.explode(F.array(F.regexp_replace(F.lower("_t"), r"[^\p{L}\p{N}\n]+", " "))).alias("clean"))
+    lines = F.split("clean", "\n", -1)
     units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
-    whole = F.array(F.struct(F.lit(0).alias("line"), F.translate(clean, "\n", " ").alias("t")))
-    each = docs.select(F.col(id_col), F.explode(F.when(F.size(lines) > 1, F.concat(units, whole)).otherwise(units)).alias("u"))
-    words = F.filter(F.split(F.col("u.t"), " ", -1), lambda w: w != "")
-    worded = each.select(id_col, F.col("u.line").alias("line"), words.alias("w")).where(F.size("w") > F.lit(max(1.0, least)))
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.translate("clean", "\n", " ").alias("t")))
+    each = clean.select(id_col, F.explode(F.when(F.contains("clean", F.lit("\n")), F.concat(units, whole)).otherwise(units)).alias("u")).where(may_hold(F.col("u.t")))
+    # explode(array(x)) computes x once however often it is used above
+    worded = each.select(id_col, F.col("u.line").alias("line"), F.explode(F.array(F.filter(F.split(F.col("u.t"), " ", -1), lambda w: w != ""))).alias("w")).where(F.size("w") > F.lit(max(1.0, least)))
     known = sorted({b for s in sets.values() for b in s})
-    held = worded.select(id_col, "line", _bigrams(F.col("w")).alias("b"))
-    near = held.withColumn("shared", F.array_intersect("b", F.array(*map(F.lit, known)))).where(F.size("shared") > 0)
+    held = worded.select(id_col, "line", F.explode(F.array(_bigrams(F.col("w")))).alias("b"))
+    near = held.select(id_col, "line", "b", F.explode(F.array(F.array_intersect("b", F.array(*map(F.lit, known))))).alias("shared")).where(F.size("shared") > 0)
 
     n = F.size("b").cast("double")
 
@@ -71,7 +94,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold:
         return F.when(possible, F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
     best = F.reduce(F.array(*[dice(name) for name in sets]), F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), F.coalesce(x, a)).otherwise(a))
-    found = near.select(id_col, "line", best.alias("best")).where(F.col("best.dice") >= threshold)
+    found = near.select(id_col, "line", F.explode(F.array(best)).alias("best")).where(F.col("best.dice") >= threshold)
     return found.select(id_col, "line", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
 
 
