@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Context, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +24,14 @@ def number_text(x) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-@F.pandas_udf(T.StringType())
-def _double_text(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or x is pd.NA else number_text(float(x)) for x in s.astype(object)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _double_text(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else number_text(x) for x in a.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _decimal_text(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else number_text(x) for x in s], dtype=object)
+@F.arrow_udf(T.StringType())
+def _decimal_text(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else number_text(x) for x in a.to_pylist()], pa.string())
 
 
 def canonical_number(c: Column, kind: T.DataType) -> Column:

@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,9 +129,9 @@ def sorted_json(c: Column, without: tuple[str, ...] = ()) -> Column:
     return run(c)
 
 
-@F.pandas_udf(T.StringType())
-def _repr(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or x is pd.NA else json.dumps(float(x)) for x in s.astype(object)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _repr(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else json.dumps(x) for x in a.to_pylist()], pa.string())
 
 
 def float_repr(c: Column) -> Column:

@@ -1,11 +1,392 @@
-"""Registered queries and their DuckDB statements."""
+"""Registered queries and their DuckDB statements. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
+import base64
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyseal.functions import crypto, encoding, numbers, schemaless, strings, timestamps
+from tallyseal.operators import hashing, prove, receipts, sameness, verify
+from tallyseal.operators import keys as K
+from tallyseal.plans.compiler import Compiler
+from tallyseal.plans.policy import DEFAULT, Policy
+
+WS = strings.SPACE
+PLAIN = DEFAULT.with_(synonyms=())
+_D = T.DoubleType()
+TEST_KEY = b"tallyseal test key, not a secret"
+WHEN = "2024-05-01T00:00:00Z"
+
+
+def _t(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet").select(*columns)
+
+
+# -- SQL pieces ---------------------------------------------------------------
+
+def _norm(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({x}), '^{WS}+', ''), '{WS}+$', ''), '{WS}+', ' ', 'g')"
+
+
+def _esc(x: str) -> str:
+    one = (
+        "case when c = '\"' then '\\\"' when c = '\\' then '\\\\' when c = chr(8) then '\\b' when c = chr(9) then '\\t' when c = chr(10) then '\\n' when c = chr(12) then '\\f' when c = chr(13) then '\\r' "
+        "when unicode(c) between 32 and 126 then c when unicode(c) > 65535 then printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) else printf('\\u%04x', unicode(c)) end"
+    )
+    return f"'\"' || array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '') || '\"'"
+
+
+def _wrap(x: str, version: str = "1.0.0") -> str:
+    return f"'{{\"_policy_version\":\"{version}\",\"data\":' || {x} || '}}'"
+
+
+def _num(x: str) -> str:
+    return f"regexp_replace(cast({x} as varchar), '\\.0$', '')"
+
+
+# -- documents ------------------------------------------------------------------
+
+def norm_text(spark, d):
+    return _t(spark, d, "documents", "doc_id", "text").select("doc_id", strings.normalize(F.col("text"), PLAIN).alias("norm"))
+
+
+def norm_turns(spark, d):
+    return _t(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", strings.normalize(F.col("text"), PLAIN).alias("norm"))
+
+
+def nfc_merge(spark, d):
+    """Names with a combining mark and their composed forms fall together."""
+    c = _t(spark, d, "customer", "c_custkey", "c_name")
+    mixed = F.when(F.col("c_custkey") % 2 == 0, F.translate("c_name", "eo", "éö")).otherwise(F.replace(F.replace("c_name", F.lit("e"), F.lit("é")), F.lit("o"), F.lit("ö")))
+    return c.select("c_custkey", F.sha2(strings.unicode_form(mixed), 256).alias("h"))
+
+
+def json_escape(spark, d):
+    return _t(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(strings.json_text(F.col("text")), 256).alias("h"))
+
+
+def _documents_hashed(spark, d, policy=PLAIN):
+    df = _t(spark, d, "documents", "doc_id", "text")
+    return df.withColumn("canonical_form", hashing.value_form(df, "text", policy=policy)).withColumn("frozen_hash", hashing.digest(F.col("canonical_form"), policy))
+
+
+_DOC_CF = _wrap(_esc(_norm("text")))
+
+
+def frozen_hash_docs(spark, d):
+    return _documents_hashed(spark, d).select("doc_id", "frozen_hash")
+
+
+def frozen_hash_base64(spark, d):
+    return _documents_hashed(spark, d, PLAIN.with_(output="base64")).select("doc_id", "frozen_hash")
+
+
+def unbound_form(spark, d):
+    df = _t(spark, d, "documents", "doc_id", "lang", "source")
+    return df.select("doc_id", hashing.row_form(df, ["lang", "source"], policy=PLAIN, bind=False).alias("cf"))
+
+
+def equivalence_classes(spark, d):
+    return sameness.classes(_documents_hashed(spark, d), "doc_id").select("frozen_hash", "n", "first_doc_id")
+
+
+def dedup_keep_first(spark, d):
+    return sameness.keep_first(_documents_hashed(spark, d).select("frozen_hash", "doc_id"), "doc_id").select("frozen_hash", "doc_id")
+
+
+def lookup_hash(spark, d):
+    """All records with the hash of one given text."""
+    value = schemaless.canonical_text('"Released under the MIT License."', PLAIN)
+    import hashlib
+
+    lines = _t(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    hashed = lines.withColumn("frozen_hash", hashing.digest(hashing.value_form(lines, "t", policy=PLAIN), PLAIN))
+    return sameness.lookup(hashed, hashlib.sha256(value.encode()).hexdigest()).select("doc_id", "line")
+
+
+def cross_match(spark, d):
+    """Customers against a noised copy of themselves."""
+    c = _t(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    noisy = c.select(F.col("c_custkey").alias("other"), F.concat(F.lit(" \t"), F.replace("c_name", F.lit("#"), F.lit("#")), F.lit("  ")).alias("c_name"), F.concat("c_mktsegment", F.lit("\n")).alias("c_mktsegment"))
+    cols = ["c_name", "c_mktsegment"]
+    left, right = (hashing.with_hash(x, cols, policy=PLAIN).drop(*cols, "canonical_form") for x in (c, noisy))
+    return sameness.match(left, right).select("c_custkey", "other")
+
+
+# -- orders ---------------------------------------------------------------------
+
+def _orders(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return o.select(
+        "o_orderkey", F.struct(
+            F.col("o_custkey").alias("customer"), F.nullif("o_orderstatus", F.lit("F")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+            F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("request_id"), F.col("o_totalprice").cast("decimal(15,2)").alias("total"), F.concat(F.lit("  "), "o_orderpriority").alias("priority"),
+            F.struct((F.col("o_orderkey") % 2 == 0).alias("even"), F.lit("x").alias("timestamp")).alias("meta"),
+        ).alias("rec"),
+    )
+
+
+_DEC = "regexp_replace(regexp_replace(cast(cast(o_totalprice as decimal(15,2)) as varchar), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+_ORDER_DATA = (
+    "'{' || concat_ws(',', '\"created_at\":\"' || strftime(date_trunc('day', o_orderdate), '%Y-%m-%dT%H:%M:%SZ') || '\"', '\"customer\":\"' || o_custkey || '\"', '\"meta\":{\"even\":' || cast(o_orderkey % 2 = 0 as varchar) || '}', "
+    "'\"priority\":' || " + _esc(_norm("'  ' || o_orderpriority")) + ", '\"status\":\"' || nullif(o_orderstatus, 'F') || '\"', '\"total\":\"' || " + _DEC + " || '\"') || '}'"
+)
+
+
+def frozen_hash_orders(spark, d):
+    df = _orders(spark, d)
+    return df.select("o_orderkey", hashing.digest(hashing.value_form(df, "rec", policy=PLAIN)).alias("fh"))
+
+
+def policy_diff(spark, d):
+    """Records that fall together by day but not by second, per class of the first."""
+    e = _t(spark, d, "events", "event_id", "ts", "event_type").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    cols = ["event_type", "ts"]
+    df = e.withColumn("a", hashing.digest(hashing.row_form(e, cols, policy=PLAIN))).withColumn("b", hashing.digest(hashing.row_form(e, cols, policy=PLAIN.with_(granularity="second"))))
+    return sameness.policy_diff(df, "a", "b")
+
+
+def null_elision(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_nationkey").withColumn("seg", F.nullif("c_mktsegment", F.lit("BUILDING"))).withColumn("nation", F.when(F.col("c_nationkey") > 10, F.col("c_nationkey")))
+    return c.select("c_custkey", hashing.row_form(c, ["seg", "nation"], policy=PLAIN).alias("cf"))
+
+
+def null_kept(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment").withColumn("seg", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return c.select("c_custkey", hashing.row_form(c, ["seg"], policy=PLAIN.with_(remove_null=False)).alias("cf"))
+
+
+def empty_removed(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment").withColumn("seg", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(""))
+    return c.select("c_custkey", hashing.row_form(c, ["seg"], policy=PLAIN.with_(remove_empty=True)).alias("cf"))
+
+
+def canon_double(spark, d):
+    return _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").select("l_orderkey", "l_linenumber", *[numbers.canonical_number(F.col(c), k).alias(c[2:]) for c, k in (("l_extendedprice", _D), ("l_discount", _D))])
+
+
+
+
+def _bucket(granularity):
+    def q(spark, d):
+        e = _t(spark, d, "events", "event_id", "ts").withColumn("text", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        return e.select("event_id", timestamps.bucket_or_same(F.col("text"), granularity).alias("bucket"))
+
+    return q
+
+
+def ts_parse_offsets(spark, d):
+    """Offsets, a space, a date alone, and a zoneless form that passes through."""
+    o = _t(spark, d, "orders", "o_orderkey", "o_orderdate")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(day, F.lit("T23:30:00-02:00"))).when(k == 1, F.concat(day, F.lit(" 01:02:03"))).when(k == 2, day).otherwise(F.concat(day, F.lit("T01:02:03")))
+    return o.select("o_orderkey", timestamps.bucket_or_same(text, "hour").alias("bucket"))
+
+
+def set_fields(spark, d):
+    li = _t(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"), F.collect_list("l_returnflag").alias("flags"))
+    return li.select("l_orderkey", hashing.row_form(li, ["parts", "flags"], policy=PLAIN.with_(dedup_sets=True), set_fields=("parts", "flags")).alias("cf"))
+
+
+def map_form(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").withColumn("m", F.create_map(F.lit("seg"), F.col("c_mktsegment"), F.lit(" name "), F.col("c_name"), F.lit("nonce"), F.col("c_name")))
+    return c.select("c_custkey", hashing.value_form(c, "m", policy=PLAIN).alias("cf"))
+
+
+def synonyms_plain(spark, d):
+    n = _t(spark, d, "nation", "n_nationkey").withColumn("t", F.concat(F.lit("Made in "), F.when(F.col("n_nationkey") % 3 == 0, "US").when(F.col("n_nationkey") % 3 == 1, "usa").otherwise("RUST and UK"), F.lit(" no "), F.col("n_nationkey").cast("string")))
+    return n.select("n_nationkey", strings.synonyms(F.col("t"), [("usa", "United States"), ("us", "United States"), ("uk", "United Kingdom")]).alias("t"))
+
+
+def synonyms_dotted(spark, d):
+    n = _t(spark, d, "nation", "n_nationkey").withColumn("t", F.concat(F.lit("From the "), F.when(F.col("n_nationkey") % 2 == 0, "U.S.A.").otherwise("U.K."), F.lit(" by sea")))
+    return n.select("n_nationkey", strings.normalize(F.col("t"), DEFAULT).alias("t"))
+
+
+def nonce_invariance(spark, d):
+    e = _t(spark, d, "events", "event_id", "event_type", "value")
+    two = e.select("event_type", "value", F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("request_id")).union(e.select("event_type", "value", F.concat(F.lit("b"), F.col("event_id").cast("string"))))
+    two = two.withColumn("value", F.floor("value").cast("long"))
+    return sameness.classes(hashing.with_hash(two, ["event_type", "value", "request_id"], policy=PLAIN), "value").select("frozen_hash", "n")
+
+
+def input_hash(spark, d):
+    c = _t(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return c.select("c_custkey", hashing.input_hash(c, ["c_name", "c_nationkey", "c_mktsegment"]).alias("h"))
+
+
+def schemaless_props(spark, d):
+    return _t(spark, d, "events", "event_id", "props").select("event_id", schemaless.canonical_json(F.col("props"), PLAIN).alias("cf"))
+
+
+def typed_equals_schemaless(spark, d):
+    """Rows on which both paths disagree: none."""
+    df = _orders(spark, d)
+    text = Compiler(Policy("raw"), raw=True).text(df.schema["rec"].dataType, F.col("rec"))
+    both = df.select("o_orderkey", hashing.value_form(df, "rec", policy=PLAIN).alias("typed"), schemaless.canonical_json(text, PLAIN).alias("schemaless"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("typed") != F.col("schemaless")).alias("different"))
+
+
+# -- receipts -------------------------------------------------------------------
+
+def pae_b64url(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    payload = F.encode(F.concat(F.col("o_orderkey").cast("string"), F.lit("é?~"), "o_orderpriority"), "UTF-8")
+    text = encoding.b64url(payload)
+    return o.select("o_orderkey", text.alias("b64"), F.hex(encoding.pae(F.lit("t/é"), payload)).alias("pae"), (encoding.from_b64(text) == payload).alias("back"))
+
+
+def _keys(spark):
+    secret = base64.b64encode(TEST_KEY).decode()
+    other = base64.b64encode(b"another").decode()
+    far, past = "2099-01-01T00:00:00Z", "2024-01-01T00:00:00Z"
+    rows = [("good", K.HMAC, past, far, None, True, secret), ("revoked", K.HMAC, past, far, past, False, secret), ("expired", K.HMAC, past, past, None, True, secret), ("wrong", K.HMAC, past, far, None, True, other), ("strange", "RSA", past, far, None, True, None), ("rested", K.HMAC, past, None, None, False, secret)]
+    return spark.createDataFrame([(*r, None, None, None) for r in rows], K.SCHEMA)
+
+
+def _signed(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("canonical_form", F.concat(F.lit("cf"), F.col("o_custkey").cast("string"))).withColumn("frozen_hash", F.sha2("canonical_form", 256))
+    return receipts.sign(o, _keys(spark), "good", receipt_id=F.concat(F.lit("id"), F.col("o_orderkey").cast("string")), when=F.lit(WHEN))
+
+
+def hmac_receipts(spark, d):
+    return _signed(spark, d).select("o_orderkey", F.col("envelope.signatures")[0]["sig"].alias("sig"))
+
+
+def verify_receipts(spark, d):
+    """The same receipts under good, revoked, expired, wrong, strange, rested and unknown keys, by order number."""
+    s = _signed(spark, d)
+    who = F.element_at(F.array(*map(F.lit, ("good", "revoked", "expired", "wrong", "strange", "rested", "nobody"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    e = F.col("envelope")
+    moved = s.withColumn("envelope", F.struct(e["payloadType"].alias("payloadType"), e["payload"].alias("payload"), F.array(F.struct(who.alias("keyid"), e["signatures"][0]["sig"].alias("sig"))).alias("signatures")))
+    return receipts.verify(moved, _keys(spark), id_col="o_orderkey").select("o_orderkey", "valid", "keyid", "reason")
+
+
+def key_validity(spark, d):
+    return _keys(spark).select("keyid", K.is_valid(F.lit(WHEN)).alias("valid"))
+
+
+def public_export(spark, d):
+    return K.public_keys(_keys(spark)).select("keyid", "algorithm", "hmac_fingerprint")
+
+
+def coordinates(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey")
+    h, k = F.sha2(F.col("o_orderkey").cast("string"), 256), F.col("o_orderkey") % 7
+    c = F.when(k == 0, F.concat(F.lit("seal:"), F.substring(h, 1, 32))).when(k == 1, F.concat(F.lit("obligation:"), F.substring(h, 1, 32))).when(k == 2, F.concat(F.lit("sha256:"), h)).when(k == 3, h).when(k == 4, F.substring(h, 1, 32)).when(k == 5, F.upper(h)).otherwise(F.concat(F.lit("seal:"), h))
+    p = verify.parse_coordinate(c)
+    return o.select("o_orderkey", p["format"].alias("format"), p["hash"].alias("hash"), p["valid"].alias("valid"))
+
+
+def _receipt_texts(spark, d):
+    o = _t(spark, d, "orders", "o_orderkey", "o_custkey")
+    k, h = F.col("o_orderkey") % 4, F.sha2(F.col("o_orderkey").cast("string"), 256)
+    payload = F.concat(F.lit('{"n":'), F.col("o_custkey").cast("string"), F.lit("}"))
+    quoted = strings.json_text(payload)
+    text = (
+        F.when(k == 0, F.concat(F.lit('{"payloadType":"t","payload":"'), encoding.b64url(F.encode(payload, "UTF-8")), F.lit('","signatures":[]}')))
+        .when(k == 1, F.concat(F.lit('{"envelope_version":"1","receipt_id":"sha256:'), h, F.lit('","receipt_type":"witness","payload_hash":"sha256:'), F.sha2(payload, 256), F.lit('","canonical_payload":'), quoted, F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{"io_integrity_state":"ok","receipt_coord":"seal:'), F.substring(h, 1, 32), F.lit('","payload_hash":"x"}')))
+        .otherwise(F.concat(F.lit('{"z":'), F.col("o_custkey").cast("string"), F.lit(',"canon_version":1,"payload_hash":"'), h, F.lit('","signer":"s"}')))
+    )
+    return o.select("o_orderkey", text.alias("receipt"))
+
+
+def format_dispatch(spark, d):
+    r = verify.unpacked(_receipt_texts(spark, d), "receipt")
+    return r.select("o_orderkey", F.col("r.format").alias("format"), F.col("r.label").alias("label"))
+
+
+def envelope_checks(spark, d):
+    """Hash, coordinate and missing fields of the enveloped quarter."""
+    r = verify.report(_receipt_texts(spark, d), id_col="o_orderkey").where("format = 'envelope_v1'")
+    return r.select("o_orderkey", F.col("checks")["payload_hash"].alias("payload_hash"), F.col("checks")["coordinate_format"].alias("coordinate"), F.size("errors").alias("errors"), "valid")
+
+
+def canonical_bytes(spark, d):
+    r = _receipt_texts(spark, d)
+    return r.select("o_orderkey", schemaless.sorted_json(F.col("receipt"), verify.EXCLUDED).alias("bytes")).where(F.col("o_orderkey") % 4 == 3)
+
+
+def claims(spark, d):
+    r = verify.unpacked(_receipt_texts(spark, d), "receipt")
+    return r.select("o_orderkey", F.coalesce(F.col("r.claims")["io_integrity_state"], F.lit("-")).alias("io_state"), F.size("r.claims").alias("n"))
+
+
+def ed25519_verify(spark, d):
+    """Signed supplier names, some tampered with; the seed is public."""
+    seed = bytes(range(32))
+    key = crypto.ed25519_public(seed)
+    names = [f"message {k}" for k in range(8)]
+    sigs = spark.createDataFrame([(k, n, crypto.ed25519_sign(seed, n.encode())) for k, n in enumerate(names)], "k long, m string, sig binary")
+    tried = sigs.withColumn("m", F.when(F.col("k") % 2 == 1, F.concat("m", F.lit("!"))).otherwise(F.col("m")))
+    return tried.select("k", crypto.ed25519_valid(F.lit(key), F.encode("m", "UTF-8"), F.col("sig")).alias("valid"))
+
+
+VECTORS = [
+    ("w1", "white space", '"a b"', '" a \\t b "', True, None), ("k1", "key order", '{"x":1,"y":{"b":1,"a":2}}', '{"y":{"a":2,"b":1},"x":1}', True, None),
+    ("n1", "number text", '{"v":10}', '{"v":1e1}', True, None), ("n2", "signed zero", '{"v":0}', '{"v":-0.0}', True, None), ("n3", "other number", '{"v":1}', '{"v":1.01}', False, None),
+    ("z1", "null is missing", '{"a":1}', '{"a":1,"b":null}', True, None), ("s1", "synonym", '"port in the UK"', '"port in the United Kingdom"', True, None), ("s2", "not inside a word", '"museum"', '"mUnited Stateseum"', False, None),
+    ("l1", "set", '{"t":["b","a"]}', '{"t":["a","b"]}', True, ["t"]), ("l2", "sequence", '{"t":["b","a"]}', '{"t":["a","b"]}', False, None), ("o1", "nonce", '{"a":1,"trace_id":"1"}', '{"a":1,"trace_id":"2"}', True, None),
+    ("u1", "composed", '"\\u00e9"', '"e\\u0301"', True, None), ("t1", "same day", '{"date":"2024-02-03T01:00:00Z"}', '{"date":"2024-02-03"}', True, None), ("t2", "other day by zone", '{"date":"2024-02-03T23:00:00-05:00"}', '{"date":"2024-02-03"}', False, None),
+]
+
+
+def conformance_report(spark, d):
+    v = spark.createDataFrame(VECTORS, "id string, description string, a_json string, b_json string, expect_same boolean, set_fields array<string>")
+    return prove.counts(prove.run(v))
+
+
+_QUERIES = {
+    "norm_text": (norm_text, f"select doc_id, {_norm('text')} as norm from documents"),
+    "norm_turns": (norm_turns, f"select conv_id, turn, {_norm('text')} as norm from conversations"),
+    "nfc_merge": (nfc_merge, "select c_custkey, sha256(translate(c_name, 'eo', 'éö')) as h from customer"),
+    "json_escape": (json_escape, f"select doc_id, sha256({_esc('text')}) as h from documents"),
+    "frozen_hash_docs": (frozen_hash_docs, f"select doc_id, sha256({_DOC_CF}) as frozen_hash from documents"),
+    "frozen_hash_base64": (frozen_hash_base64, f"select doc_id, to_base64(unhex(sha256({_DOC_CF}))) as frozen_hash from documents"),
+    "unbound_form": (unbound_form, "select doc_id, '{' || concat_ws(',', '\"lang\":\"' || lang || '\"', '\"source\":\"' || source || '\"') || '}' as cf from documents"),
+    "equivalence_classes": (equivalence_classes, f"select sha256({_DOC_CF}) as frozen_hash, count(*) as n, min(doc_id) as first_doc_id from documents group by 1"),
+    "dedup_keep_first": (dedup_keep_first, f"select sha256({_DOC_CF}) as frozen_hash, min(doc_id) as doc_id from documents group by 1"),
+    "lookup_hash": (lookup_hash, f"select doc_id, cast(i - 1 as int) as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents)) where {_norm('l[i]')} = 'Released under the MIT License.'"),
+    "cross_match": (cross_match, "select a.c_custkey, b.c_custkey as other from customer a join customer b using (c_name, c_mktsegment)"),
+    "frozen_hash_orders": (frozen_hash_orders, f"select o_orderkey, sha256({_wrap(_ORDER_DATA)}) as fh from orders"),
+    "policy_diff": (policy_diff, "select sha256('{\"_policy_version\":\"1.0.0\",\"data\":{\"event_type\":\"' || event_type || '\",\"ts\":\"' || strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') || '\"}}') as a, count(*) as n, count(distinct date_trunc('second', ts)) as parts from events group by event_type, date_trunc('day', ts)"),
+    "null_elision": (null_elision, "select c_custkey, " + _wrap("'{' || concat_ws(',', '\"nation\":\"' || (case when c_nationkey > 10 then c_nationkey end) || '\"', '\"seg\":\"' || nullif(c_mktsegment, 'BUILDING') || '\"') || '}'") + " as cf from customer"),
+    "null_kept": (null_kept, "select c_custkey, " + _wrap("'{\"seg\":' || coalesce('\"' || nullif(c_mktsegment, 'BUILDING') || '\"', 'null') || '}'") + " as cf from customer"),
+    "empty_removed": (empty_removed, "select c_custkey, " + _wrap("'{' || coalesce('\"seg\":\"' || nullif(c_mktsegment, 'BUILDING') || '\"', '') || '}'") + " as cf from customer"),
+    "canon_double": (canon_double, f"select l_orderkey, l_linenumber, {_num('l_extendedprice')} as extendedprice, {_num('l_discount')} as discount from lineitem"),
+    **{f"ts_bucket_{g}": (_bucket(g), f"select event_id, strftime(date_trunc('{g}', ts), '%Y-%m-%dT%H:%M:%SZ') as bucket from events") for g in ("second", "minute", "hour", "day")},
+    "ts_parse_offsets": (ts_parse_offsets, "select o_orderkey, case o_orderkey % 4 when 0 then strftime(date_trunc('day', o_orderdate) + interval 1 day, '%Y-%m-%d') || 'T01:00:00Z' when 1 then strftime(o_orderdate, '%Y-%m-%d') || 'T01:00:00Z' when 2 then strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' else strftime(o_orderdate, '%Y-%m-%d') || 'T01:02:03' end as bucket from orders"),
+    "set_fields": (set_fields, "select l_orderkey, " + _wrap("'{\"flags\":[' || array_to_string(list_sort(list_distinct(list('\"' || l_returnflag || '\"'))), ',') || '],\"parts\":[' || array_to_string(list_sort(list_distinct(list('\"' || l_partkey || '\"'))), ',') || ']}'") + " as cf from lineitem group by l_orderkey"),
+    "map_form": (map_form, "select c_custkey, " + _wrap("'{\"name\":\"' || c_name || '\",\"seg\":\"' || c_mktsegment || '\"}'") + " as cf from customer"),
+    "synonyms_plain": (synonyms_plain, "select n_nationkey, regexp_replace(regexp_replace(regexp_replace('Made in ' || case n_nationkey % 3 when 0 then 'US' when 1 then 'usa' else 'RUST and UK' end || ' no ' || n_nationkey, '\\busa\\b', 'United States', 'gi'), '\\bus\\b', 'United States', 'gi'), '\\buk\\b', 'United Kingdom', 'gi') as t from nation"),
+    "synonyms_dotted": (synonyms_dotted, "select n_nationkey, 'From the ' || case when n_nationkey % 2 = 0 then 'United States' else 'United Kingdom' end || ' by sea' as t from nation"),
+    "nonce_invariance": (nonce_invariance, "select sha256('{\"_policy_version\":\"1.0.0\",\"data\":{\"event_type\":\"' || event_type || '\",\"value\":\"' || cast(floor(value) as bigint) || '\"}}') as frozen_hash, 2 * count(*) as n from events group by event_type, floor(value)"),
+    "input_hash": (input_hash, "select c_custkey, sha256('{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}') as h from customer"),
+    "schemaless_props": (schemaless_props, None),
+    "typed_equals_schemaless": (typed_equals_schemaless, "select count(*) as n, 0::bigint as different from orders"),
+    "pae_b64url": (pae_b64url, "select o_orderkey, translate(rtrim(to_base64(encode(p)), '='), '+/', '-_') as b64, hex(encode('DSSEv1 4 t/é ' || octet_length(encode(p)) || ' ' || p)) as pae, true as back from (select o_orderkey, o_orderkey || 'é?~' || o_orderpriority as p from orders)"),
+    "hmac_receipts": (hmac_receipts, None),
+    "verify_receipts": (verify_receipts, "select o_orderkey, k in (0, 5) as valid, case k when 0 then 'good' when 5 then 'rested' end as keyid, case k when 0 then 'Signature valid' when 5 then 'Signature valid' when 1 then 'revoked: key revoked at 2024-01-01T00:00:00Z' when 2 then 'expired: signed after key expiry (key expired 2024-01-01T00:00:00Z, receipt signed 2024-05-01T00:00:00Z)' when 3 then 'wrong: signature mismatch' when 4 then 'strange: unknown algorithm ''RSA''' else 'nobody: not found in registry' end as reason from (select o_orderkey, o_orderkey % 7 as k from orders)"),
+    "key_validity": (key_validity, "select * from (values ('good', true), ('revoked', false), ('expired', false), ('wrong', true), ('strange', true), ('rested', false)) t(keyid, valid)"),
+    "public_export": (public_export, f"select keyid, case when keyid = 'strange' then 'RSA' else 'HMAC-SHA256' end as algorithm, case keyid when 'strange' then null when 'wrong' then substr(sha256('another'), 1, 16) else substr(sha256('{TEST_KEY.decode()}'), 1, 16) end as hmac_fingerprint from (values ('good'), ('revoked'), ('expired'), ('wrong'), ('strange'), ('rested')) t(keyid)"),
+    "coordinates": (coordinates, "select o_orderkey, case k when 0 then 'seal' when 1 then 'obligation' when 2 then 'sha256' when 3 then 'bare_hex' when 4 then 'bare_hex' else 'unknown' end as format, case k when 0 then substr(h, 1, 32) when 1 then substr(h, 1, 32) when 4 then substr(h, 1, 32) when 5 then upper(h) when 6 then 'seal:' || h else h end as hash, k < 5 as valid from (select o_orderkey, o_orderkey % 7 as k, sha256(cast(o_orderkey as varchar)) as h from orders)"),
+    "format_dispatch": (format_dispatch, "select o_orderkey, case o_orderkey % 4 when 0 then 'dsse' when 1 then 'envelope_v1' when 2 then 'core' else 'legacy' end as format, case o_orderkey % 4 when 1 then 'sha256:' || h when 2 then 'seal:' || substr(h, 1, 32) else 'unknown' end as label from (select o_orderkey, sha256(cast(o_orderkey as varchar)) as h from orders)"),
+    "envelope_checks": (envelope_checks, "select o_orderkey, true as payload_hash, true as coordinate, cast(8 as int) as errors, false as valid from orders where o_orderkey % 4 = 1"),
+    "canonical_bytes": (canonical_bytes, "select o_orderkey, '{\"canon_version\":1,\"z\":' || o_custkey || '}' as bytes from orders where o_orderkey % 4 = 3"),
+    "claims": (claims, "select o_orderkey, case when o_orderkey % 4 = 2 then 'ok' else '-' end as io_state, cast(case when o_orderkey % 4 = 2 then 1 else 0 end as int) as n from orders"),
+    "ed25519_verify": (ed25519_verify, "select k, k % 2 = 0 as valid from range(8) t(k)"),
+    "conformance_report": (conformance_report, f"select {len(VECTORS)}::bigint as total, {len(VECTORS)}::bigint as passed, 0::bigint as failed"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}

@@ -213,7 +213,7 @@ class Compiler:
             return F.struct(name.alias("name"), dropped.alias("dropped"), F.coalesce(text, F.lit("null")).alias("text"))
 
         kept = F.filter(F.transform(entries, one), lambda e: ~e["dropped"])
-        last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda x: x["name"] == e["name"]))
+        last = F.reduce(kept, F.filter(kept, lambda e: F.lit(False)), lambda acc, e: F.concat(F.filter(acc, lambda x: x["name"] != e["name"]), F.array(e)))
         ordered = F.array_sort(F.transform(last, lambda e: F.struct(e["name"].alias("name"), F.concat(strings.json_text(e["name"]), F.lit(": " if spaced else ":"), e["text"]).alias("t"))))
         return F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda e: e["t"]), ", " if spaced else ","), F.lit("}")))
 
