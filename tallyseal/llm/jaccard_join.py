@@ -316,7 +316,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     tokens = sets.where("tokens is not null").select("sid", F.explode("tokens").alias("tok"))
     hubs = tokens.groupBy("tok").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).where("hub != top").select("tok", "hub")
     stars = tokens.join(hubs, "tok").where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    coarse = scratch.keep(components(scratch.keep(stars, "stars"), scratch), "coarse")
+    stars = scratch.keep(stars, "stars")
+    scratch.sweep()
+    coarse = scratch.keep(components(stars, scratch), "coarse")
+    scratch.drop(stars)
 
     # one document stands for each set of a coarse group, and its whole text is read again
     who = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -359,6 +362,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
         again = pair.where("bin != bin2 or cut != cut2").select("grp", F.col("bin2"), F.col("cut2"), "bin", "cut")
         second = bins.withColumnsRenamed({"bin": "bin2", "cut": "cut2"}).join(again, ["grp", "bin2", "cut2"]).select(key, F.lit(1).alias("side"), "sid", "n", "data")
         links = scratch.keep(solve(small).union(solve(first.union(second).withColumnRenamed("pair", "grp"))), "links")
+    scratch.sweep()
     fine = components(links, scratch)
     least = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(fine.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

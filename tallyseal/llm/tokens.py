@@ -10,11 +10,23 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 _GLUED = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_LATIN = re.compile("[\x00-\u024f]*").fullmatch
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 class ChunkEncoder:
@@ -41,6 +53,14 @@ class ChunkEncoder:
             self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, k in spec["model"]["vocab"].items():
                 self.widths[k] = len(token)  # one character a byte
+        self.pieces = None
+        if drops_space:
+            import regex
+
+            kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
+            split = spec["pre_tokenizer"]["pretokenizers"][0]
+            if kinds == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"]:
+                self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self._clear()
 
     def _clear(self) -> None:
@@ -48,6 +68,7 @@ class ChunkEncoder:
         self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.count = 0
+        self.piece_ids: dict[str, list[int]] = {}
 
     def _store(self, chunks: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         n, m = len(chunks), len(ids)
@@ -69,6 +90,9 @@ class ChunkEncoder:
         if self.widths is not None:  # chunks that begin with a space and end without one break off by themselves
             joint = [c for c in chunks if c[:1] == b" " and not c[-1:].isspace() and len(c) <= self.LONG]
             apart = [c for c in chunks if not (c[:1] == b" " and not c[-1:].isspace() and len(c) <= self.LONG)]
+        elif self.pieces is not None:
+            apart = []
+            self._learn_pieces(chunks, apart)
         else:
             apart = chunks
         for i in range(0, len(joint), 4000):
@@ -81,6 +105,26 @@ class ChunkEncoder:
             got = [e.ids for e in encode([c.decode() for c in part], add_special_tokens=False)]
             self._store(part, np.array([k for x in got for k in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
+    def _learn_pieces(self, chunks: list[bytes], rest: list[bytes]) -> None:
+        """Chunks of letters below U+0250 by the words that the tokenizer's own pattern finds in them, each given to its model once; other chunks go to rest."""
+        known, tokenize = self.piece_ids, self.tokenizer.model.tokenize
+        done, flat, lens = [], [], []
+        for c in chunks:
+            text = c.decode()
+            if not text.isascii() and not _LATIN(text) or len(c) > self.LONG:
+                rest.append(c)
+                continue
+            n = len(flat)
+            for piece in self.pieces(unicodedata.normalize("NFC", text).lower()):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+                flat += ids
+            done.append(c)
+            lens.append(len(flat) - n)
+        if done:
+            self._store(done, np.array(flat, np.uint32), np.array(lens, np.int64))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.count > self.MOST_CHUNKS or self.size > self.MOST_IDS:
             self._clear()
