@@ -1,14 +1,16 @@
 """N-gram Jaccard join by signature trees.
 
 Sets that can be similar share a token among the rarest tokens of each (prefix
-filter; rarity comes from counters over all documents, of fixed size). Sharing is
-followed to coarse groups by distributed connected components over star edges, so
-no pairs within a token's documents are written out. Every distinct set then goes
-to one coarse group, where a signature tree finds the links: nodes hold the OR of
-token bitmaps, the size range, the collision slack of their bitmaps and, once all
-members are connected, their component; a dual traversal drops node pairs whose
-greatest possible overlap is too small or whose members are connected already,
-and exact intersections decide what is left.
+filter; rarity comes from counters over all documents, of fixed size). The sets that
+share a token go through a signature tree: nodes hold the OR of token bitmaps, the
+size range, the collision slack of their bitmaps and, once all members are connected,
+their component; a dual traversal drops node pairs whose greatest possible overlap is
+too small or whose members are connected already. Here bitmaps alone decide, and a
+spanning forest of what they let pass is written, not all pairs. Distributed connected
+components over these edges give coarse groups that no link leaves; every distinct set
+then goes with its tokens to the one task of its coarse group, where the same tree
+with exact intersections at the end finds the links. Tokens with more than `hot_sets`
+sets are split by size ranges that overlap, so that no linked pair is parted.
 
 A coarse group with more than `group_tokens` tokens is cut into blocks by size, and
 block pairs that the size ranges allow are joined in tasks of their own.
@@ -32,6 +34,7 @@ from tallyseal.llm.common import Scratch, arrow_map, mix, pages_sum, signed, spa
 COUNTERS = 1 << 18
 PAGE = 1 << 12
 BITS = 2048
+HOT_SETS = 50_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -85,17 +88,29 @@ def token_counters(docs: DataFrame, words: int) -> np.ndarray:
     return total
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set, of the power of two from 64 to 65536 bits at or above 1.5 times its size; a wider one folds onto a narrower."""
+    bits = min(max(64, 1 << int(len(s) * 3 // 2 - 1).bit_length()), 1 << 16) if len(s) > 1 else 64
+    one = np.zeros(bits, np.uint8)
+    one[((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(one).tobytes()
+
+
+def _fold(sig: bytes, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(sig, np.uint8).reshape(-1, width), 0)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """Tokens of a set of n in any one order of which a set with Jaccard similarity num/den must share one."""
     return n - -(-n * num // den) + 1
 
 
 def _prefixes(batches, words: int, num: int, den: int, counters) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, sid, n, tokens) a document; tokens only the first time that this task meets the set."""
+    """A row (doc_id, sid, n, tokens, sig) a document; tokens and signature only the first time that this task meets the set."""
     rank, seen = counters.value, set()
     for batch, i, sets in _sets(batches, words):
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(i, len(sets))
-        sids, sizes, tokens = [], [], []
+        sids, sizes, tokens, sigs = [], [], [], []
         for s, known in zip(sets, ids.is_valid().to_pylist(), strict=True):
             n = len(s)
             sid = set_id(s) if n else None
@@ -103,13 +118,15 @@ def _prefixes(batches, words: int, num: int, den: int, counters) -> Iterator[pa.
             sizes.append(n)
             if not known or not n or sid in seen:
                 tokens.append(None)
+                sigs.append(None)
                 continue
             if len(seen) < 1_000_000:
                 seen.add(sid)
             p = prefix_length(n, num, den)
             order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:p]
             tokens.append(signed(s[order]))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "tokens"])
+            sigs.append(signature(s))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "sid", "n", "tokens", "sig"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -132,25 +149,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return new.selectExpr("u as node", "v as label").union(new.selectExpr("v as node", "v as label").distinct())
 
 
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint16)
+
+
 class _Tree:
     """Signature tree over sets in the order given: node k covers [lo, hi)."""
 
     LEAF = 16
 
-    def __init__(self, sets: list[np.ndarray]):
-        m = len(sets)
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.bits = np.zeros((m, BITS // 8), np.uint8)
-        slack = np.zeros(m, np.int64)
-        for i, s in enumerate(sets):
-            at = np.unique((s >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
-            one = np.zeros(BITS, np.uint8)
-            one[at] = 1
-            self.bits[i] = np.packbits(one)
-            slack[i] = len(s) - len(at)
-        self.slack = slack
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+        self.sizes, self.bits = sizes, bits
+        self.slack = sizes - _ONES[bits].sum(1).astype(np.int64)
         self.nodes: list[tuple[int, int, int, int, int, np.ndarray, int, int]] = []
-        self.root = self._build(0, m)
+        self.root = self._build(0, len(sizes))
 
     def _build(self, lo: int, hi: int) -> int:
         if hi - lo <= self.LEAF:
@@ -164,15 +175,15 @@ class _Tree:
         return len(self.nodes) - 1
 
 
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint16)
-
-
-def link_sets(sets: list[np.ndarray], num: int, den: int, cut: int | None = None) -> tuple[np.ndarray, int]:
+def link_sets(sets: list[np.ndarray] | None, num: int, den: int, cut: int | None = None, sizes: np.ndarray | None = None, bits: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Component of every set (index of its smallest member) under Jaccard >= num/den, and the exact comparisons made.
 
-    With cut, only links between the sets before and from cut on are looked for.
+    With cut, only links between the sets before and from cut on are looked for. Without sets, pairs that sizes and bitmaps let pass count as linked.
     """
-    m = len(sets)
+    exact = sets is not None
+    if exact:
+        sizes = np.array([len(s) for s in sets], np.int64)
+    m = len(sizes)
     up = np.arange(m)
 
     def root(i: int) -> int:
@@ -185,10 +196,9 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, cut: int | None = None
         return den * inter >= num * (total - inter)
 
     made = 0
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
+    flat = np.concatenate(sets) if exact and m else np.zeros(0, np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    if m == 2:
+    if exact and m == 2:
         if linked(len(np.intersect1d(sets[0], sets[1], assume_unique=True)), sizes.sum()):
             up[1] = 0
         return up, 1
@@ -206,11 +216,11 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, cut: int | None = None
         js = js[(sizes[js] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[js] * num)]
         if len(js):
             made += len(js)
-            for j in js[linked(overlaps(i, js), sizes[i] + sizes[js])]:
+            for j in js[linked(overlaps(i, js), sizes[i] + sizes[js])] if exact else js:
                 a, b = root(i), root(int(j))
                 up[max(a, b)] = min(a, b)
 
-    if cut is None:  # first a few hubs, which connect most of a family in one pass each
+    if exact and cut is None:  # first a few hubs, which connect most of a family in one pass each
         for _ in range(8):
             roots = np.array([root(i) for i in range(m)])
             names, counts = np.unique(roots, return_counts=True)
@@ -219,7 +229,13 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, cut: int | None = None
                 break
             hub = int(alone[len(alone) // 2])
             compare(hub, alone[alone != hub])
-    tree = _Tree(sets)
+    if exact:
+        bits = np.zeros((m, BITS // 8), np.uint8)
+        for i, s in enumerate(sets):
+            one = np.zeros(BITS, np.uint8)
+            one[((s >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+            bits[i] = np.packbits(one)
+    tree = _Tree(sizes, bits)
     nodes = tree.nodes
     same = {}
 
@@ -270,6 +286,45 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, cut: int | None = None
     return np.array([root(i) for i in range(m)]), made
 
 
+def _candidates(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tok, part, n, sid, sig) sorted by them to a spanning forest (a, b) of the pairs that may be linked in each group."""
+
+    def groups():
+        held: list = []
+        now = None
+        for batch in batches:
+            for tok, part, n, sid, sig in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                # sorted by size: where two neighbours are too far apart no pair reaches across
+                if held and ((tok, part) != now or held[-1][0] * den < n * num):
+                    yield held
+                    held = []
+                now = (tok, part)
+                if not held or held[-1][1] != sid:
+                    held.append((n, sid, sig))
+        if held:
+            yield held
+
+    edges: dict[tuple[int, int], None] = {}
+    for held in groups():
+        if len(held) < 2:
+            continue
+        width = min(len(h[2]) for h in held)
+        if len(held) == 2:
+            x, y = (int.from_bytes(_fold(h[2], width).tobytes()) for h in held)
+            a, b = held[0][0], held[1][0]
+            if (num + den) * ((x & y).bit_count() + min(a - x.bit_count(), b - y.bit_count())) >= num * (a + b):
+                edges[held[1][1], held[0][1]] = None
+        else:
+            held.sort(key=lambda h: (h[2][:4], h[0], h[1]))
+            label, _ = link_sets(None, num, den, None, np.array([h[0] for h in held], np.int64), np.stack([_fold(h[2], width) for h in held]))
+            for i in np.flatnonzero(label != np.arange(len(held))):
+                edges[held[i][1], held[label[i]][1]] = None
+        if len(edges) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            edges = {}
+    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+
 def _link_groups(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, side, n, sid) to star edges (a, b) of each group's links; side 0 and 1: only links across."""
 
@@ -305,21 +360,26 @@ def _link_groups(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), group_tokens: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), group_tokens: int = 4_000_000, hot_sets: int = HOT_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for each row of docs(doc_id, text): links at Jaccard >= threshold, followed to components."""
     spark: SparkSession = docs.sparkSession
     num, den = threshold
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counters = spark.sparkContext.broadcast(token_counters(docs, words))  # COUNTERS x 4 bytes
-    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>"), "prefixes")
+    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, sig binary"), "prefixes")
     tokens = sets.where("tokens is not null").select("sid", F.explode("tokens").alias("tok"))
-    hubs = tokens.groupBy("tok").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).where("hub != top").select("tok", "hub")
-    stars = tokens.join(hubs, "tok").where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = scratch.keep(stars, "stars")
+    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets")).where("lo != hi").select("tok", "sets")
+    rows = tokens.join(shared, "tok").select("tok", "sid", "sets")
+    signs = sets.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)).cast("int")
+    signed_rows = rows.join(signs, "sid").select("tok", F.explode(F.when(F.col("sets") > hot_sets, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("part"), "n", "sid", "sig")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = signed_rows.repartition(parts, "tok", "part").sortWithinPartitions("tok", "part", "n", "sid")
+    edges = scratch.keep(arrow_map(dealt, lambda it: _candidates(it, num, den), "a long, b long").distinct(), "edges")
     scratch.sweep()
-    coarse = scratch.keep(components(stars, scratch), "coarse")
-    scratch.drop(stars)
+    coarse = scratch.keep(components(edges, scratch), "coarse")
+    scratch.drop(edges)
 
     # one document stands for each set of a coarse group, and its whole text is read again
     who = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -339,7 +399,6 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
 
     texts = docs.join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sid", "n", "grp")
     full = arrow_map(texts, fetch, "sid long, n long, grp long, data binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def solve(rows: DataFrame) -> DataFrame:
         dealt = rows.select("grp", "side", "sid", "data", "n").repartition(parts, "grp").sortWithinPartitions("grp", "side", "n", "sid").select("grp", "side", "sid", "data")
@@ -351,7 +410,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
         held = scratch.keep(full, "sets")
         small = held.join(big, "grp", "left_anti").withColumn("side", F.lit(0))
         # blocks of one coarse group: ranges of the size, cut by hash where one size alone is too much
-        bins = held.join(big, "grp").withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))))
+        bins = held.join(big, "grp").withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)))
         volume = bins.groupBy("grp", "bin").agg(F.sum("n").alias("v")).withColumn("cuts", F.ceil(F.col("v") * 2 / group_tokens))
         bins = bins.join(volume, ["grp", "bin"]).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts"))).select("grp", "bin", "cut", "sid", "n", "data")
         blocks = volume.select("grp", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
