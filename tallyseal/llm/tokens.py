@@ -53,7 +53,7 @@ class ChunkEncoder:
             self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, k in spec["model"]["vocab"].items():
                 self.widths[k] = len(token)  # one character a byte
-        self.pieces = None
+        self.pieces, self.lower = None, False
         if drops_space:
             import regex
 
@@ -61,6 +61,7 @@ class ChunkEncoder:
             split = spec["pre_tokenizer"]["pretokenizers"][0]
             if kinds == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"]:
                 self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+                self.lower = True  # A-Z may be lowered before chunks are looked up
         self._clear()
 
     def _clear(self) -> None:
@@ -111,6 +112,14 @@ class ChunkEncoder:
         done, flat, lens = [], [], []
         for c in chunks:
             text = c.decode()
+            if c.isalpha() and len(c) <= self.LONG:  # ASCII letters: one word
+                ids = known.get(text)
+                if ids is None:
+                    ids = known[text] = [t.id for t in tokenize(text)]
+                flat += ids
+                done.append(c)
+                lens.append(len(ids))
+                continue
             if not text.isascii() and not _LATIN(text) or len(c) > self.LONG:
                 rest.append(c)
                 continue
@@ -131,6 +140,8 @@ class ChunkEncoder:
         chunks: list[bytes] = []
         counts = []
         for t in texts:
+            if self.lower:
+                t = t.lower()
             if not t.isascii() and _OTHER_SPACE.search(t.decode()):
                 own = [t]
             else:
