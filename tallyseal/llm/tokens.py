@@ -140,7 +140,7 @@ class ChunkEncoder:
         chunks: list[bytes] = []
         counts = []
         for t in texts:
-            if self.lower:
+            if self.lower and b"\xcc" not in t and b"\xcd" not in t:  # a mark of U+0300-036F may compose with one case of a letter only
                 t = t.lower()
             if not t.isascii() and _OTHER_SPACE.search(t.decode()):
                 own = [t]
