@@ -113,6 +113,7 @@ class ChunkEncoder:
         for c in chunks:
             text = c.decode()
             if c.isalpha() and len(c) <= self.LONG:  # ASCII letters: one word
+                text = text.lower()
                 ids = known.get(text)
                 if ids is None:
                     ids = known[text] = [t.id for t in tokenize(text)]
