@@ -42,6 +42,7 @@ class PieceModel:
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(k) for k in range(n)]
         self.byte_of = {k: int(self.pieces[k][3:5], 16) for k in range(n) if sp.is_byte(k)}
+        self.raw = [bytes([self.byte_of[k]]) if k in self.byte_of else p.encode() for k, p in enumerate(self.pieces)]
         self.byte_id = {v: k for k, v in self.byte_of.items()}
         normal = {self.pieces[k]: (k, sp.get_score(k)) for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))}
         self.unknown = sp.unk_id()
@@ -62,18 +63,8 @@ class PieceModel:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def decode(self, ids) -> str:
-        parts, raw = [], bytearray()
-        for k in ids:
-            if k in self.byte_of:
-                raw.append(self.byte_of[k])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            parts.append(self.pieces[k])
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        return "".join(parts).replace(SPACE, " ").removeprefix(" ")
+        """Bytes of the pieces in a row; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 def stream_encode(model: PieceModel, chars: Iterator[str], every: int = 64) -> Iterator[list[int]]:
