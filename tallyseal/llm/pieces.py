@@ -106,6 +106,34 @@ def stream_encode(model: PieceModel, chars: Iterator[str], every: int = 64) -> I
         yield _path(back, done, at)
 
 
+def encode_stretch(model: PieceModel, s: str) -> list[int]:
+    """stream_encode for a stretch between two certain boundaries that is held whole: one commit, at its end."""
+    n, trie, fallback = len(s), model.trie, model.fallback
+    best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
+    for i in range(n):
+        base, node = best[i], trie
+        for j in range(i, n):
+            node = node.get(s[j])
+            if node is None:
+                break
+            found = node.get("")
+            if found is not None and base + found[1] > best[j + 1]:
+                best[j + 1], back[j + 1] = base + found[1], (i, found[0])
+        if base + fallback > best[i + 1]:
+            best[i + 1], back[i + 1] = base + fallback, (i, -1)
+    out = []
+    while n:
+        i, k = back[n]
+        if k >= 0:
+            out.append(k)
+        elif model.byte_id:
+            out += [model.byte_id[b] for b in reversed(s[i:n].encode())]
+        else:
+            out.append(model.unknown)
+        n = i
+    return out[::-1]
+
+
 def _path(back: dict, start: int, end: int) -> list[int]:
     steps = []
     while end > start:
@@ -130,8 +158,10 @@ class PieceEncoder:
         for part in model.cut.findall(marked):
             ids = known.get(part)
             if ids is None:
-                ids = [k for run in stream_encode(model, iter(part)) for k in run]
-                if len(part) <= self.LONG:
+                if len(part) > self.LONG:
+                    ids = [k for run in stream_encode(model, iter(part)) for k in run]
+                else:
+                    ids = encode_stretch(model, part)
                     if len(known) >= self.MOST:
                         known.clear()
                     known[part] = ids
