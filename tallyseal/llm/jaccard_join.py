@@ -2,7 +2,7 @@
 
 Sets that can be similar share a token among the rarest tokens of each (prefix
 filter; rarity comes from counters over all documents, of fixed size). The sets that
-share a token go through a signature tree: nodes hold the OR of token bitmaps, the
+share a token, once for all tokens that the same sets share, go through a signature tree: nodes hold the OR of token bitmaps, the
 size range, the collision slack of their bitmaps and, once all members are connected,
 their component; a dual traversal drops node pairs whose greatest possible overlap is
 too small or whose members are connected already. Here bitmaps alone decide, and a
@@ -287,18 +287,18 @@ def link_sets(sets: list[np.ndarray] | None, num: int, den: int, cut: int | None
 
 
 def _candidates(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, part, n, sid, sig) sorted by them to a spanning forest (a, b) of the pairs that may be linked in each group."""
+    """Rows (held, part, n, sid, sig) sorted by them to a spanning forest (a, b) of the pairs that may be linked in each group."""
 
     def groups():
         held: list = []
         now = None
         for batch in batches:
-            for tok, part, n, sid, sig in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for group, part, n, sid, sig in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 # sorted by size: where two neighbours are too far apart no pair reaches across
-                if held and ((tok, part) != now or held[-1][0] * den < n * num):
+                if held and ((group, part) != now or held[-1][0] * den < n * num):
                     yield held
                     held = []
-                now = (tok, part)
+                now = (group, part)
                 if not held or held[-1][1] != sid:
                     held.append((n, sid, sig))
         if held:
@@ -369,13 +369,15 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     counters = spark.sparkContext.broadcast(token_counters(docs, words))  # COUNTERS x 4 bytes
     sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, sig binary"), "prefixes")
     tokens = sets.where("tokens is not null").select("sid", F.explode("tokens").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets")).where("lo != hi").select("tok", "sets")
-    rows = tokens.join(shared, "tok").select("tok", "sid", "sets")
+    # tokens that the same sets share make one group (a mark that two groups have by chance joins them, which loses nothing)
+    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark")).where("lo != hi")
+    shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets")
+    rows = tokens.join(shared, "tok").select("held", "sid", "sets").distinct()
     signs = sets.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)).cast("int")
-    signed_rows = rows.join(signs, "sid").select("tok", F.explode(F.when(F.col("sets") > hot_sets, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("part"), "n", "sid", "sig")
+    signed_rows = rows.join(signs, "sid").select("held", F.explode(F.when(F.col("sets") > hot_sets, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("part"), "n", "sid", "sig")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = signed_rows.repartition(parts, "tok", "part").sortWithinPartitions("tok", "part", "n", "sid")
+    dealt = signed_rows.repartition(parts, "held", "part").sortWithinPartitions("held", "part", "n", "sid")
     edges = scratch.keep(arrow_map(dealt, lambda it: _candidates(it, num, den), "a long, b long").distinct(), "edges")
     scratch.sweep()
     coarse = scratch.keep(components(edges, scratch), "coarse")
