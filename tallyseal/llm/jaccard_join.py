@@ -368,9 +368,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counters = spark.sparkContext.broadcast(token_counters(docs, words))  # COUNTERS x 4 bytes
     sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, sig binary"), "prefixes")
-    tokens = sets.where("tokens is not null").select("sid", F.explode("tokens").alias("tok"))
+    tokens = sets.where("tokens is not null").select("sid", "n", F.explode("tokens").alias("tok"))
     # tokens that the same sets share make one group (a mark that two groups have by chance joins them, which loses nothing)
-    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark")).where("lo != hi")
+    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = shared.where((F.col("lo") != F.col("hi")) & ((F.col("sets") > 2) | (F.col("least") * den >= F.col("most") * num)))  # two sets alone must be of like sizes
     shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets")
     rows = tokens.join(shared, "tok").select("held", "sid", "sets").distinct()
     signs = sets.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
