@@ -89,8 +89,8 @@ def token_counters(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set, of the power of two from 64 to 65536 bits at or above 1.5 times its size; a wider one folds onto a narrower."""
-    bits = min(max(64, 1 << int(len(s) * 3 // 2 - 1).bit_length()), 1 << 16) if len(s) > 1 else 64
+    """Bitmap of a set, of the power of two from 256 to 65536 bits at or above its size; a wider one folds onto a narrower."""
+    bits = min(max(256, 1 << int(len(s) - 1).bit_length()), 1 << 16)
     one = np.zeros(bits, np.uint8)
     one[((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(one).tobytes()
