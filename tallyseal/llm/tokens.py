@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
+from itertools import repeat
 
 import numpy as np
 
@@ -53,7 +53,7 @@ class ChunkEncoder:
             self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, k in spec["model"]["vocab"].items():
                 self.widths[k] = len(token)  # one character a byte
-        self.pieces, self.lower = None, False
+        self.pieces, self.lower, self.marks = None, False, False
         if drops_space:
             import regex
 
@@ -62,6 +62,7 @@ class ChunkEncoder:
             if kinds == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"]:
                 self.pieces = regex.compile(split["pattern"]["Regex"]).findall
                 self.lower = True  # A-Z may be lowered before chunks are looked up
+                self.marks = all(self.pieces("ab" + m) == ["ab", m] for m in (*".,;:!?", ".,;:!?", "?!:;,."))
         self._clear()
 
     def _clear(self) -> None:
@@ -69,7 +70,7 @@ class ChunkEncoder:
         self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.count = 0
-        self.piece_ids: dict[str, list[int]] = {}
+        self.piece_ids: dict[bytes, list[int]] = {}
 
     def _store(self, chunks: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         n, m = len(chunks), len(ids)
@@ -111,25 +112,28 @@ class ChunkEncoder:
         known, tokenize = self.piece_ids, self.tokenizer.model.tokenize
         done, flat, lens = [], [], []
         for c in chunks:
-            text = c.decode()
-            if c.isalpha() and len(c) <= self.LONG:  # ASCII letters: one word
-                text = text.lower()
-                ids = known.get(text)
-                if ids is None:
-                    ids = known[text] = [t.id for t in tokenize(text)]
-                flat += ids
-                done.append(c)
-                lens.append(len(ids))
-                continue
-            if not text.isascii() and not _LATIN(text) or len(c) > self.LONG:
+            n = len(flat)
+            if len(c) > self.LONG:
                 rest.append(c)
                 continue
-            n = len(flat)
-            for piece in self.pieces(unicodedata.normalize("NFC", text).lower()):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
-                flat += ids
+            word = c.rstrip(b".,;:!?") if self.marks else c
+            if word.isalpha():  # ASCII letters: one word, and the marks behind it another
+                for piece in (word, c[len(word) :]) if len(word) < len(c) else (word,):
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = known[piece] = [t.id for t in tokenize(piece.decode().lower())]
+                    flat += ids
+            else:
+                text = c.decode()
+                if not c.isascii() and not _LATIN(text):
+                    rest.append(c)
+                    continue
+                for piece in self.pieces(text.lower()):  # NFC leaves characters below U+0250 alone
+                    raw = piece.encode()
+                    ids = known.get(raw)
+                    if ids is None:
+                        ids = known[raw] = [t.id for t in tokenize(raw.decode("latin-1").translate(_BYTE_CHARS))]
+                    flat += ids
             done.append(c)
             lens.append(len(flat) - n)
         if done:
@@ -149,17 +153,16 @@ class ChunkEncoder:
                 own = self.split(t)
             chunks += own
             counts.append(len(own))
-        at = list(map(self.index.get, chunks))
-        new = list(dict.fromkeys(c for c, k in zip(chunks, at, strict=True) if k is None)) if None in at else []
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = [chunks[k] for k in np.flatnonzero(at < 0).tolist()]
+        new = list(dict.fromkeys(missing))
         if new:
             self._learn(new)
-            get = self.index.__getitem__
-            at = [get(c) if k is None else k for c, k in zip(chunks, at, strict=True)]
-        at_ = np.array(at, np.int64)
-        lens = self.lens[at_]
+            at[at < 0] = list(map(self.index.__getitem__, missing))
+        lens = self.lens[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at_] - (ends - lens), lens) + np.arange(total)]
+        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
         firsts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if texts else np.zeros(1, np.int64)
         for c in new:
             if len(c) > self.LONG:
