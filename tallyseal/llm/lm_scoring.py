@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +83,12 @@ def _count(batches, fold) -> Iterator[pa.RecordBatch]:
 
 def _ids(texts: list[list[bytes]], index: dict) -> tuple[np.ndarray, np.ndarray]:
     """Head ids (-1: tail) of all texts in a row, each closed by the end token, and offsets."""
-    get, flat, counts = index.get, [], []
+    flat, counts = [], []
     for t in texts:
-        flat += [get(w, -1) for w in t]
-        flat.append(get(END, -1))
+        flat += t
+        flat.append(END)
         counts.append(len(t) + 1)
-    return np.array(flat, np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat)), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def _history(ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,26 +110,60 @@ def _features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.stack([mix(a) & mask, (mix(b ^ np.uint64(0x5BD1E995)) & mask) + np.uint64(ROWS), (pair & mask) + np.uint64(2 * ROWS)]).astype(np.int32) + 1
 
 
-def _log_softmax(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    z = w[feats[0]] + w[feats[1]] + w[feats[2]] + w[0]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _logits(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    z = w.take(feats[0], 0)
+    for f in feats[1:]:
+        z += w.take(f, 0)
+    z += w[0]
+    return z
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - shift), its sums by row and the shift: each row's largest value, or 0 where plain exponentials neither overflow nor vanish."""
+    if z.max(initial=0) < 60:
+        e = np.exp(z)
+        sums = e.sum(1)
+        if sums.min(initial=1) > 1e-20:
+            return e, sums, 0.0
+    top = z.max(1)
+    e = np.exp(z - top[:, None])
+    return e, e.sum(1), top
+
+
+def _feature_sums(g: np.ndarray, f: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features and the sums of their rows of g: features with few rows go rank by rank together, the others one by one."""
+    order = np.argsort(f.astype(np.int16), kind="stable")  # TABLE is below 2 ** 15
+    rows = f[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    sizes = np.diff(first, append=len(f))
+    sums = g.take(order[first], 0)
+    for rank in range(1, few):
+        more = np.flatnonzero((sizes > rank) & (sizes <= few))
+        if not len(more):
+            break
+        sums[more] += g.take(order[first[more] + rank], 0)
+    for k in np.flatnonzero(sizes > few).tolist():
+        sums[k] = g.take(order[first[k] : first[k] + sizes[k]], 0).sum(0)
+    return rows[first], sums
 
 
 def _steps(w: np.ndarray, sq: np.ndarray, feats: np.ndarray, y: np.ndarray, rate: float, size: int = 8192) -> None:
     """Minibatch updates in place: the gradient of a feature's row is the sum over its tokens of probability less truth."""
     for s in range(0, len(y), size):
         f, t = feats[:, s : s + size], y[s : s + size]
-        g = np.exp(_log_softmax(w, f))
+        g, sums, _ = _exponentials(_logits(w, f))
+        g /= sums[:, None]
         g[np.arange(len(t)), t] -= 1
         for k in range(FAMILIES):
-            order = np.argsort(f[k], kind="stable")
-            rows = f[k][order]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            sums = np.add.reduceat(g[order], first, 0)
-            at = rows[first]
-            sq[at] += sums * sums
-            w[at] -= rate * sums / np.sqrt(sq[at] + 1.0)
+            at, sums = _feature_sums(g, f[k])
+            scale = sums * sums
+            scale += sq.take(at, 0)
+            sq[at] = scale
+            scale += 1.0
+            np.sqrt(scale, out=scale)
+            sums *= rate
+            sums /= scale
+            w[at] -= sums
         total = g.sum(0)
         sq[0] += total * total
         w[0] -= rate * total / np.sqrt(sq[0] + 1.0)
@@ -210,7 +245,7 @@ def _score(batches, fold, vocabulary, weights) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     v, w = vocabulary.value, weights.value
-    key, at = TaskContext.get().partitionId() << 33, 0
+    key, at, size = TaskContext.get().partitionId() << 33, 0, 8192
     log_count = np.log10(v.count + 1.0)
     mass = np.log10(np.maximum(np.bincount(v.klass[:-1], v.count + 1.0, CLASSES + 1), 1.0))
     for batch in batches:
@@ -219,9 +254,10 @@ def _score(batches, fold, vocabulary, weights) -> Iterator[pa.RecordBatch]:
             ids, offs = _ids(texts, v.index)
             feats, klass = _features(*_history(ids, offs)), v.klass[ids]
             own = np.zeros(len(ids))
-            for s in range(0, len(ids), 16_384):
-                p = _log_softmax(w, feats[:, s : s + 16_384])
-                own[s : s + 16_384] = p[np.arange(len(p)), klass[s : s + 16_384]]
+            for s in range(0, len(ids), size):
+                z, part = _logits(w, feats[:, s : s + size]), klass[s : s + size]
+                _, sums, shift = _exponentials(z)
+                own[s : s + size] = z[np.arange(len(part)), part] - shift - np.log(sums)
             own /= np.log(10.0)
             head = ids >= 0
             logs = np.where(head, log_count[ids], 0.0)
