@@ -54,12 +54,16 @@ def _segments(hashes: np.ndarray, window: int):
     if n <= 0:
         return None
     at = np.arange(len(hashes) - KGRAM + 1)
-    anchors = _sliding_min(span_hashes(hashes, at, at + KGRAM), window - KGRAM + 1)
+    grams = span_hashes(hashes, at, at + KGRAM)
+    anchors = _sliding_min(grams, window - KGRAM + 1)
     starts = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
     counts = np.diff(np.concatenate([starts, [n]]))
     segs = span_hashes(hashes, starts, starts + counts + window - 1)
     own = np.zeros(len(starts), bool)
-    if (counts > KGRAM // 2).any():  # a window can come back under one anchor only in a long run
+    spans = counts + window - KGRAM  # k-grams of each segment
+    first = np.cumsum(spans) - spans
+    met = grams[np.arange(spans.sum()) + np.repeat(starts - first, spans)] == np.repeat(anchors[starts], spans)
+    if (np.add.reduceat(met, first, dtype=np.int64) > 1).any():  # equal windows of one segment hold its anchor at two places
         w = span_hashes(hashes, np.arange(n), np.arange(n) + window)
         owner = np.repeat(np.arange(len(starts)), counts)
         order = np.lexsort((owner, w))

@@ -145,6 +145,26 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n, period", [(36, 1), (37, 1), (38, 1), (37, 2), (38, 2), (38, 3)])
+def test_substring_dedup_short_periods(spark, n, period):
+    """One short text whose windows repeat a few words apart, alone and within unique words."""
+    words = [f"p{k % period}" for k in range(n)]
+    for lead in (0, 5):
+        text = " ".join([*[f"a{k}" for k in range(lead)], *words, *[f"z{k}" for k in range(lead)]])
+        r = substring_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"), texts=True).first()
+        assert (r["n_words"], r["n_removed"]) == (n + 2 * lead, n)
+
+
+def test_segments_that_repeat_a_window():
+    rng = np.random.default_rng(5)
+    for n, period in [(36, 1), (37, 2), (38, 3), (41, 6), (60, 9), (90, 40)]:
+        for lead in (0, 7):
+            h = np.concatenate([rng.integers(0, 1 << 63, lead, np.uint64), np.resize(rng.integers(0, 1 << 63, period, np.uint64), n), rng.integers(0, 1 << 63, lead, np.uint64)])
+            anchors, segs, starts, counts, own = substring_dedup._segments(h, 35)
+            for s, c, o in zip(starts, counts, own, strict=True):
+                assert o == (len({h[i : i + 35].tobytes() for i in range(s, s + c)}) < c)
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(50):
