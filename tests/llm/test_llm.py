@@ -188,6 +188,17 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_scan_reports_each_kind_of_line(spark):
+    """Every licence line of the given documents, and every CC variant in both forms."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.split("text", "\n")).alias("text")).where("text rlike '^(Licensed|Released|This work is licensed) under '").distinct()
+    kinds = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0"}
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in license_scan.scan(lines.withColumn("doc_id", F.col("text"))).collect()}
+    assert got == {k: (v, 1.0) for k, v in kinds.items()}
+    cc = {k: v for k, v in license_scan.TEMPLATES.items() if k.startswith("cc-")}
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in license_scan.scan(spark.createDataFrame(list(cc.items()), "doc_id string, text string")).collect()}
+    assert len(cc) == 12 and got == {k: (k, 1.0) for k in cc}
+
+
 def test_media(spark, docs, texts):
     for r in media.digests(docs).collect():
         text = (texts[r["doc_id"]] or "").encode()
