@@ -1,19 +1,27 @@
 """License scans: texts against licence templates by Dice coefficient over word bigrams.
 
-Units are the lines of a text and, where it has more than one line, the whole text
-(line 0). A unit is normalised (lower case, everything but letters and digits is one
+Units are the lines of a text, where it has more than one line the whole text (line 0),
+and word windows: runs of words, over line ends too, of as many bigrams as a template's
+size allows the threshold. A window comes under the line of its first word; of windows
+that overlap, the one with most of a template's bigrams stays (then the highest
+coefficient), and none is given whose line or whole text reaches the threshold with the
+same template. Windows start and end with a bigram of the template, as any other is
+lower than its inner part, and are looked for only in texts with enough of a template's
+bigrams in all. A unit is normalised (lower case, everything but letters and digits is one
 space) and becomes its set of word bigrams. A template is compared only if the sizes
 allow the threshold (2 min / (a + b) >= t) and the unit shares a bigram with any
 template; texts and units without a telling word of any template are left out before
 (those sizes allow so few missing bigrams that none of them can reach the threshold). All of it is a projection and a filter of the scan: no shuffle, no Python.
 
 Edge cases: null and empty texts and units of one word match nothing; null ids and
-repeated rows are carried through; of templates with equal coefficients the first
+repeated rows are carried through; equal windows of one line are given once; of templates with equal coefficients the first
 by name is reported; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +88,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold:
     clean = rows.select(id_col, F.explode(F.array(F.regexp_replace(F.lower("_t"), r"[^\p{L}\p{N}\n]+", " "))).alias("clean"))
     lines = F.split("clean", "\n", -1)
     units = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
-    whole = F.array(F.struct(F.lit(0).alias("line"), F.translate("clean", "\n", " ").alias("t")))
-    each = clean.select(id_col, F.explode(F.when(F.contains("clean", F.lit("\n")), F.concat(units, whole)).otherwise(units)).alias("u")).where(may_hold(F.col("u.t")))
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.col("clean").alias("t")))
+    each = clean.select(id_col, "clean", F.explode(F.when(F.contains("clean", F.lit("\n")), F.concat(units, whole)).otherwise(units)).alias("u")).where(may_hold(F.col("u.t")))
     # explode(array(x)) computes x once however often it is used above
-    worded = each.select(id_col, F.col("u.line").alias("line"), F.explode(F.array(F.filter(F.split(F.col("u.t"), " ", -1), lambda w: w != ""))).alias("w")).where(F.size("w") > F.lit(max(1.0, least)))
+    all_of_it = (F.col("u.line") == 0) | (F.length("u.t") == F.length("clean"))  # the whole text, of one line or more
+    worded = each.select(id_col, F.col("u.line").alias("line"), F.when(all_of_it, F.col("u.t")).alias("t"), F.explode(F.array(F.filter(F.split(F.translate(F.col("u.t"), "\n", " "), " ", -1), lambda w: w != ""))).alias("w")).where(F.size("w") > F.lit(max(1.0, least)))
     known = sorted({b for s in sets.values() for b in s})
-    held = worded.select(id_col, "line", F.explode(F.array(_bigrams(F.col("w")))).alias("b"))
-    near = held.select(id_col, "line", "b", F.explode(F.array(F.array_intersect("b", F.array(*map(F.lit, known))))).alias("shared")).where(F.size("shared") > 0)
+    held = worded.select(id_col, "line", "t", F.explode(F.array(_bigrams(F.col("w")))).alias("b"))
+    near = held.select(id_col, "line", "t", "b", F.explode(F.array(F.array_intersect("b", F.array(*map(F.lit, known))))).alias("shared")).where(F.size("shared") > 0)
 
     n = F.size("b").cast("double")
 
@@ -98,8 +107,54 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold:
         return F.when(possible, F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
     best = F.reduce(F.array(*[dice(name) for name in sets]), F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), F.coalesce(x, a)).otherwise(a))
-    found = near.select(id_col, "line", F.explode(F.array(best)).alias("best")).where(F.col("best.dice") >= threshold)
-    return found.select(id_col, "line", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
+    one = F.array(F.struct("line", best["license"].alias("license"), best["dice"].alias("dice")))
+    told = _windows(near.withColumn("best", F.filter(one, lambda x: x["dice"] >= threshold)), sets, threshold)
+    found = told.select(id_col, F.explode(F.concat("best", F.coalesce("windows", F.slice("best", 1, 0)))).alias("best"))
+    return found.select(id_col, "best.line", "best.license", "best.dice")
+
+
+def _windows(near: DataFrame, sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """near(t, b, shared, ...) with the windows(line, license, dice) of the whole texts t; null where there can be none."""
+    share = threshold / (2 - threshold)
+
+    def kept(df: DataFrame, **columns: Column) -> DataFrame:
+        for name, x in columns.items():  # explode(array(x)): computed once
+            df = df.select("*", F.explode(F.array(x)).alias(name))
+        return df
+
+    def dice(own: Column, pairs: Column) -> Column:
+        return F.lit(2.0) * F.size(F.array_intersect(own, pairs)) / (F.size(F.array_distinct(pairs)) + F.size(own))
+
+    templates = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, v)).alias("own"), F.lit(max(1, math.ceil(len(v) * share - 1e-9))).alias("least"), F.lit(math.floor(len(v) / share + 1e-9)).alias("most")) for k, v in sets.items()])
+    possible = F.filter(templates, lambda x: F.size(F.array_intersect(x["own"], F.col("shared"))) >= x["least"])
+    df = kept(near, _able=F.when(F.col("t").isNotNull() & (F.size("shared") >= min(math.ceil(len(v) * share - 1e-9) for v in sets.values())), possible))
+    some = F.size("_able") > 0
+    words = F.flatten(F.transform(F.split("t", "\n", -1), lambda x, i: F.transform(F.filter(F.split(x, " ", -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    df = kept(df, _words=F.when(some, words))
+    ends = F.zip_with(F.slice("_words", 1, F.size("_words") - 1), F.slice("_words", 2, F.size("_words") - 1), lambda x, y: F.struct(F.concat_ws(" ", x["w"], y["w"]).alias("pair"), x["line"].alias("first"), y["line"].alias("last")))
+    df = kept(df, _ends=ends)
+    df = kept(df, _pairs=F.col("_ends.pair"))
+    # places of each template's bigrams, then the best end for each start
+    placed = F.transform("_able", lambda x: F.struct(*[x[k].alias(k) for k in ("license", "own", "least", "most")], F.filter(F.sequence(F.lit(1), F.size("_pairs")), lambda i: F.array_contains(x["own"], F.element_at("_pairs", i))).alias("at")))
+    df = kept(df, _placed=placed)
+
+    def from_start(x: Column, a: Column, i: Column) -> Column:
+        last = F.filter(F.slice(x["at"], i + x["least"], x["most"]), lambda e: e - a < x["most"])
+        each = F.transform(F.transform(last, lambda e: F.slice("_pairs", a, e - a + 1)), lambda p: F.struct(dice(x["own"], p).alias("dice"), (-F.size(p)).alias("n"), F.size(F.array_intersect(x["own"], p)).alias("held")))
+        top = F.filter(F.array(F.array_max(each)), lambda y: y["dice"] >= threshold)
+        return F.transform(top, lambda y: F.struct((-y["held"]).alias("held"), (-y["dice"]).alias("dice"), x["license"].alias("license"), a.alias("a"), (a - y["n"] - 1).alias("e"), x["own"].alias("own")))
+
+    df = kept(df, _tried=F.sort_array(F.flatten(F.transform("_placed", lambda x: F.flatten(F.transform(x["at"], lambda a, i: from_start(x, a, i)))))))
+    apart = F.aggregate("_tried", F.slice("_tried", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] <= x["e"]) & (x["a"] <= y["e"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def known(x: Column) -> Column:
+        """Its line, or the whole text, reaches the threshold with the template."""
+        a, e = F.element_at("_ends", x["a"])["first"], F.element_at("_ends", x["e"])["last"]
+        line = F.transform(F.filter("_ends", lambda p: (p["first"] == a) & (p["last"] == a)), lambda p: p["pair"])
+        return (dice(x["own"], F.col("b")) >= threshold) | ((a == e) & (dice(x["own"], line) >= threshold))
+
+    found = F.transform(F.filter(apart, lambda x: ~known(x)), lambda x: F.struct(F.element_at("_ends", x["a"])["first"].alias("line"), x["license"].alias("license"), (-x["dice"]).alias("dice")))
+    return df.select(*near.columns, F.array_distinct(found).alias("windows"))
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -199,6 +199,38 @@ def test_license_scan_reports_each_kind_of_line(spark):
     assert len(cc) == 12 and got == {k: (k, 1.0) for k in cc}
 
 
+def test_license_scan_wrapped_notices(spark):
+    """Notices wrapped over lines, or within a line, of longer texts; brute force over all word windows."""
+    import textwrap
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        for width in (72, 30):
+            wrapped = textwrap.wrap(text, width, break_long_words=False)
+            key = f"{name}/{width}"
+            rows.append((key, "\n".join([prose(100), *[f" * {x}" for x in wrapped], prose(100)])))
+            want[key] = (name, 1.0, 2)
+        rows.append((f"{name}/inside", f"{prose(100)} {text} {prose(100)}"))
+        want[f"{name}/inside"] = (name, 1.0, 1)
+    rows.append(("none", "\n".join(prose(12) for _ in range(20))))
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add((r["license"], r["dice"], r["line"]))
+    assert "none" not in got and {k: v for k, v in want.items() if v not in got.get(k, ())} == {}
+    # two notices one after the other, and one with words changed
+    mit, isc = license_scan.TEMPLATES["mit-grant"].split(), license_scan.TEMPLATES["isc"].split()
+    mit[20] = mit[40] = "changed"
+    text = "\n".join([prose(300), *textwrap.wrap(" ".join(mit), 72), *textwrap.wrap(" ".join(isc), 72), prose(300)])
+    own = {k: set(license_scan.bigram_set(t)) for k, t in license_scan.TEMPLATES.items() if k in ("mit-grant", "isc")}
+    w = license_scan.normalised_words(text)
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    best = {k: max(2 * len(v & set(pairs[i:j])) / (len(v) + len(set(pairs[i:j]))) for i in range(290, len(pairs) - 290) for j in range(i + 1, min(i + 94, len(pairs)))) for k, v in own.items()}
+    got = {r["license"]: r["dice"] for r in license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got == best and best["mit-grant"] < 1
+
+
 def test_media(spark, docs, texts):
     for r in media.digests(docs).collect():
         text = (texts[r["doc_id"]] or "").encode()
