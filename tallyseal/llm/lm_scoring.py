@@ -14,6 +14,11 @@ is broadcast; all rarer words form the tail class and get their counts by a join
 Classes of the head: the most frequent words are clustered by what precedes them, the
 others join the class whose letter pairs they resemble.
 
+What is learnt of histories has a fixed size, whatever the corpus: FAMILIES x ROWS
+hashed rows (3 x 8192) of CLASSES + 1 = 49 classes; history words beyond the `head`
+(2^18) are one id, and P(word | class) has no history. Only the word counts grow with
+the input (held-out figures by input size: README).
+
 Edge cases: a null or empty text is one end token; a null id counts as held out;
 repeated rows are scored each; without training tokens every word has base probability
 1 in 1 and the model equals the base.
