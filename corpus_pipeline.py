@@ -16,14 +16,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are linked at Jaccard similarity 0.8, the one with the smallest id stays; of rows that repeat an id, one. Rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs, words=5, threshold=(80, 100))
-    keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(keep.hint("shuffle_hash"), "doc_id").select(docs.columns)
-    first = kept.groupBy("doc_id").count().where("count > 1")
-    if not first.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null").select(docs.columns))
+    """Of documents whose five-word shingles are linked at Jaccard similarity 0.8, the one with the smallest id stays. Rows that repeat an id or have none (these come last) are judged by their own texts."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        found = jaccard_join.jaccard_components(docs, words=5, threshold=(80, 100))
+        keep = found.where("component_id = doc_id").select("doc_id")
+        return docs.join(keep.hint("shuffle_hash"), "doc_id").select(docs.columns)
+    # ids that are no key: rows get numbers of their own in a written copy
+    numbered = Scratch(spark, "near").keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
+    found = jaccard_join.jaccard_components(numbered.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), words=5, threshold=(80, 100))
+    ids = numbered.select("n", "row.doc_id").join(found.select(F.col("doc_id").alias("n"), "component_id"), "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
+    keep = ids.groupBy("component_id").agg(first).select("first.n")
+    return numbered.join(keep.hint("shuffle_hash"), "n").select("row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,3 +377,14 @@ def test_pipeline(spark):
         kept = stage(spark, strange(spark), sf)
         assert kept.columns == ["doc_id", "text", "key", "_row"]
         kept.count()
+
+
+def test_near_duplicates_without_a_key(spark):
+    """Unlike texts under one id both stay, copies go whatever their ids, and the smallest id stays."""
+    import corpus_pipeline
+
+    t = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcd"}
+    rows = [(5, t["a"], 1), (5, t["b"], 2), (3, t["b"] + " end", 3), (7, t["a"], 4), (None, t["c"], 5), (None, t["c"], 6), (None, t["d"], 7), (9, t["d"] + " end", 8), (4, None, 9), (4, "", 10), (None, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    got = sorted(r["n"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert got in ([1, 3, 5, 8, 9, 10, 11], [1, 3, 6, 8, 9, 10, 11])
