@@ -388,3 +388,95 @@ def test_near_duplicates_without_a_key(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
     got = sorted(r["n"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
     assert got in ([1, 3, 5, 8, 9, 10, 11], [1, 3, 6, 8, 9, 10, 11])
+
+
+def brute_score(model, stats):
+    total = model.bias
+    for weight, terms in model.rules:
+        if all(stats[name] is not None and (stats[name] > bound if above else stats[name] <= bound) for name, above, bound in terms):
+            total += weight
+    return 1 / (1 + np.exp(-total))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() with its own parameters: documents of sf0.001 and planted near copies and passages around the limits."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    real = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    base = [t for t in real.values() if 80 <= len(word_list(t)) <= 400][:12]
+    for t in base:
+        w = t.split()
+        for changed in (1, len(w) // 50, len(w) // 45, len(w) // 40, len(w) // 20):
+            v = list(w)
+            for k in rng.sample(range(len(v)), changed):
+                v[k] = f"new{k}"
+            real[max(real) + 1] = " ".join(v)
+        for n in (34, 35, 36, len(w)):
+            at = rng.randrange(len(w) - n + 1)
+            real[max(real) + 1] = " ".join([*rng.choice(base).split()[:30], *w[at : at + n], *(f"own{n}x{k}" for k in range(60))])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame(list(real.items()), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    # quality: the rules of the model one by one, over the statistics of each text
+    model = quality_rules.train_on(spark, str(tmp_path))
+    stats = quality_rules.statistics(F.col("text"))
+    measured = docs.select("doc_id", *[x.cast("double").alias(k) for k, x in stats.items()]).collect()
+    scores = {r["doc_id"]: brute_score(model, r.asDict()) for r in measured}
+    left = {k: t for k, t in real.items() if scores[k] >= 0.3}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()} == left and len(left) < len(real)
+
+    # near duplicates: five words, 0.8
+    sets = {}
+    for k, t in left.items():
+        w = [x.lower() for x in word_list(t)]
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    up = {k: k for k in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            i = len(sets[a] & sets[b]) if b < a else 0
+            if i and 5 * i >= 4 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    single = {k: t for k, t in left.items() if root(k) == k}
+    assert len(single) < len(left)
+
+    # substrings: windows of 35 words
+    words = {k: word_list(t) for k, t in single.items()}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    kept = {}
+    for k, w in words.items():
+        keep = [True] * len(w)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                keep[i : i + 35] = [False] * 35
+        if False not in keep:
+            kept[k] = single[k]
+        elif True in keep:
+            kept[k] = b" ".join(x for x, y in zip(w, keep, strict=True) if y).decode()
+    assert len(kept) < len(single) and any(kept[k] != single[k] for k in kept)
+
+    # packing: all ids of each kept text, in pieces without gaps, in sequences of at most 1024
+    e = tokens.encoder(tokens.default_path("byte_bpe_50k.json"))
+    by_doc, by_seq = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    assert by_doc.keys() == kept.keys()
+    for k, t in kept.items():
+        ids, at = [*e.encode([t.encode()])[0].tolist(), 0], 0
+        for r in sorted(by_doc[k], key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], np.uint32))
+            at += r["length"]
+        assert at == len(ids)
+    for got in by_seq.values():
+        got.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in got] == [0, *np.cumsum([r["length"] for r in got])[:-1]] and sum(r["length"] for r in got) <= 1024
