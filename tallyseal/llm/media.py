@@ -139,25 +139,39 @@ def _rows(batches) -> Iterator[tuple]:
             yield batch, i, [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
 
+def tensors(mel: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The stored features of one text: a row a fixed-shape tensor, the last padded with zeros, with its time span in seconds and the frames in segments."""
+    second, n = RATE * UP / DOWN, -(-len(mel) // WINDOW)
+    inside = np.zeros(len(mel), bool)
+    for a, b in found:
+        inside[a:b] = True
+    padded = np.zeros((n * WINDOW, MELS), np.float32)
+    padded[: len(mel)] = mel
+    ends = np.minimum(np.arange(1, n + 1) * WINDOW, len(mel))
+    active = [int(inside[w * WINDOW : (w + 1) * WINDOW].sum()) for w in range(n)]
+    made = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS)), pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), WINDOW * MELS))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) * WINDOW * HOP / second), pa.array(((ends - 1) * HOP + FRAME) / second), pa.array(active, pa.int32()), made], names=["window", "start_s", "end_s", "active_frames", "tensor"])
+
+
+def frames_of(rows: pa.RecordBatch) -> np.ndarray:
+    """The log-mel rows of a text's tensors, without the padding that their time spans leave out."""
+    n = round((rows.column("end_s")[-1].as_py() * RATE * UP / DOWN - FRAME) / HOP) + 1
+    return rows.column("tensor").storage.flatten().to_numpy().reshape(-1, MELS)[:n]
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text): a row a tensor (flat, row by row) with its time span in seconds and the frames in segments."""
 
     def make(batches):
-        second = RATE * UP / DOWN
         for batch, i, texts in _rows(batches):
             for k, text in enumerate(texts):
                 _, mel, found = analyse(store(payload(text)))
-                inside = np.zeros(len(mel), bool)
-                for a, b in found:
-                    inside[a:b] = True
-                n = -(-len(mel) // WINDOW)
-                padded = np.zeros((n * WINDOW, MELS), np.float32)
-                padded[: len(mel)] = mel
-                ends = np.minimum(np.arange(1, n + 1) * WINDOW, len(mel))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WINDOW * MELS), pa.array(padded.ravel()))
-                active = [int(inside[w * WINDOW : (w + 1) * WINDOW].sum()) for w in range(n)]
+                rows = tensors(mel, found)
+                n = rows.num_rows
+                # Spark's lists have no fixed shape: tensor_table() gives it back
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WINDOW * MELS), rows.column("tensor").storage.flatten())
                 ids = batch.column(0).slice(i + k, 1).take(pa.array(np.zeros(n, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) * WINDOW * HOP / second), pa.array(((ends - 1) * HOP + FRAME) / second), pa.array(active, pa.int32()), lists], names=["doc_id", "window", "start_s", "end_s", "active_frames", "tensor"])
+                yield pa.RecordBatch.from_arrays([ids, *rows.columns[:-1], lists], names=["doc_id", *rows.schema.names])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, window int, start_s double, end_s double, active_frames int, tensor array<float>")
 
@@ -171,7 +185,7 @@ def tensor_table(rows: pa.Table) -> pa.Table:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row a document: what was stored, what came back and a digest of the features."""
+    """A row a document: what was stored, what came back and a digest of the features, taken from their tensors."""
 
     def make(batches):
         for batch, i, texts in _rows(batches):
@@ -181,6 +195,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 if text not in seen:
                     stored = store(payload(text))
                     back, mel, found = analyse(stored)
+                    mel = frames_of(tensors(mel, found))
                     spans = np.array(found, np.int32)
                     text_of = f"{len(mel)}x{MELS};{len(found)};{zlib.crc32(mel.tobytes()):08x};{zlib.crc32(spans.tobytes()):08x}"
                     seen[text] = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), text_of)

@@ -244,6 +244,19 @@ def test_media(spark, docs, texts):
     assert table.schema.field("tensor").type.shape == [media.WINDOW, media.MELS] and table.num_rows >= 4
 
 
+def test_media_digests_come_from_the_tensors(spark, docs, texts):
+    kept = {}
+    for r in media.features(docs).orderBy("doc_id", "window").collect():
+        kept.setdefault(r["doc_id"], []).append(r)
+    for r in media.digests(docs).collect():
+        _, mel, found = media.analyse(media.store(media.payload((texts[r["doc_id"]] or "").encode())))
+        rows = media.tensors(mel, found)
+        assert rows.schema.field("tensor").type.shape == [media.WINDOW, media.MELS] and np.array_equal(media.frames_of(rows), mel)
+        assert [[x[k] for k in ("window", "start_s", "end_s", "active_frames")] for x in kept[r["doc_id"]]] == [list(x.values())[:4] for x in rows.select(["window", "start_s", "end_s", "active_frames"]).to_pylist()]
+        flat = np.array([y for x in kept[r["doc_id"]] for y in x["tensor"]], np.float32).reshape(-1, media.MELS)
+        assert r["feature"].startswith(f"{len(mel)}x{media.MELS};{len(found)};{zlib.crc32(flat[: len(mel)].tobytes()):08x};") and not flat[len(mel) :].any()
+
+
 def test_media_signal():
     t = np.arange(16_000) / 16_000
     y = media.resample(np.sin(2 * np.pi * 440 * t))
