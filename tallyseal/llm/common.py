@@ -93,10 +93,10 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         i = j
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -133,7 +133,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the index of its first word (one more entry than texts)."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -149,7 +149,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and each text's first word."""
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), first
