@@ -74,13 +74,30 @@ def test_chunks_give_the_library_ids(texts, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path(name))
-    t.encode_special_tokens = True
     raw = [(x or "").encode() for x in texts] + ["İΣς ǅ\xa0x é T\u0308 e\u0301".encode(), b"  lead", b"x" * 600]
-    e = tokens.ChunkEncoder(tokens.default_path(name))
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "a", "Ab", "don't", "I'LL", "e\u0301", "H\u0331", "\u0130", "\u212a", "\u037e", "\U0001f600", "...", "x" * 140, " !", "\x00", "\u0301"]
+    raw += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))).encode() for _ in range(400)]
+    e = tokens.LibraryEncoder(tokens.default_path(name))
     for _ in range(2):
-        ids, at = e.encode(raw)
+        ids, at = e.encode_texts(raw)
         for k, x in enumerate(raw):
             assert ids[at[k] : at[k + 1]].tolist() == t.encode(x.decode(), add_special_tokens=False).ids
+    e.store.most = 50  # a full store is emptied
+    assert e.encode_texts(raw)[0].tolist() == e.encode_texts(raw[:3] + raw[3:])[0].tolist() == ids.tolist()
+
+
+def test_chunk_store_holds_many():
+    rng = np.random.default_rng(3)
+    store, a, b = tokens.ChunkStore(), rng.integers(0, 1 << 16, 200_000, np.uint64), rng.integers(0, 16, 200_000, np.uint64)
+    keys = np.unique(np.stack([a, b], 1), axis=0)
+    for part in np.array_split(keys, 7):
+        assert (store.find(part[:, 0], part[:, 1]) < 0).all()
+        n = len(part)
+        store.add(part[:, 0], part[:, 1], (part[:, 0] + part[:, 1]).astype(np.uint32), np.ones(n, np.int64), np.arange(n) % 5 > 0)
+    at = store.find(keys[:, 0], keys[:, 1])
+    shown = np.concatenate([np.arange(len(p)) % 5 > 0 for p in np.array_split(keys, 7)])
+    assert ((at >= 0) == shown).all() and (store.ids(at[shown])[0] == (keys[:, 0] + keys[:, 1])[shown]).all()
 
 
 def test_packing(spark, docs, texts):
@@ -92,7 +109,7 @@ def test_packing(spark, docs, texts):
         by_seq.setdefault(r["sequence_id"], []).append(r)
         assert zlib.crc32(np.array(r["ids"], np.uint32)) == r["ids_crc32"] and len(r["ids"]) == r["length"]
     for k, t in enumerate(texts):
-        ids = [*e.encode([(t or "").encode()])[0].tolist(), 0]
+        ids = [*e.encode_texts([(t or "").encode()])[0].tolist(), 0]
         got = sorted(by_doc[k], key=lambda r: r["start"])
         assert [x for r in got for x in r["ids"]] == ids and {r["doc_tokens"] for r in got} == {len(ids)}
     for got in by_seq.values():
@@ -111,7 +128,7 @@ def test_token_files(spark, docs, texts, tmp_path):
     rows = sorted(back.collect(), key=lambda r: r["doc_id"])
     at, e = 0, tokens.encoder(tokens.default_path("word_bpe_49k.json"))
     for r in rows:
-        assert starts[r["part"]] + r["part_start"] == at and r["ids"] == [*e.encode([(texts[r["doc_id"]] or "").encode()])[0].tolist(), 1]
+        assert starts[r["part"]] + r["part_start"] == at and r["ids"] == [*e.encode_texts([(texts[r["doc_id"]] or "").encode()])[0].tolist(), 1]
         at += len(r["ids"])
     assert [r["doc_id"] for r in rows] == list(range(len(texts)))
     assert [r["doc_id"] for r in back.where("doc_id = 7").collect()] == [7]
@@ -265,27 +282,75 @@ def test_media_signal():
     assert media.segments(x) == [(50, 100)]
 
 
-def test_pieces(spark, docs, texts):
+def hard_texts(texts):
+    rng = random.Random(9)
+    parts = ["<s>", "<0x41>", " ", "  ", "    ", "\n", "\t", "\xa0", "\u3000", "\x00", "a", "Ab", "don't", "e\u0301", "ß", "日本", "\U0001f600", "...", "$$$", "x" * 100, " !", "he", "llo", " world", "aaaa", "  aaa"]
+    return [t or "" for t in texts] + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)]
+
+
+def test_pieces_are_the_library_ids(texts):
+    """Of the shipped model, which merges by rank, by chunks and as one stream."""
+    import sentencepiece
+
+    path = pieces.default_path("piece_bpe_32k.model")
+    lib, e, raw = sentencepiece.SentencePieceProcessor(model_file=path), pieces.piece_encoder(path), hard_texts(texts) + ["a\u2581 b"]
+    ids, at = e.encode_texts([t.encode() for t in raw])
+    data, offs = e.model.decode_all(ids, at)
+    for k, t in enumerate(raw):
+        want = lib.encode(t)
+        assert ids[at[k] : at[k + 1]].tolist() == want and data[offs[k] : offs[k + 1]].decode() == t.replace("\u2581", " ")
+        if t:
+            runs = list(pieces.stream_encode(e.model, iter(pieces.SPACE + t.replace(" ", pieces.SPACE)), every=5))  # blocks of one character
+            assert [x for _, r in runs for x in r] == want
+
+
+def test_pieces_of_a_unigram_model(texts, tmp_path):
+    """The library's ids for a model of the shipped pieces with scores of their own; none is trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.default_path("piece_bpe_32k.model"), "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.trainer_spec.model_type = 1
+    rng = random.Random(2)
+    for k, p in enumerate(spec.pieces):
+        if p.type == 1:
+            p.score = -(10 + k % 1000 + rng.randrange(1024)) / 1024 * len(p.piece) ** 0.5 // (1 / 1024) / 1024
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(spec.SerializeToString())
+    lib, e, raw = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceEncoder(pieces.PieceModel(path)), hard_texts(texts)
+    ids, at = e.encode_texts([t.encode() for t in raw])
+    data, offs = e.model.decode_all(ids, at)
+    for k, t in enumerate(raw):
+        assert ids[at[k] : at[k + 1]].tolist() == lib.encode(t) and data[offs[k] : offs[k + 1]].decode() == t
+
+
+def test_stream_keeps_a_bounded_window():
+    """Ids are committed while a text without any certain boundary is read."""
     m = pieces.piece_encoder(pieces.default_path("piece_bpe_32k.model")).model
+    read = 0
+
+    def chars():
+        nonlocal read
+        for _ in range(5000):
+            read += 2
+            yield "ab"
 
-    def brute(s):
-        best, back = [0.0] + [None] * len(s), {}
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - m.longest), i):
-                node = m.trie
-                for c in s[j:i]:
-                    node = node.get(c, {})
-                if "" in node and (best[i] is None or best[j] + node[""][1] > best[i]):
-                    best[i], back[i] = best[j] + node[""][1], (j, [node[""][0]])
-            if best[i] is None or best[i - 1] + m.fallback > best[i]:
-                best[i], back[i] = best[i - 1] + m.fallback, (i - 1, [m.byte_id[b] for b in s[i - 1].encode()])
-        return pieces._path(back, 0, len(s))
-
-    for t in [x for x in texts[:70] if x][:25] + ["\U0001f600  \x00\n é"]:
-        s = m.text_in(t)
-        assert brute(s) == pieces.PieceEncoder(m).encode(t) == [k for run in pieces.stream_encode(m, iter(s), every=5) for k in run]
+    done = 0
+    for ends, _ in pieces.stream_encode(m, chars()):
+        done = ends[-1]
+        assert read - done < 64 + 2 * m.longest
+    assert done == 10_000
+
+
+def test_pieces(spark, docs, texts):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs)).collect()}
     assert back == {k: t or "" for k, t in enumerate(texts)}
+    got = pieces.decode(pieces.encode(docs), digest=True).collect()
+    assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts)}
+    assert sorted(got) == sorted(pieces.round_trip(docs).collect())
     assert pieces.encode(empty(spark)).count() == 0 and pieces.decode(pieces.encode(strange(spark)), digest=True).count() == 6
 
 
@@ -485,7 +550,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         by_seq.setdefault(r["sequence_id"], []).append(r)
     assert by_doc.keys() == kept.keys()
     for k, t in kept.items():
-        ids, at = [*e.encode([t.encode()])[0].tolist(), 0], 0
+        ids, at = [*e.encode_texts([t.encode()])[0].tolist(), 0], 0
         for r in sorted(by_doc[k], key=lambda r: r["start"]):
             assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], np.uint32))
             at += r["length"]
