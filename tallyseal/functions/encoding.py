@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyseal.functions import strings
+
 PAE_TAG = "DSSEv1"  # fixed value of the public DSSE protocol
 
 
@@ -15,10 +17,12 @@ def b64url(data: Column) -> Column:
 
 def from_b64(text: Column) -> Column:
     """Either alphabet, padded or not; null where the text is no base64."""
-    plain = F.rtrim(F.translate(text, "-_", "+/"), F.lit("="))
-    good = F.rlike(plain, F.lit(r"^[A-Za-z0-9+/]*\z")) & (F.length(plain) % 4 != 1)
-    padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
-    return F.unbase64(F.when(good, padded))
+
+    def read(plain: Column) -> Column:
+        good = F.rlike(plain, F.lit(r"^[A-Za-z0-9+/]*\z")) & (F.length(plain) % 4 != 1)
+        return F.unbase64(F.when(good, F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))))
+
+    return strings.once(F.rtrim(F.translate(text, "-_", "+/"), F.lit("=")), read)
 
 
 def pae(kind: Column, payload: Column) -> Column:
@@ -27,6 +31,12 @@ def pae(kind: Column, payload: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), F.encode(F.lit(" "), "UTF-8"), payload.cast("binary"))
 
 
+def py_pae(kind: str, payload: bytes) -> bytes:
+    """pae() of Python values."""
+    raw = kind.encode()
+    return f"{PAE_TAG} {len(raw)} ".encode() + raw + f" {len(payload)} ".encode() + payload
+
+
 def _pad(key: Column, byte: int) -> Column:
     """The key, hashed if over 64 bytes, filled to 64 and combined with one byte, as hex."""
     hexed = F.hex(F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key))
@@ -35,7 +45,12 @@ def _pad(key: Column, byte: int) -> Column:
     return F.array_join(digits, "")
 
 
-def hmac_sha256(key: Column, data: Column) -> Column:
+def hmac_pads(key: Column) -> Column:
+    """struct(inner, outer) of binary: what a key's HMACs begin with. To be made where keys are rows, not where messages are."""
+    return F.struct(F.unhex(_pad(key, 0x36)).alias("inner"), F.unhex(_pad(key, 0x5C)).alias("outer"))
+
+
+def hmac_sha256(pads: Column, data: Column) -> Column:
     """Hex digest; keys come as a column, never as a literal in the plan."""
-    inner = F.unhex(F.sha2(F.concat(F.unhex(_pad(key, 0x36)), data.cast("binary")), 256))
-    return F.sha2(F.concat(F.unhex(_pad(key, 0x5C)), inner), 256)
+    inner = F.unhex(F.sha2(F.concat(pads["inner"], data.cast("binary")), 256))
+    return F.sha2(F.concat(pads["outer"], inner), 256)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,17 +69,56 @@ def normalize(c: Column, p: Policy, form: bool = True) -> Column:
 SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
 
 
+#: Characters that only Python's escapes know: beyond ASCII, and controls without a short escape.
+ODD = r"[^\x{08}-\x{0a}\x{0c}\x{0d}\x{20}-\x{7e}]"
+
+
+def once(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f mentions it; f can't call Python."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _escaped(c: Column) -> Column:
+    """Short escapes; the backslash first."""
+    for char in sorted(SHORT, key="\\".__ne__):
+        c = F.replace(c, F.lit(char), F.lit(SHORT[char]))
+    return c
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
 def _escape_char(x: Column) -> Column:
     code = F.ascii(x)
-    short = F.lit(None).cast("string")
-    for char, text in SHORT.items():
-        short = F.when(x == F.lit(char), F.lit(text)).otherwise(short)
     rest = code - 0x10000
     pair = F.format_string("\\u%04x\\u%04x", F.lit(0xD800) + F.floor(rest / 1024).cast("int"), F.lit(0xDC00) + F.pmod(rest, F.lit(1024)).cast("int"))
-    return F.coalesce(short, F.when((code >= 32) & (code <= 126), x).when(code > 0xFFFF, pair).otherwise(F.format_string("\\u%04x", code)))
+    return F.when(~F.rlike(x, F.lit(ODD)), _escaped(x)).when(code > 0xFFFF, pair).otherwise(F.format_string("\\u%04x", code))
+
+
+@F.arrow_udf(T.StringType())
+def _dumped(a: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else json.dumps(x) for x in a.to_pylist()], pa.string())
+
+
+@functools.cache
+def _dumped_normal(p: Policy):
+    from tallyseal.functions import schemaless
+
+    @F.arrow_udf(T.StringType())
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else json.dumps(schemaless.normalize(x, p)) for x in a.to_pylist()], pa.string())
+
+    return run
+
+
+def json_text(c: Column, native: bool = False) -> Column:
+    """The string as quoted ASCII JSON; null stays null. Strings with odd characters go to Python, or with native through a lambda a character."""
+    if native:
+        return once(c, lambda x: _quoted(F.when(~F.rlike(x, F.lit(ODD)), _escaped(x)).otherwise(F.array_join(F.transform(F.split(x, ""), _escape_char), ""))))
+    return F.coalesce(_dumped(F.when(F.rlike(c, F.lit(ODD)), c)), _quoted(_escaped(c)))
 
 
-def json_text(c: Column) -> Column:
-    """The string as quoted ASCII JSON; null stays null."""
-    plain = ~F.rlike(c, F.lit(r'[^\x{20}-\x{7e}]|["\\]'))
-    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), _escape_char), "")), F.lit('"'))
+def json_normal(c: Column, p: Policy) -> Column:
+    """json_text(normalize(c, p)) with each string normalized once: in the JVM, or in Python where it has odd characters."""
+    return F.coalesce(_dumped_normal(p)(F.when(F.rlike(c, F.lit(ODD)), c)), _quoted(_escaped(normalize(c, p, form=False))))

@@ -13,6 +13,7 @@ _CLOCK = r"(\d{1,2}):(\d{1,2}):(\d{1,2})"
 _ZONED = rf"^{_DATE}[Tt]{_CLOCK}(?:\.(\d{{1,6}}))?(?:[Zz]|([+-])(\d\d):?(\d\d)(?::?(\d\d))?)\z"
 _SPACED = rf"^{_DATE}\s+{_CLOCK}\z"
 _DAY = rf"^{_DATE}\z"
+_USUAL = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?Z\z"
 
 PATTERNS = {"day": "yyyy-MM-dd'T00:00:00Z'", "hour": "yyyy-MM-dd'T'HH:00:00'Z'", "minute": "yyyy-MM-dd'T'HH:mm:00'Z'"}
 FULL = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -42,7 +43,9 @@ def parse(c: Column) -> Column:
     seconds = (number(9) * 3600 + number(10) * 60 + number(11)) * F.when(part(_ZONED, 8) == "-", -1).otherwise(1)
     offset_ok = (number(10) < 60) & (number(11) < 60) & (number(9) < 24)
     zoned = F.when(offset_ok, made(_ZONED, True))
-    return F.coalesce(F.timestamp_seconds(F.unix_timestamp(zoned) - seconds), made(_SPACED, True), made(_DAY, False))
+    usual = F.try_to_timestamp(F.substring(c, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    other = F.coalesce(F.timestamp_seconds(F.unix_timestamp(zoned) - seconds), made(_SPACED, True), made(_DAY, False))
+    return F.when(F.rlike(c, F.lit(_USUAL)), usual).otherwise(other)
 
 
 def bucket_or_same(c: Column, granularity: str) -> Column:

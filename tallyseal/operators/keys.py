@@ -11,13 +11,14 @@ import secrets
 from dataclasses import asdict, dataclass, fields, replace
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyseal.functions import crypto
 
 HMAC, ECDSA = "HMAC-SHA256", "ECDSA-P256"  # fixed values: algorithm names
-SCHEMA = "keyid string, algorithm string, created_utc string, expires_utc string, revoked_utc string, active boolean, hmac_secret_b64 string, hmac_fingerprint string, private_key_pem string, public_key_pem string"
+SCHEMA = "keyid string, algorithm string, created_utc string, expires_utc string, revoked_utc string, active boolean, hmac_secret_b64 string, hmac_fingerprint string, private_key_pem string, public_key_pem string, current boolean"
 
 
 def now_text() -> str:
@@ -165,7 +166,8 @@ class Registry:
         return bool(public) and crypto.p256_verify(public, data, sig)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k.keyid, k.algorithm, k.created_utc, k.expires_utc, k.revoked_utc, k.active, k.hmac_secret_b64, None, k.private_key_pem, k.public_key_pem) for k in self.keys.values()]
+        """A row a key; `current` marks the one to sign with."""
+        rows = [(k.keyid, k.algorithm, k.created_utc, k.expires_utc, k.revoked_utc, k.active, k.hmac_secret_b64, None, k.private_key_pem, k.public_key_pem, k.keyid == self.active) for k in self.keys.values()]
         return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -190,9 +192,13 @@ def public_keys(keys: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 10_000
 
 
-def with_key(df: DataFrame, keys: DataFrame, keyid: str = "keyid") -> DataFrame:
-    """Left join of each row's key. The size of the key table is checked before it is broadcast."""
-    prefixed = keys.select(*[F.col(c).alias(f"key_{c}") for c in keys.columns])
-    if len(keys.limit(BROADCAST_KEYS + 1).select("keyid").take(BROADCAST_KEYS + 1)) <= BROADCAST_KEYS:
-        prefixed = F.broadcast(prefixed)
-    return df.join(prefixed, df[keyid] == prefixed["key_keyid"], "left")
+def signing_material(keys: DataFrame) -> DataFrame:
+    """What verification needs, a row a key id; of rows that repeat an id the one created last counts. A private key stands for its public one where that is missing."""
+
+    @F.pandas_udf("string")
+    def public_of(pem: pd.Series) -> pd.Series:
+        return pem.map(crypto.p256_public, na_action="ignore")
+
+    pem = F.coalesce("public_key_pem", public_of(F.when(F.col("public_key_pem").isNull() & (F.col("algorithm") == ECDSA), F.col("private_key_pem"))))
+    made = keys.where("keyid is not null").select("keyid", F.struct("created_utc", "algorithm", "expires_utc", "revoked_utc", F.unbase64("hmac_secret_b64").alias("secret"), pem.alias("pem")).alias("x"))
+    return made.groupBy("keyid").agg(F.max("x").alias("x")).select("keyid", "x.algorithm", "x.created_utc", "x.expires_utc", "x.revoked_utc", "x.secret", "x.pem")

@@ -30,9 +30,9 @@ def to_sign(results: DataFrame) -> DataFrame:
     return results.select("id", F.explode(pairs).alias("x")).select("id", F.col("x.fh").alias("frozen_hash"), F.col("x.cf").alias("canonical_form"))
 
 
-def prove(vectors: DataFrame, keys: DataFrame | None, keyid: str | None, *, public: DataFrame | None = None, policy: Policy = DEFAULT, when: Column | None = None, out: str | None = None) -> dict:
+def prove(vectors: DataFrame, keys: DataFrame | None, keyid: str | None, *, public: DataFrame | None = None, policy: Policy = DEFAULT, when: Column | None = None, out: str | None = None, only: str | None = None) -> dict:
     """Runs, signs, verifies with an independently loaded key table and writes what it found. Without keys nothing is signed."""
-    results = run(vectors, policy)
+    results = run(vectors, policy, only)
     n = counts(results).first().asDict()
     n |= {"receipts": 0, "receipts_valid": 0, "policy_version": policy.version, "hash_algorithm": policy.digest}
     if keys is not None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hmac
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyseal.functions import crypto, encoding, strings
 from tallyseal.operators import keys as K
@@ -15,13 +20,35 @@ ENVELOPE = "struct<payloadType:string,payload:string,signatures:array<struct<key
 
 def payload_json(**columns: Column) -> Column:
     """Sorted compact JSON of the six payload strings."""
-    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), strings.json_text(columns[k])) for k in FIELDS]), F.lit("}"))
-
-
-def sign(df: DataFrame, keys: DataFrame, keyid: str, *, payload_type: str = PAYLOAD_TYPE, policy_version: str = "1.0.0", algorithm: str = "SHA-256", receipt_id: Column | None = None, when: Column | None = None) -> DataFrame:
-    """df(frozen_hash, canonical_form, ...) with an HMAC-signed envelope. Ids and times are inputs where results must be the same again; the secret reaches executors as a joined row, not as a literal."""
-    valid = keys.where((F.col("keyid") == keyid) & (F.col("algorithm") == K.HMAC) & K.is_valid(when))
-    chosen = valid.select(F.col("keyid").alias("_keyid"), F.unbase64("hmac_secret_b64").alias("_secret")).limit(1)
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), strings.json_text(columns[k], native=True)) for k in FIELDS]), F.lit("}"))
+
+
+def signer(keys: DataFrame, keyid: str | None = None, at: str | None = None) -> tuple[str, str]:
+    """(keyid, algorithm) of the key to sign with, the table's current one if none is named. Raises ValueError where it is missing, not valid at a time (now if none), or of an unknown algorithm."""
+    public = keys.select("keyid", "algorithm", "created_utc", "expires_utc", "revoked_utc", "active", "current")
+    rows = public.where(F.col("keyid") == keyid if keyid else F.col("current")).limit(2).collect()
+    if not rows:
+        raise ValueError(f"key {keyid} is not in the key table" if keyid else "no key is named and the key table has no current one")
+    if len(rows) > 1:
+        raise ValueError(f"more than one key row for {rows[0]['keyid']}")
+    r = rows[0]
+    key = K.Key(r["keyid"], r["algorithm"], r["created_utc"], r["expires_utc"], r["revoked_utc"], r["active"] is not False)
+    if not key.valid_at(at):
+        raise ValueError(f"key {key.keyid} is not valid")
+    if key.algorithm not in (K.HMAC, K.ECDSA):
+        raise ValueError(f"key {key.keyid} has the unknown algorithm {key.algorithm}")
+    return key.keyid, key.algorithm
+
+
+def sign(df: DataFrame, keys: DataFrame, keyid: str | None = None, *, payload_type: str = PAYLOAD_TYPE, policy_version: str = "1.0.0", algorithm: str = "SHA-256", receipt_id: Column | None = None, when: Column | None = None, at: str | None = None) -> DataFrame:
+    """df(frozen_hash, canonical_form, ...) with a signed envelope, HMAC in the JVM, ECDSA in Arrow batches.
+
+    keyid: the table's current key if none; it must be valid `at` a time (now if none), else ValueError. Ids (receipt_id) and
+    times (when) are inputs where results must be the same again. The secret reaches executors as a joined row, not as a literal.
+    """
+    keyid, kind = signer(keys, keyid, at)
+    material = encoding.hmac_pads(F.unbase64("hmac_secret_b64")) if kind == K.HMAC else F.col("private_key_pem")
+    chosen = keys.where(F.col("keyid") == keyid).select(F.col("keyid").alias("_keyid"), material.alias("_key"))
     parts = {
         "receipt_id": receipt_id if receipt_id is not None else F.expr("uuid()"),
         "timestamp_utc": when if when is not None else F.lit(K.now_text()),
@@ -30,11 +57,13 @@ def sign(df: DataFrame, keys: DataFrame, keyid: str, *, payload_type: str = PAYL
         "policy_version": F.lit(policy_version),
         "hash_algorithm": F.lit(algorithm),
     }
-    made = df.withColumn("_keyid", F.lit(keyid)).join(F.broadcast(chosen), "_keyid").withColumn("_payload", payload_json(**parts))
-    data = F.encode("_payload", "UTF-8")
-    sig = encoding.b64url(F.unhex(encoding.hmac_sha256(F.col("_secret"), encoding.pae(F.lit(payload_type), data))))
-    envelope = F.struct(F.lit(payload_type).alias("payloadType"), encoding.b64url(data).alias("payload"), F.array(F.struct(F.col("_keyid").alias("keyid"), sig.alias("sig"))).alias("signatures"))
-    return made.withColumn("envelope", envelope).drop("_keyid", "_secret", "_payload")
+    # a generated row is made once, whatever mentions it
+    made = df.select("*", F.lit(keyid).alias("_keyid"), *_fixed(_payload=F.encode(payload_json(**parts), "UTF-8")))
+    made = made.join(F.broadcast(chosen), "_keyid")  # one row, as signer() has checked
+    message = encoding.pae(F.lit(payload_type), F.col("_payload"))
+    sig = F.unhex(encoding.hmac_sha256(F.col("_key"), message)) if kind == K.HMAC else crypto.p256_signature(F.col("_key"), message)
+    envelope = F.struct(F.lit(payload_type).alias("payloadType"), encoding.b64url(F.col("_payload")).alias("payload"), F.array(F.struct(F.col("_keyid").alias("keyid"), encoding.b64url(sig).alias("sig"))).alias("signatures"))
+    return made.withColumn("envelope", envelope).drop("_keyid", "_key", "_payload")
 
 
 def envelope_json(c: Column) -> Column:
@@ -46,54 +75,115 @@ def parse_envelope(text: Column) -> Column:
     return F.struct(parsed["payloadType"].alias("payloadType"), parsed["payload"].alias("payload"), F.coalesce(parsed["signatures"], F.array().cast("array<struct<keyid:string,sig:string>>")).alias("signatures"))
 
 
-def payload_of(envelope: Column) -> Column:
-    """The six strings, or null where a key is missing, strange or no string."""
-    text = F.try_validate_utf8(encoding.from_b64(envelope["payload"]).cast("string"))
-    parsed = F.from_json(text, "struct<" + ",".join(f"{k}:string" for k in FIELDS) + ">")
-    names = F.array_sort(F.json_object_keys(text))
-    return F.when(names == F.array(*map(F.lit, FIELDS)), parsed)
+def _fixed(**columns: Column) -> list[Column]:
+    """The columns as a generated row: each is made once, whatever mentions it later."""
+    return [F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))]
+
 
+def _fields_of(data: Column) -> Column:
+    def read(text: Column) -> Column:
+        parsed = F.from_json(text, "struct<" + ",".join(f"{k}:string" for k in FIELDS) + ">")
+        return F.when(F.array_sort(F.json_object_keys(text)) == F.array(*map(F.lit, FIELDS)), parsed)
 
-def verify(df: DataFrame, keys: DataFrame, *, id_col: str = "id", payload_type: str = PAYLOAD_TYPE, enforce_sign_time: bool = True) -> DataFrame:
-    """One row an envelope: valid, keyid, reason, signed_while_valid, key_algorithm, key_created, errors.
+    return strings.once(F.try_validate_utf8(data.cast("string")), read)
+
+
+def payload_of(envelope: Column) -> Column:
+    """The six strings, or null where a key is missing, strange or no string."""
+    return _fields_of(encoding.from_b64(envelope["payload"]))
+
+
+def _refusal(key: dict | None, message: bytes, sig: bytes | None, signed: str, enforce: bool) -> str | None:
+    """Why a signature doesn't count: key known, not revoked, algorithm known, signature right, signed before expiry."""
+    if key is None:
+        return "not found in registry"
+    if key["revoked_utc"] is not None:
+        return f"key revoked at {key['revoked_utc']}"
+    if key["algorithm"] not in (K.HMAC, K.ECDSA):
+        return f"unknown algorithm '{key['algorithm']}'"
+    if key["algorithm"] == K.HMAC:
+        right = bool(key["secret"]) and sig is not None and hmac.compare_digest(hmac.digest(key["secret"], message, "sha256"), sig)
+    else:
+        right = bool(key["pem"]) and sig is not None and crypto.p256_verify(key["pem"], message, sig)
+    if not right:
+        return "signature mismatch"
+    if enforce and key["expires_utc"] and signed >= key["expires_utc"]:
+        return f"signed after key expiry (key expired {key['expires_utc']}, receipt signed {signed})"
+    return None
+
+
+def _lists(a: pa.Array) -> list[list]:
+    """Items of a list array by row; a null row has none."""
+    flat, ends = a.flatten().to_pylist(), pc.cumulative_sum(pc.fill_null(a.value_lengths(), 0)).to_pylist()
+    return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _judged(look_up, enforce: bool):
+    """An Arrow UDF of (message, time, key ids, signatures and, unless look_up gives the key of an id, keys). The first good signature decides; otherwise all reasons are told."""
+    fields = {"valid": pa.bool_(), "keyid": pa.string(), "algorithm": pa.string(), "created": pa.string(), "expires": pa.string(), "errors": pa.list_(pa.string())}
+
+    @F.arrow_udf(T.StructType.fromDDL("valid boolean, keyid string, algorithm string, created string, expires string, errors array<string>"))
+    def run(message: pa.Array, signed: pa.Array, names: pa.Array, sigs: pa.Array, *keys: pa.Array) -> pa.Array:
+        ids = _lists(names)
+        found = _lists(keys[0]) if keys else [[look_up(x) for x in row] for row in ids]
+        out = []
+        for data, time, own, marks, held in zip(message.to_pylist(), signed.to_pylist(), ids, _lists(sigs), found, strict=True):
+            errors, good = [], None
+            for name, sig, key in zip(own, marks, held, strict=True) if data is not None else ():
+                why = _refusal(key, data, sig, time, enforce)
+                if why is None:
+                    good = (True, name, key["algorithm"], key["created_utc"], key["expires_utc"], None)
+                    break
+                errors.append(f"{name or ''}: {why}")
+            out.append(good or (False, None, None, None, None, errors))
+        cols = list(zip(*out, strict=True)) or [()] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values(), strict=True)], list(fields))
+
+    return run
+
+
+def verify(df: DataFrame, keys: DataFrame, *, id_col: str = "id", payload_type: str = PAYLOAD_TYPE, enforce_sign_time: bool = True, most_keys: int = K.BROADCAST_KEYS) -> DataFrame:
+    """One row an envelope: valid, keyid, reason, signed_while_valid, key_algorithm, key_created, key_expires, errors.
 
     Checks in order: decodable payload, type, signatures there, six payload fields; then signatures in array order: key known, not revoked,
     algorithm known, signature right, signed before expiry. The first good signature decides; otherwise all reasons are joined.
+
+    Every row is judged by itself, whatever ids repeat or are null. Up to `most_keys` keys are sent to all executors (counted before);
+    beyond, each row's keys are fetched by a shuffle join, salted as one key may have signed most receipts.
     """
     e = F.col("envelope")
-    base = df.select(F.col(id_col), e.alias("envelope"), encoding.from_b64(e["payload"]).alias("_data"), payload_of(e).alias("_p"))
+    signatures = F.coalesce(e["signatures"], F.array().cast("array<struct<keyid:string,sig:string>>"))
+    rows = df.select(F.col(id_col).alias("_id"), *_fixed(_type=e["payloadType"], _payload=e["payload"], _s=signatures))
+    rows = rows.select("_id", "_type", "_s", *_fixed(_data=encoding.from_b64(F.col("_payload"))))
+    rows = rows.select("*", *_fixed(_p=_fields_of(F.col("_data"))))
     early = (
         F.when(F.col("_data").isNull(), "Undecodable payload")
-        .when(~F.col("envelope.payloadType").eqNullSafe(F.lit(payload_type)), F.concat(F.lit("Unexpected payloadType: "), F.coalesce("envelope.payloadType", F.lit(""))))
-        .when(F.coalesce(F.size("envelope.signatures"), F.lit(0)) <= 0, "No signatures in envelope")
+        .when(~F.col("_type").eqNullSafe(F.lit(payload_type)), F.concat(F.lit("Unexpected payloadType: "), F.coalesce("_type", F.lit(""))))
+        .when(F.size("_s") <= 0, "No signatures in envelope")
         .when(F.col("_p").isNull(), "Malformed payload")
     )
-    base = base.withColumn("_early", early)
-    each = base.where("_early is null").select(id_col, "_data", "_p", F.posexplode("envelope.signatures").alias("_at", "_s")).withColumn("keyid", F.col("_s.keyid"))
-    each = K.with_key(each, keys).withColumn("_pae", encoding.pae(F.lit(payload_type), F.col("_data"))).withColumn("_sig", encoding.from_b64(F.col("_s.sig")))
-    live = F.col("key_keyid").isNotNull() & F.col("key_revoked_utc").isNull()
-    is_hmac, is_ec = live & (F.col("key_algorithm") == K.HMAC), live & (F.col("key_algorithm") == K.ECDSA)
-    good = crypto.hmac_valid(F.when(is_hmac, F.unbase64("key_hmac_secret_b64")), F.col("_pae"), F.col("_sig")) | crypto.p256_valid(F.when(is_ec, F.col("key_public_key_pem")), F.col("_pae"), F.col("_sig"))
-    late = F.coalesce(F.col("_p.timestamp_utc") >= F.nullif(F.col("key_expires_utc"), F.lit("")), F.lit(False)) & F.lit(enforce_sign_time)
-    each = each.withColumn("_good", good)
-    why = (
-        F.when(F.col("key_keyid").isNull(), "not found in registry")
-        .when(F.col("key_revoked_utc").isNotNull(), F.concat(F.lit("key revoked at "), "key_revoked_utc"))
-        .when(~F.coalesce(F.col("key_algorithm").isin(K.HMAC, K.ECDSA), F.lit(False)), F.concat(F.lit("unknown algorithm '"), "key_algorithm", F.lit("'")))
-        .when(~F.col("_good"), "signature mismatch")
-        .when(late, F.concat(F.lit("signed after key expiry (key expired "), "key_expires_utc", F.lit(", receipt signed "), "_p.timestamp_utc", F.lit(")")))
-    )
-    each = each.withColumn("_why", F.concat_ws(": ", F.coalesce("keyid", F.lit("")), why)).withColumn("_ok", why.isNull())
-    first = F.min_by(F.struct("keyid", "key_algorithm", "key_created_utc"), F.when(F.col("_ok"), F.col("_at")))
-    told = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.struct("_at", "_why")))), lambda x: x["_why"])
-    by = each.groupBy(id_col).agg(F.bool_or("_ok").alias("_any"), F.when(F.bool_or("_ok"), first).alias("_first"), told.alias("_errors"))
-    out = base.select(id_col, "_early", "_p").join(by, id_col, "left")
-    valid = F.coalesce("_any", F.lit(False))
+    rows = rows.withColumn("_early", early).withColumn("_names", F.transform("_s", lambda x: x["keyid"]))
+    table = K.signing_material(keys)
+    if table.limit(most_keys + 1).count() <= most_keys:
+        known = {r["keyid"]: r.asDict() | {"secret": r["secret"] and bytes(r["secret"])} for r in table.collect()}
+        held = df.sparkSession.sparkContext.broadcast(known)
+        judged, found = _judged(lambda name: held.value.get(name), enforce_sign_time), []
+    else:
+        salts = 64
+        numbered = rows.withColumn("_n", F.monotonically_increasing_id())
+        each = numbered.select("*", F.posexplode_outer("_names").alias("_at", "keyid")).withColumn("_salt", F.pmod("_n", F.lit(salts)))
+        copies = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+        pairs = each.join(copies.withColumn("_key", F.struct(*table.columns)).select("keyid", "_salt", "_key"), ["keyid", "_salt"], "left")
+        kept = [F.first(c).alias(c) for c in numbered.columns if c != "_n"]
+        rows = pairs.groupBy("_n").agg(*kept, F.transform(F.array_sort(F.collect_list(F.struct("_at", "_key"))), lambda x: x["_key"]).alias("_keys"))
+        judged, found = _judged(None, enforce_sign_time), [F.col("_keys")]
+    message = F.when(F.col("_early").isNull(), encoding.pae(F.lit(payload_type), F.col("_data")))
+    sigs = F.transform("_s", lambda x: encoding.from_b64(x["sig"]))
+    out = rows.select("_id", "_early", judged(message, F.col("_p.timestamp_utc"), F.col("_names"), sigs, *found).alias("_v"))
+    valid, errors = F.coalesce("_v.valid", F.lit(False)), F.coalesce(F.when(F.col("_early").isNotNull(), F.array("_early")), F.col("_v.errors"))
     return out.select(
-        id_col, valid.alias("valid"), F.when(valid, F.col("_first.keyid")).alias("keyid"),
-        F.coalesce("_early", F.when(valid, F.lit("Signature valid")).otherwise(F.array_join("_errors", "; "))).alias("reason"),
-        F.when(valid, F.col("_first.key_algorithm")).alias("key_algorithm"), F.when(valid, F.col("_first.key_created_utc")).alias("key_created"),
-        valid.alias("signed_while_valid"), F.when(~valid, F.coalesce(F.when(F.col("_early").isNotNull(), F.array("_early")), F.col("_errors"))).alias("errors"),
+        F.col("_id").alias(id_col), valid.alias("valid"), F.col("_v.keyid").alias("keyid"), F.when(valid, F.lit("Signature valid")).otherwise(F.array_join(errors, "; ")).alias("reason"),
+        F.col("_v.algorithm").alias("key_algorithm"), F.col("_v.created").alias("key_created"), F.col("_v.expires").alias("key_expires"), valid.alias("signed_while_valid"), F.when(~valid, errors).alias("errors"),
     )
 
 

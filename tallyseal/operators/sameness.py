@@ -19,6 +19,12 @@ def match(left: DataFrame, right: DataFrame, hash_col: str = "frozen_hash") -> D
     return left.join(right, hash_col)
 
 
+def match_counts(left: DataFrame, right: DataFrame, id_col: str, hash_col: str = "frozen_hash") -> DataFrame:
+    """One row a class met on both sides, with its size and smallest id on each: what match() tells, without a row for each pair of a hot class."""
+    sides = [x.groupBy(hash_col).agg(F.count("*").alias(f"n_{s}"), F.min(id_col).alias(f"first_{s}")) for x, s in ((left, "left"), (right, "right"))]
+    return sides[0].join(sides[1], hash_col)
+
+
 def keep_first(df: DataFrame, order: str, hash_col: str = "frozen_hash") -> DataFrame:
     """The row with the smallest order of each class: an aggregate, not a window, so that a hot class is reduced before the shuffle."""
     return df.groupBy(hash_col).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row")).select("_row.*")

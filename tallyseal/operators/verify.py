@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyseal.functions import crypto
+from tallyseal.functions.encoding import py_pae
 from tallyseal.functions.schemaless import compact
 
 # Fixed values of the receipt formats.
@@ -24,6 +25,7 @@ RECEIPT_TYPES = ("witness", "settlement", "refusal", "attestation", "identity",
 CLAIMS = ("closure_integrity_state", "closure_integrity_score", "io_integrity_state", "io_integrity_score", "evaluator_coord", "evaluator_role")
 DSSE_TYPE = "application/vnd.tallyseal.receipt.v1+json"
 NAMESPACE = "tallyseal"
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def parse_coordinate(c: Column) -> Column:
@@ -46,8 +48,8 @@ def envelope_hash_valid(payload: Column, tagged: Column) -> Column:
 
 def structure_errors(at) -> Column:
     """Errors of an envelope's fields; at(name) is the column of a field that is null unless it is a string."""
-    missing = [F.when(F.coalesce(at(f), F.lit("")) == "", F.lit(f"{f} missing or empty")) for f in REQUIRED]
-    return F.array_compact(F.array(*missing, F.when(~at("signature_algorithm").eqNullSafe(F.lit("Ed25519")), F.lit("signature_algorithm must be Ed25519")), F.when(~F.coalesce(at("receipt_type").isin(*RECEIPT_TYPES), F.lit(False)), F.lit("receipt_type unknown"))))
+    missing = [F.when(F.coalesce(at(f), F.lit("")) == "", F.lit(f"no {f}")) for f in REQUIRED]
+    return F.array_compact(F.array(*missing, F.when(~at("signature_algorithm").eqNullSafe(F.lit("Ed25519")), F.lit("signature_algorithm is not Ed25519")), F.when(~F.coalesce(at("receipt_type").isin(*RECEIPT_TYPES), F.lit(False)), F.lit("no known receipt_type"))))
 
 
 def unwrap(data):
@@ -82,8 +84,8 @@ def canonical_bytes(d: dict) -> bytes:
 
 
 def b64_any(text: str) -> bytes:
-    text = text.replace("-", "+").replace("_", "/")
-    return base64.b64decode(text + "=" * (-len(text) % 4))
+    """Either alphabet; padding beyond what is needed does no harm."""
+    return base64.b64decode(text.translate(_STANDARD) + "===")
 
 
 def _hex(x) -> bytes | None:
@@ -121,8 +123,7 @@ def unpack(text: str, namespace: str = NAMESPACE) -> dict | None:
         payload = {}
         try:
             data = b64_any(e["payload"])
-            kind = e["payloadType"].encode()
-            out["message"] = b" ".join([b"DSSEv1", str(len(kind)).encode(), kind, str(len(data)).encode(), data])
+            out["message"] = py_pae(e["payloadType"], data)
             for s in sigs:  # a signature that can't be read ends the list
                 one = b64_any(s["sig"])
                 if len(one) != 64:
@@ -146,9 +147,9 @@ def unpack(text: str, namespace: str = NAMESPACE) -> dict | None:
             out["own_key"], out["label"] = out["signer_public_key"], out["receipt_id"] or "unknown"
             inner = (d.get("extensions") if isinstance(d.get("extensions"), dict) else {}).get(namespace, {})
             if not isinstance(inner, dict):
-                out["namespace_error"] = f"extensions.{namespace} must be an object"
+                out["namespace_error"] = f"extensions.{namespace} is no object"
             elif not {"spatial_action", "receipt_type"} & inner.keys():
-                out["namespace_error"] = f"extensions.{namespace}.spatial_action or receipt_type required"
+                out["namespace_error"] = f"extensions.{namespace} has neither spatial_action nor receipt_type"
             try:
                 payload = json.loads(text_ or "{}")
             except ValueError:

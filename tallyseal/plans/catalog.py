@@ -53,6 +53,11 @@ def norm_text(spark, d):
     return _t(spark, d, "documents", "doc_id", "text").select("doc_id", strings.normalize(F.col("text"), PLAIN).alias("norm"))
 
 
+def norm_lower(spark, d):
+    """Under a policy that lowers letters."""
+    return _t(spark, d, "documents", "doc_id", "text").select("doc_id", strings.normalize(F.col("text"), PLAIN.with_(lower=True)).alias("norm"))
+
+
 def norm_turns(spark, d):
     return _t(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", strings.normalize(F.col("text"), PLAIN).alias("norm"))
 
@@ -110,12 +115,19 @@ def lookup_hash(spark, d):
 def cross_match(spark, d):
     """Customers against a noised copy of themselves."""
     c = _t(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
-    noisy = c.select(F.col("c_custkey").alias("other"), F.concat(F.lit(" \t"), F.replace("c_name", F.lit("#"), F.lit("#")), F.lit("  ")).alias("c_name"), F.concat("c_mktsegment", F.lit("\n")).alias("c_mktsegment"))
+    noisy = c.select(F.col("c_custkey").alias("other"), F.concat(F.lit(" \t"), "c_name", F.lit("  ")).alias("c_name"), F.concat("c_mktsegment", F.lit("\n")).alias("c_mktsegment"))
     cols = ["c_name", "c_mktsegment"]
     left, right = (hashing.with_hash(x, cols, policy=PLAIN).drop(*cols, "canonical_form") for x in (c, noisy))
     return sameness.match(left, right).select("c_custkey", "other")
 
 
+def match_counts(spark, d):
+    """Market segments against a noised copy: few, large classes, a row each."""
+    c = _t(spark, d, "customer", "c_custkey", "c_mktsegment")
+    left, right = (hashing.with_hash(x, ["c_mktsegment"], policy=PLAIN) for x in (c, c.withColumn("c_mktsegment", F.concat(F.lit("\n "), "c_mktsegment"))))
+    return sameness.match_counts(left, right, "c_custkey")
+
+
 # -- orders ---------------------------------------------------------------------
 
 def _orders(spark, d):
@@ -245,7 +257,7 @@ def _keys(spark):
     other = base64.b64encode(b"another").decode()
     far, past = "2099-01-01T00:00:00Z", "2024-01-01T00:00:00Z"
     rows = [("good", K.HMAC, past, far, None, True, secret), ("revoked", K.HMAC, past, far, past, False, secret), ("expired", K.HMAC, past, past, None, True, secret), ("wrong", K.HMAC, past, far, None, True, other), ("strange", "RSA", past, far, None, True, None), ("rested", K.HMAC, past, None, None, False, secret)]
-    return spark.createDataFrame([(*r, None, None, None) for r in rows], K.SCHEMA)
+    return spark.createDataFrame([(*r, None, None, None, r[0] == "good") for r in rows], K.SCHEMA)
 
 
 def _signed(spark, d):
@@ -302,19 +314,22 @@ def format_dispatch(spark, d):
 
 
 def envelope_checks(spark, d):
-    """Hash, coordinate and missing fields of the enveloped quarter."""
-    r = verify.report(_receipt_texts(spark, d), id_col="o_orderkey").where("format = 'envelope_v1'")
-    return r.select("o_orderkey", F.col("checks")["payload_hash"].alias("payload_hash"), F.col("checks")["coordinate_format"].alias("coordinate"), F.size("errors").alias("errors"), "valid")
+    """Hash, coordinate and missing fields of unsigned receipts of all forms; forms without a check have none."""
+    r = verify.report(_receipt_texts(spark, d), id_col="o_orderkey")
+    c = F.col("checks")
+    return r.select("o_orderkey", "format", c["payload_hash"].alias("payload_hash"), c["coordinate_format"].alias("coordinate"), F.size("errors").alias("errors"), "valid")
 
 
-def canonical_bytes_forms(spark, d):
+def canonical_bytes(spark, d):
     """Of the receipts of all four forms."""
     return _receipt_texts(spark, d).select("o_orderkey", schemaless.sorted_json(F.col("receipt"), verify.EXCLUDED).alias("bytes"))
 
 
-def canonical_bytes(spark, d):
-    """The legacy quarter; its SQL has no more."""
-    return canonical_bytes_forms(spark, d).where(F.col("o_orderkey") % 4 == 3)
+_BYTES_SQL = (
+    "select o_orderkey, case o_orderkey % 4 when 0 then '{\"payload\":\"' || translate(rtrim(to_base64(encode('{\"n\":' || o_custkey || '}')), '='), '+/', '-_') || '\",\"payloadType\":\"t\",\"signatures\":[]}' "
+    "when 1 then '{\"canonical_payload\":\"{\\\"n\\\":' || o_custkey || '}\",\"envelope_version\":\"1\",\"receipt_id\":\"sha256:' || sha256(cast(o_orderkey as varchar)) || '\",\"receipt_type\":\"witness\"}' "
+    "when 2 then '{\"io_integrity_state\":\"ok\"}' else '{\"canon_version\":1,\"z\":' || o_custkey || '}' end as bytes from orders"
+)
 
 
 def claims(spark, d):
@@ -323,7 +338,7 @@ def claims(spark, d):
 
 
 def ed25519_verify(spark, d):
-    """Signed supplier names, some tampered with; the seed is public."""
+    """Eight signed messages, half of them tampered with; reads no table, and the seed is public."""
     seed = bytes(range(32))
     key = crypto.ed25519_public(seed)
     names = [f"message {k}" for k in range(8)]
@@ -348,6 +363,8 @@ def conformance_report(spark, d):
 
 _QUERIES = {
     "norm_text": (norm_text, f"select doc_id, {_norm('text')} as norm from documents"),
+    "norm_lower": (norm_lower, f"select doc_id, lower({_norm('text')}) as norm from documents"),
+    "match_counts": (match_counts, "select sha256('{\"_policy_version\":\"1.0.0\",\"data\":{\"c_mktsegment\":\"' || c_mktsegment || '\"}}') as frozen_hash, count(*) as n_left, count(*) as n_right, min(c_custkey) as first_left, min(c_custkey) as first_right from customer group by c_mktsegment"),
     "norm_turns": (norm_turns, f"select conv_id, turn, {_norm('text')} as norm from conversations"),
     "nfc_merge": (nfc_merge, "select c_custkey, sha256(translate(c_name, 'eo', 'éö')) as h from customer"),
     "json_escape": (json_escape, f"select doc_id, sha256({_esc('text')}) as h from documents"),
@@ -372,27 +389,31 @@ _QUERIES = {
     "synonyms_dotted": (synonyms_dotted, "select n_nationkey, 'From the ' || case when n_nationkey % 2 = 0 then 'United States' else 'United Kingdom' end || ' by sea' as t from nation"),
     "nonce_invariance": (nonce_invariance, "select sha256('{\"_policy_version\":\"1.0.0\",\"data\":{\"event_type\":\"' || event_type || '\",\"value\":\"' || cast(floor(value) as bigint) || '\"}}') as frozen_hash, 2 * count(*) as n from events group by event_type, floor(value)"),
     "input_hash": (input_hash, "select c_custkey, sha256('{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}') as h from customer"),
-    "schemaless_props": (schemaless_props, None),
+    "schemaless_props": (schemaless_props, "select event_id, '{\"_policy_version\":\"1.0.0\",\"data\":{\"k\":\"' || json_extract_string(props, '$.k') || '\"}}' as cf from events"),
     "typed_equals_schemaless": (typed_equals_schemaless, "select count(*) as n, 0::bigint as different from orders"),
     "pae_b64url": (pae_b64url, "select o_orderkey, translate(rtrim(to_base64(encode(p)), '='), '+/', '-_') as b64, hex(encode('DSSEv1 4 t/é ' || octet_length(encode(p)) || ' ' || p)) as pae, true as back from (select o_orderkey, o_orderkey || 'é?~' || o_orderpriority as p from orders)"),
-    "hmac_receipts": (hmac_receipts, None),
     "verify_receipts": (verify_receipts, "select o_orderkey, k in (0, 5) as valid, case k when 0 then 'good' when 5 then 'rested' end as keyid, case k when 0 then 'Signature valid' when 5 then 'Signature valid' when 1 then 'revoked: key revoked at 2024-01-01T00:00:00Z' when 2 then 'expired: signed after key expiry (key expired 2024-01-01T00:00:00Z, receipt signed 2024-05-01T00:00:00Z)' when 3 then 'wrong: signature mismatch' when 4 then 'strange: unknown algorithm ''RSA''' else 'nobody: not found in registry' end as reason from (select o_orderkey, o_orderkey % 7 as k from orders)"),
     "key_validity": (key_validity, "select * from (values ('good', true), ('revoked', false), ('expired', false), ('wrong', true), ('strange', true), ('rested', false)) t(keyid, valid)"),
     "public_export": (public_export, f"select keyid, case when keyid = 'strange' then 'RSA' else 'HMAC-SHA256' end as algorithm, case keyid when 'strange' then null when 'wrong' then substr(sha256('another'), 1, 16) else substr(sha256('{TEST_KEY.decode()}'), 1, 16) end as hmac_fingerprint from (values ('good'), ('revoked'), ('expired'), ('wrong'), ('strange'), ('rested')) t(keyid)"),
     "coordinates": (coordinates, "select o_orderkey, case k when 0 then 'seal' when 1 then 'obligation' when 2 then 'sha256' when 3 then 'bare_hex' when 4 then 'bare_hex' else 'unknown' end as format, case k when 0 then substr(h, 1, 32) when 1 then substr(h, 1, 32) when 4 then substr(h, 1, 32) when 5 then upper(h) when 6 then 'seal:' || h else h end as hash, k < 5 as valid from (select o_orderkey, o_orderkey % 7 as k, sha256(cast(o_orderkey as varchar)) as h from orders)"),
     "format_dispatch": (format_dispatch, "select o_orderkey, case o_orderkey % 4 when 0 then 'dsse' when 1 then 'envelope_v1' when 2 then 'core' else 'legacy' end as format, case o_orderkey % 4 when 1 then 'sha256:' || h when 2 then 'seal:' || substr(h, 1, 32) else 'unknown' end as label from (select o_orderkey, sha256(cast(o_orderkey as varchar)) as h from orders)"),
-    "envelope_checks": (envelope_checks, "select o_orderkey, true as payload_hash, true as coordinate, cast(8 as int) as errors, false as valid from orders where o_orderkey % 4 = 1"),
-    "canonical_bytes": (canonical_bytes, "select o_orderkey, '{\"canon_version\":1,\"z\":' || o_custkey || '}' as bytes from orders where o_orderkey % 4 = 3"),
-    "canonical_bytes_forms": (canonical_bytes_forms, None),
+    "envelope_checks": (envelope_checks, "select o_orderkey, case k when 0 then 'dsse' when 1 then 'envelope_v1' when 2 then 'core' else 'legacy' end as format, case when k = 1 then true end as payload_hash, case when k in (1, 2) then true end as coordinate, cast(case when k = 1 then 8 else 0 end as int) as errors, false as valid from (select o_orderkey, o_orderkey % 4 as k from orders)"),
+    "canonical_bytes": (canonical_bytes, _BYTES_SQL),
     "claims": (claims, "select o_orderkey, case when o_orderkey % 4 = 2 then 'ok' else '-' end as io_state, cast(case when o_orderkey % 4 = 2 then 1 else 0 end as int) as n from orders"),
     "ed25519_verify": (ed25519_verify, "select k, k % 2 = 0 as valid from range(8) t(k)"),
     "conformance_report": (conformance_report, f"select {len(VECTORS)}::bigint as total, {len(VECTORS)}::bigint as passed, 0::bigint as failed"),
 }
 
 
+def _all() -> dict:
+    from tallyseal.plans import receipt_queries
+
+    return _QUERIES | receipt_queries.QUERIES
+
+
 def queries() -> dict:
-    return {name: q for name, (q, _) in _QUERIES.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -89,7 +89,9 @@ class Compiler:
 
     def text(self, kind: T.DataType, c: Column, spaced: bool = False) -> Column:
         if isinstance(kind, T.StringType):
-            return strings.json_text(c if self.raw else strings.normalize(c, self.p, form=not self.inside))
+            if self.inside:
+                return strings.json_text(c if self.raw else strings.normalize(c, self.p, form=False), native=True)
+            return strings.json_text(c) if self.raw else strings.json_normal(c, self.p)
         if isinstance(kind, T.BooleanType):
             return c.cast("string")
         if self.inside and isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -146,8 +148,10 @@ class Compiler:
                 if p.remove_null:
                     return None
                 return c.isNotNull(), F.lit("null")
-            value = timestamps.bucket_or_same(c, p.granularity) if action == "bucket" else c
-            text = self.text(kind, value, spaced)
+            text = self.text(kind, c, spaced)
+            if action == "bucket":  # a bucket's text is ASCII
+                bucket = timestamps.bucket_text(timestamps.parse(c), p.granularity)
+                text = F.coalesce(F.concat(F.lit('"'), strings.normalize(bucket, p, form=False), F.lit('"')), text)
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) and action != "keep":
             if action == "strip":
                 return (c.isNotNull(), F.lit("null")) if not p.remove_null else None
@@ -214,7 +218,7 @@ class Compiler:
 
         kept = F.filter(F.transform(entries, one), lambda e: ~e["dropped"])
         last = F.reduce(kept, F.filter(kept, lambda e: F.lit(False)), lambda acc, e: F.concat(F.filter(acc, lambda x: x["name"] != e["name"]), F.array(e)))
-        ordered = F.array_sort(F.transform(last, lambda e: F.struct(e["name"].alias("name"), F.concat(strings.json_text(e["name"]), F.lit(": " if spaced else ":"), e["text"]).alias("t"))))
+        ordered = F.array_sort(F.transform(last, lambda e: F.struct(e["name"].alias("name"), F.concat(strings.json_text(e["name"], native=True), F.lit(": " if spaced else ":"), e["text"]).alias("t"))))
         return F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda e: e["t"]), ", " if spaced else ","), F.lit("}")))
 
 

@@ -33,15 +33,15 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(_vector("value").alias("v")).where("v.id is not null").select("v.*")
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
+def read_receipts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id, receipt): each file whole, id its path."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("receipt"))
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Key rows of a registry or public export."""
+    """Key rows of a registry or public export; `current` marks the active one."""
     schema = f"active_keyid string, exported_utc string, keys array<struct<{K.SCHEMA.replace(' string', ':string').replace(' boolean', ':boolean')}>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("keys"))
+    return spark.read.schema(schema).json(path, multiLine=True).select("active_keyid", F.inline("keys")).withColumn("current", F.col("keyid").eqNullSafe(F.col("active_keyid"))).drop("active_keyid")
 
 
 def write_public_keys(keys: DataFrame, path: str) -> None:

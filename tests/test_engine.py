@@ -117,7 +117,7 @@ def test_published_crypto_vectors(spark):
     assert crypto.ed25519_sign(seed, b"").hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
     assert crypto.ed25519_verify(crypto.ed25519_public(seed), b"", crypto.ed25519_sign(seed, b"")) and not crypto.ed25519_verify(crypto.ed25519_public(seed), b"x", crypto.ed25519_sign(seed, b""))
     df = spark.createDataFrame([(b"\x0b" * 20, b"Hi There"), (b"Jefe", b"what do ya want for nothing?"), (b"\xaa" * 131, b"Test Using Larger Than Block-Size Key - Hash Key First")], "k binary, m binary")
-    got = [r[0][:16] for r in df.select(encoding.hmac_sha256(F.col("k"), F.col("m"))).collect()]
+    got = [r[0][:16] for r in df.select(encoding.hmac_sha256(encoding.hmac_pads(F.col("k")), F.col("m"))).collect()]
     assert got == ["b0344c61d8db3853", "5bdcc146bf60754e", "60e431591ee0b67f"]
 
 
@@ -138,6 +138,96 @@ def test_receipts_and_proof(spark, tmp_path):
     assert {x["reason"] for x in receipts.verify(broken, r.table(spark)).collect()} == {"Undecodable payload"}
 
 
+def _key_rows(spark, *rows):
+    """(keyid, algorithm, expires, revoked, active, secret, private, public, current)."""
+    import base64
+
+    full = [(k, a, "2024-01-01T00:00:00Z", e, r, on, base64.b64encode(s).decode() if s else None, None, private, public, now) for k, a, e, r, on, s, private, public, now in rows]
+    return spark.createDataFrame(full, K.SCHEMA)
+
+
+def test_receipts_are_judged_row_by_row(spark):
+    """Repeated and null ids, a forged twin, several signatures; with keys sent out and with keys joined."""
+    private, public = crypto.p256_generate(7)
+    keys = _key_rows(spark, ("h", K.HMAC, None, None, True, b"s" * 32, None, None, True), ("e", K.ECDSA, None, None, True, None, private, public, False), ("x", "RSA", None, None, True, None, None, None, False))
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "id long, canonical_form string").withColumn("frozen_hash", F.sha2("canonical_form", 256))
+    signed = receipts.sign(base, keys).select("id", "canonical_form", "envelope").collect() + receipts.sign(base, keys, "e").select("id", "canonical_form", "envelope").collect()
+    e = [r["envelope"] for r in signed]
+    env = lambda x, *sigs: (x["payloadType"], x["payload"], [tuple(s) for s in sigs])
+    good = [(r["id"], env(r["envelope"], *r["envelope"]["signatures"])) for r in signed]
+    h, ec = e[0]["signatures"][0], e[4]["signatures"][0]
+    more = [
+        (1, env(e[0], ("h", "AAAA"))), (None, env(e[0], ("h", None))), (1, env(e[0], ("x", "AAAA"), ("nobody", h["sig"]), ("e", h["sig"]), tuple(h))), (3, env(e[0], ("e", "!"), (None, "AAAA"))),
+        (3, ("other", e[0]["payload"], [tuple(h)])), (3, (e[0]["payloadType"], e[0]["payload"], None)), (3, (e[0]["payloadType"], "e30", [tuple(h)])), (3, env(e[5], tuple(ec))), (3, None),
+    ]
+    df = spark.createDataFrame(good + more, f"id long, envelope {receipts.ENVELOPE}")
+    want = [(r["id"], True, r["envelope"]["signatures"][0]["keyid"], "Signature valid") for r in signed] + [
+        (1, False, None, "h: signature mismatch"), (None, False, None, "h: signature mismatch"), (1, True, "h", "Signature valid"), (3, False, None, "e: signature mismatch; : not found in registry"),
+        (3, False, None, "Unexpected payloadType: other"), (3, False, None, "No signatures in envelope"), (3, False, None, "Malformed payload"), (3, False, None, "e: signature mismatch"), (3, False, None, "Undecodable payload"),
+    ]
+    for most in (10, 1):
+        got = [tuple(r) for r in receipts.verify(df, keys, most_keys=most).select("id", "valid", "keyid", "reason").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = receipts.verify(df, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_signers_that_may_not_sign(spark):
+    past = "2024-02-01T00:00:00Z"
+    keys = _key_rows(
+        spark, ("gone", K.HMAC, None, past, False, b"s", None, None, False), ("old", K.HMAC, past, None, True, b"s", None, None, False), ("rested", K.HMAC, None, None, False, b"s", None, None, False),
+        ("odd", "RSA", None, None, True, None, None, None, False), ("twice", K.HMAC, None, None, True, b"s", None, None, False), ("twice", K.HMAC, None, None, True, b"t", None, None, False),
+    )
+    df = spark.createDataFrame([("f", "c", "2024-01-05T00:00:00Z")], "frozen_hash string, canonical_form string, t string")
+    for name in ("gone", "old", "rested", "odd", "twice", "nobody", None):
+        with pytest.raises(ValueError, match="key"):
+            receipts.sign(df, keys, name)
+    assert receipts.sign(df, keys, "old", at="2024-01-05T00:00:00Z", when=F.col("t")).count() == 1  # times may come from a column
+
+
+def test_key_tables_and_reports_as_files(spark, tmp_path):
+    r = K.Registry(str(tmp_path / "keys.json"))
+    r.generate_hmac("a", secret=b"s" * 32)
+    r.generate_ecdsa("b", use=False)
+    keys = files.read_keys(spark, str(tmp_path / "keys.json"))
+    assert {x["keyid"]: x["current"] for x in keys.collect()} == {"a": True, "b": False} and receipts.signer(keys) == ("a", K.HMAC)
+    files.write_public_keys(keys, str(tmp_path / "public"))
+    public = spark.read.json(str(tmp_path / "public"))
+    assert {x["keyid"]: x["hmac_fingerprint"] for x in public.collect()} == {"a": hashlib.sha256(b"s" * 32).hexdigest()[:16], "b": None} and "hmac_secret_b64" not in public.columns
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.json").write_text('{"canon_version": 1,\n"n": 2}')
+    assert [x["receipt"] for x in files.read_receipts(spark, str(tmp_path / "r")).collect()] == ['{"canon_version": 1,\n"n": 2}']
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tallyseal.__main__ import main
+    from tallyseal.plans import receipt_queries
+
+    v = tmp_path / "v.jsonl"
+    v.write_text('{"id":"1","a":" x ","b":"x","expect_same":true}\n{"id":"2","a":1,"b":2,"expect_same":true}\n')
+    assert main(["prove", "--vectors", str(v), "--verbose"]) == 1 and "FAIL 2" in capsys.readouterr().out
+    assert main(["prove", "--vectors", str(v), "--vector", "1", "--evidence-dir", str(tmp_path / "out")]) == 0
+    assert main(["prove", "--vectors", str(v), "--vector", "1", "--no-sign"]) == 0 and "Receipts: 0 of 0" in capsys.readouterr().out
+    assert main(["prove", "--vectors", str(tmp_path / "none")]) == 2
+    rows = {f"{k}.json": receipt_queries._receipt(k, "n") for k in (0, 1, 2, 3, 5)}
+    for name, text in rows.items():
+        (tmp_path / name).write_text(text)
+    key, path = crypto.ed25519_public(receipt_queries.SEED).hex(), lambda k: str(tmp_path / f"{k}.json")
+    assert main(["verify", "--key", key, *map(path, (0, 1, 2, 3))]) == 0 and capsys.readouterr().out.count("VALID") == 4
+    assert main(["verify", path(5)]) == 1 and "[FAIL] signature" in capsys.readouterr().out
+    assert main(["verify", "--json", path(1)]) == 0 and json.loads(capsys.readouterr().out)["valid"]
+    assert main(["verify", path(0)]) == 1 and main(["verify", path(77)]) == 2
+    with pytest.raises(SystemExit):
+        main(["verify"])
+
+
+def test_chains_and_ranks(spark):
+    df = spark.createDataFrame([("s", 1, "a", None), ("s", 2, "b", "a"), ("s", 3, "c", "x"), ("t", 1, "d", None)], "k string, n int, own string, prior string")
+    assert [r["own"] for r in receipts.chain_breaks(df, "k", "n", "own", "prior").collect()] == ["c"]
+    ranked = sameness.rank_in_class(df.withColumn("frozen_hash", F.col("k")), "n").collect()
+    assert sorted((r["own"], r["place"]) for r in ranked) == [("a", 1), ("b", 2), ("c", 3), ("d", 1)]
+
+
 def test_verifier_formats(spark):
     seed = bytes(32)
     key = crypto.ed25519_public(seed).hex()
@@ -171,6 +261,11 @@ def test_unicode_space_and_escape(spark):
     import re
 
     assert rows[0]["n"] == re.sub(r"\s+", " ", text.strip()) and rows[0]["j"] == json.dumps(text) and rows[1]["j"] is None
+    texts = [text, "plain", 'q"\\\n\r\t\b\f', "\x01\x0b\x1f\x7f", "", "\\u0041", None]
+    more = spark.createDataFrame([(x,) for x in texts], "t string")
+    for native in (False, True):
+        assert [r[0] for r in more.select(strings.json_text(F.col("t"), native=native)).collect()] == [None if x is None else json.dumps(x) for x in texts]
+    assert [r[0] for r in more.select(strings.json_normal(F.col("t"), P)).collect()] == [None if x is None else json.dumps(schemaless.normalize(x, P)) for x in texts]
 
 
 def test_sameness(spark):
