@@ -419,23 +419,72 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
-def test_topk_edges(spark):
-    rng = random.Random(2)
-    rows = [(k, [rng.choice([0.0, 0.5, -0.25]) for _ in range(3)]) for k in range(300)] + [(900, None), (None, [1.0, 1.0, 1.0]), (920, [float("nan"), 0.0, 0.0]), (940, [None, 0.0, 0.0]), (960, [1.0, 2.0]), (20, [9.0, 9.0, 9.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = topk.integer_vectors(df)
-    kept = sorted((r["vec_id"], r["v"]) for r in whole.collect())
-    queries = whole.where("vec_id % 20 = 0 and vec_id != 20")
+def best_of(kept, asked, k):
+    """Brute force over (id, vector) rows."""
+    out = {}
+    for q, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in kept if i != q and len(w) == len(v))[:k]
+        out[q] = [(i + 1, j, -s) for i, (s, j) in enumerate(best)]
+    return out
+
+
+def found_by(rows):
     got = {}
-    for r in topk.top_k(whole, queries, k=5, shard_rows=40, group_rows=4).collect():
+    for r in rows:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    for q, v in kept:
-        if q % 20 == 0 and q != 20:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in kept if k != q and len(w) == len(v))[:5]
-            assert sorted(got.get(q, [])) == [(i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    return {q: sorted(x) for q, x in got.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_values": 120}, {"shard_values": 120, "slice_queries": 4, "most_boxes": 3}])
+def test_topk_edges(spark, options):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([0.0, 0.5, -0.25]) for _ in range(3)]) for k in range(300)] + [(900, None), (None, [1.0, 1.0, 1.0]), (920, [float("nan"), 0.0, 0.0]), (940, [None, 0.0, 0.0]), (960, [1.0, 2.0])]
+    rows += [(20, [9.0, 9.0, 9.0]), (40, [-9.0, 9.0, 9.0]), (980, []), (981, []), (982, []), *[(1001 + k, [0.25, 0.25, 0.25]) for k in range(200)]]
+    whole = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    kept = sorted((r["vec_id"], r["v"]) for r in whole.collect())
+    asked = {}
+    for k, v in kept:
+        if k % 20 == 0:
+            asked[k] = min(asked.get(k, v), v)
+    got = found_by(topk.top_k(whole, whole.where("vec_id % 20 = 0"), k=5, **options).collect())
+    want = {q: x for q, x in best_of(kept, asked, 5).items() if x}
+    assert got == want and got[980] == [(1, 981, 0), (2, 982, 0)] and 960 not in got
     assert topk.top_k(whole.where("false"), whole.where("false")).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Integers beyond 2^31 and beyond what floats hold are exact; what doesn't fit 64 bits raises."""
+    rng = random.Random(4)
+    rows = [(k, [rng.choice([2.0**40, 2.0**26, -(2.0**33), 1.0 / 64, 3.0]), rng.choice([1.0, -1.0 / 64, 0.0])]) for k in range(60)]
+    rows = [(k, [x, y if abs(x) < 2.0**30 else y / 64]) for k, (x, y) in rows if k % 20 or abs(x) < 2.0**20]
+    whole = topk.integer_vectors(spark.createDataFrame([*rows, (0, [2.0**40, 1.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>"))
+    kept = sorted((r["vec_id"], r["v"]) for r in whole.collect())
+    queries = whole.where("vec_id in (20, 40)")
+    assert found_by(topk.top_k(whole, queries, k=7).collect()) == best_of(kept, {k: v for k, v in kept if k in (20, 40)}, 7)
+    assert max(abs(x) for _, v in kept for x in v) == 2**46
+    pair = topk.integer_vectors(spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert topk.top_k(pair, pair.where("vec_id = 0")).first()["score"] == 2**46 * 192 + 64 * 64 == 13510798882115584
+    for bad in ([[1e300, 0.0]], [[2.0**57, 1.0]]):  # a component, a product
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(bad * 2)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(topk.integer_vectors(df), topk.integer_vectors(df).where("vec_id = 0")).collect()
+
+
+def test_topk_visits_few_nodes_and_ships_vectors_once(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-500, 500, (40, 4))
+    v = (centres[rng.integers(0, 40, 20_000)] + rng.integers(-5, 5, (20_000, 4))).astype(np.int64)
+    tree, seen = topk.KDTree(v, np.arange(len(v))), []
+    tree._leaf = lambda rows, s, *more: (seen.append(s.size), topk.KDTree._leaf(rows, s, *more))
+    q, i, s = tree.search(v[:50], np.arange(50), np.full(50, topk.NONE + 1), 10)
+    scores = v[:50] @ v.T
+    scores[np.arange(50), np.arange(50)] = topk.NONE
+    assert np.array_equal(np.sort(s.reshape(50, 10), 1), np.sort(np.partition(scores, -10, 1)[:, -10:], 1)) and sum(seen) < 50 * len(v) / 10
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v[:4000])], "vec_id long, v array<long>")
+    few, many = (topk.top_k(df, df.where(f"vec_id % {m} = 0"), k=3, shard_values=2000)._jdf.queryExecution().optimizedPlan().toString().count("Generate") for m in (200, 4))
+    assert few == many
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
