@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step looks at together.
@@ -21,10 +21,12 @@ _own_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder of this process (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark runs in this process alone, a folder of the process (tests). Raises RuntimeError on a cluster without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own_roots:
             _own_roots[app] = tempfile.mkdtemp(prefix="tallyseal-")
             import shutil
@@ -180,5 +182,18 @@ def pages_sum(df: DataFrame, parts: int) -> DataFrame:
     return df
 
 
+def unused(columns, name: str) -> str:
+    """The name, with underscores behind it until no column has it, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of a table, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -7,9 +7,11 @@ of labelled rows (`max_rows`, the rows with the smallest hash of their id);
 scoring is a projection of the scan: no shuffle, no Python.
 
 Edge cases: null or empty text has all statistics 0 and still gets a score; other
-null columns and extra columns are carried through; labels that are null take no
-part in fitting; without both classes in the sample every text gets the share of
-label 1 (0.5 without any label).
+null columns and extra columns are carried through, whatever their names, but for one
+named as the score, which is replaced; labels that are null take no part in fitting, and
+of labels for one id the smaller counts; without both classes in the sample every text
+gets the share of label 1 (0.5 without any label); very long texts are scored whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyseal.llm.common import unused
+
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text, each a native expression."""
@@ -162,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fits on at most max_rows labelled rows; labels holds the rows that may be learnt from."""
     sample = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-        .where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+        .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id")
@@ -176,8 +180,8 @@ def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text", score_co
     """docs with the score in 0 to 1 as one more column; the statistics are computed once, below the rules."""
     used = sorted(model.used())
     stats = statistics(F.col(text_col))
-    made = F.struct(*[stats[k].cast("double").alias(k) for k in used]) if used else F.lit(None)
-    return docs.withColumn("_stats", made).withColumn(score_col, model.score(lambda k: F.col("_stats")[k])).drop("_stats")
+    made, own = F.struct(*[stats[k].cast("double").alias(k) for k in used]) if used else F.lit(None), unused([*docs.columns, score_col], "stats")
+    return docs.withColumn(own, made).withColumn(score_col, model.score(lambda k: F.col(own)[k])).drop(own)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:

@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, license_scan, lm_scoring, media, packing, pieces, quality_rules, substring_dedup, token_files, topk
-
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from tallyseal.llm import jaccard_join, license_scan, lm_scoring, media, packing, pieces, pipeline, quality_rules, substring_dedup, token_files, topk
 
 
 def queries() -> dict:
@@ -23,7 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_pieces": pieces.op9_pieces,
         "op10_topk": topk.op10_topk,
-        "pipeline": pipeline,
+        "pipeline": pipeline.run,
     }
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyseal.llm.common import Scratch, arrow_map, signed, span_hashes, text_slices, word_hashes, word_spans
+from tallyseal.llm.common import Scratch, all_columns, arrow_map, signed, span_hashes, text_slices, word_hashes, word_spans
 
 KGRAM = 8
 
@@ -286,13 +286,16 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments
     return hits
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5000, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5000, texts: bool = False, stats: tuple[str, str, str] = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, n_words, n_removed, kept_sha256).
 
-    With texts: all columns of docs and these four, text being what is kept; a text that loses nothing stays byte for byte.
+    With texts: all columns of docs, text being what is kept (a text that loses nothing stays byte for byte), and the three under the
+    names of `stats`, which must not be names of docs' columns.
     """
+    if texts and {c.lower() for c in docs.columns} & {c.lower() for c in stats}:
+        raise ValueError("name the three results so that no column of the input has their names")
     scratch = Scratch(docs.sparkSession, "substring")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")] * texts)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*[x for x, c in zip(all_columns(docs), docs.columns, strict=True) if c != "text"]).alias("_row")] * texts)
     if keyed.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         keyed = keyed.withColumn("key", F.col("doc_id"))
     else:  # ids that are no key: rows get numbers of their own in a written copy
@@ -304,7 +307,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5
     out = arrow_map(joined, lambda it: _rewrite(it, window, texts), schema)
     if not texts:
         return out.select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
-    return out.select(*[F.col("kept").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns], *[c for c in ("n_words", "n_removed", "kept_sha256") if c not in docs.columns])
+    return out.select(*[F.col("kept").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(("n_words", "n_removed", "kept_sha256"), stats, strict=True)])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

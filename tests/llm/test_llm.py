@@ -506,6 +506,35 @@ def test_pipeline(spark):
         kept.count()
 
 
+def test_stages_with_clashing_columns(spark):
+    """Columns with the names that stages and operators use inside, or with strange ones, neither crash nor change what is kept."""
+    import corpus_pipeline
+
+    rows = [(1, " ".join(f"a{k}" for k in range(50)), 50), (2, " ".join(f"b{k}" for k in range(80)), 80), (3, " ".join(f"a{k}" for k in range(50)) + " end", 51), (4, "", 0), (4, None, None), (None, "x y z", 3)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    names = ["stats", "_stats", "score", "_score", "n_words", "n_removed", "kept_sha256", "row", "_row", "n", "key", "hits", "kept", "component_id", "set_id", "sid", "a.b", "c`d"]
+    more = plain.select("*", *[F.lit(5).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        base, got = stage(spark, plain, SF), stage(spark, more, SF)
+        assert got.columns == more.columns
+        assert sorted(map(tuple, got.select("doc_id", "text", "n_chars").collect()), key=repr) == sorted(map(tuple, base.collect()), key=repr), name
+        assert {tuple(r)[3:] for r in got.collect()} <= {(5,) * len(names)}
+    assert {r["doc_id"] for r in corpus_pipeline.substrings(spark, more, SF).collect()} == {2, 3, 4, None}
+    with pytest.raises(ValueError, match="name the three"):
+        substring_dedup.remove_repeats(more, texts=True)
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tallyseal.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077", applicationId="a", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.scratch_root(cluster)
+
+
 def test_near_duplicates_without_a_key(spark):
     """Unlike texts under one id both stay, copies go whatever their ids, and the smallest id stays."""
     import corpus_pipeline
