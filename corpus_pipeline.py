@@ -1,63 +1,5 @@
-"""Corpus pipeline: quality classifier, n-gram Jaccard join, substring dedup, packing."""
+"""Corpus pipeline: quality classifier, n-gram Jaccard join, substring dedup, packing. The stages' code is in tallyseal.llm.pipeline, so that a shipped package has it."""
 
-from __future__ import annotations
+from tallyseal.llm.pipeline import ORACLE_SQL, STAGES, near_duplicates, pack, quality, run, substrings
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tallyseal.llm import jaccard_join, packing, quality_rules, substring_dedup
-from tallyseal.llm.common import Scratch
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.3 or more stay. Learnt from the labelled documents of sf_dir outside the held-out fold."""
-    scored = quality_rules.score(docs, quality_rules.train_on(spark, sf_dir), score_col="_score")
-    return scored.where("_score >= 0.3").select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are linked at Jaccard similarity 0.8, the one with the smallest id stays. Rows that repeat an id or have none (these come last) are judged by their own texts."""
-    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        found = jaccard_join.jaccard_components(docs, words=5, threshold=(80, 100))
-        keep = found.where("component_id = doc_id").select("doc_id")
-        return docs.join(keep.hint("shuffle_hash"), "doc_id").select(docs.columns)
-    # ids that are no key: rows get numbers of their own in a written copy
-    numbered = Scratch(spark, "near").keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
-    found = jaccard_join.jaccard_components(numbered.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), words=5, threshold=(80, 100))
-    ids = numbered.select("n", "row.doc_id").join(found.select(F.col("doc_id").alias("n"), "component_id"), "n")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
-    keep = ids.groupBy("component_id").agg(first).select("first.n")
-    return numbered.join(keep.hint("shuffle_hash"), "n").select("row.*")
-
-
-def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows of 35 that also start elsewhere go; texts without any stay byte for byte; texts that lose every word go."""
-    found = substring_dedup.remove_repeats(docs, texts=True)
-    kept = found.where("n_removed = 0 or n_removed < n_words")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 ids."""
-    return packing.pack(docs)
-
-
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("packing", pack)]
-
-#: Tokenization and components can't be said in SQL; tests hold each stage against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written in the shared folder and read again by the next."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for name, stage in STAGES:
-        after = scratch.keep(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            scratch.drop(before)
-        docs = before = after
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "near_duplicates", "pack", "quality", "run", "substrings"]
