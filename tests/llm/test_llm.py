@@ -138,12 +138,12 @@ def test_token_files(spark, docs, texts, tmp_path):
 
 # -- 2 --------------------------------------------------------------------------
 
-@pytest.mark.parametrize("shard_segments", [5000, 0])
-def test_substring_dedup(docs, texts, shard_segments):
+@pytest.mark.parametrize("shard_words", [120_000, 0])
+def test_substring_dedup(docs, texts, shard_words):
     window = 12
     words = {k: word_list(t) for k, t in enumerate(texts)}
     seen = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
-    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, window=window, shard_segments=shard_segments, texts=True).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, window=window, shard_words=shard_words, texts=True).collect()}
     for k, w in words.items():
         keep = [True] * len(w)
         for i in range(len(w) - window + 1):
@@ -172,6 +172,19 @@ def test_substring_dedup_short_periods(spark, n, period):
         assert (r["n_words"], r["n_removed"]) == (n + 2 * lead, n)
 
 
+@pytest.mark.parametrize("shard_words", [120_000, 5000])
+def test_substring_dedup_of_very_long_runs(spark, shard_words):
+    """Two million times one word, and texts in which one phrase comes again and again between words of their own."""
+    rng = random.Random(4)
+    phrase = " ".join(f"p{k}" for k in range(12))
+    between = lambda n: " ".join(f"{phrase} {' '.join(f'u{rng.randrange(10**9)}' for _ in range(8))}" for _ in range(n))
+    one, two = between(400), between(400)
+    middle = " ".join(one.split()[2000:2100])
+    rows = [(1, "spam " * 2_000_000), (2, one), (3, f"{two} {middle}"), (4, "spam " * 34)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_words=shard_words).collect()}
+    assert got == {1: (2_000_000, 2_000_000), 2: (8000, 100), 3: (8100, 100), 4: (34, 0)}
+
+
 def test_segments_that_repeat_a_window():
     rng = np.random.default_rng(5)
     for n, period in [(36, 1), (37, 2), (38, 3), (41, 6), (60, 9), (90, 40)]:
@@ -371,9 +384,96 @@ def test_lm_scoring(spark, docs, texts):
     assert sorted(r["held_out"] for r in lm_scoring.score_texts(strange(spark)).select("held_out", "doc_id").where("doc_id is null").collect()) == [True, True]
 
 
-def test_lm_beats_base_on_held_out(spark):
-    got = registry.queries()["op5_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
-    assert got["s"] / got["n"] > got["b"] / got["n"] + 0.05
+def test_lm_edges(spark):
+    """Without training documents the base; a long word that every document holds is no hot key."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    none = spark.createDataFrame([(k, "some words") for k in ids], "doc_id long, text string")
+    assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm_scoring.score_texts(none).collect()} == {(0, 0, 0.0, 0.0)}
+    banner = "http://" + "x" * 80
+    df = spark.createDataFrame([(k, f"{banner} a{k} b") for k in range(300)], "doc_id long, text string")
+    rows = lm_scoring.score_texts(df, head=50).collect()
+    n = sum(not r["held_out"] for r in rows)
+    assert {(r["n_tokens"], r["n_known"]) for r in rows} == {(4, 4), (4, 3)} and {r["train_tokens"] for r in rows} == {4 * n}
+    for r in rows:
+        base = 3 * log10((n + 1) / (4 * n + n + 4)) + log10((1 if r["held_out"] else 2) / (4 * n + n + 4))
+        assert abs(r["base_score"] - base) < 1e-9 and r["score"] > base
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    rng = np.random.default_rng(8)
+    words = 30
+    count = np.append(np.sort(rng.integers(1, 40, words))[::-1], 0).astype(np.float64)
+    klass = np.append(rng.integers(0, lm_scoring.CLASSES, words), lm_scoring.CLASSES)
+    klass[:-1][count[:-1] == 1] = lm_scoring.CLASSES
+    tables = [rng.normal(0, 0.5, (64, lm_scoring.CLASSES + 1)) for _ in range(3)]
+    return lm_scoring.Vocabulary(np.arange(words, dtype=np.uint64), np.ones(words, np.uint64), count, klass), lm_scoring.Model(tables, rng.normal(0, 0.5, lm_scoring.CLASSES + 1))
+
+
+def brute_class_logs(model, ids):
+    """Natural log of the probability of every class at every place of one text, by plain softmax."""
+    out = []
+    for k in range(len(ids)):
+        one, two = (np.array([ids[k - d] if k >= d else -2]) for d in (1, 2))
+        f = lm_scoring._features(one, two, model.rows)[:, 0]
+        z = model.bias + sum(t[r] for t, r in zip(model.tables, f, strict=True))
+        out.append(z - np.log(np.exp(z).sum()))
+    return np.array(out)
+
+
+def test_lm_score_equals_brute_force(small_model):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    v, model = small_model
+    rng = random.Random(6)
+    docs = [[rng.randrange(-1, 30) for _ in range(n)] for n in (1, 2, 3, 50, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array([0] * 5, pa.int32()), pa.array(docs, pa.list_(pa.int32()))], names=["key", "doc_id", "shard", "ids"])
+    once, tail_mass = 0.4, 0.4 * (v.count[:-1] == 1).sum() + 7.0
+    mass = {k: sum(c + 1 for c, x in zip(v.count[:-1], v.klass[:-1], strict=True) if x == k) for k in range(lm_scoring.CLASSES)}
+
+    def in_class(w):
+        return (once if v.count[w] == 1 else 1.0) / (tail_mass if v.count[w] == 1 else 1.0) if v.klass[w] == lm_scoring.CLASSES else (v.count[w] + 1) / mass[v.klass[w]]
+
+    rows = [r for b in lm_scoring._score(iter([batch]), SimpleNamespace(value=v), SimpleNamespace(value=model), once, tail_mass) for r in b.to_pylist()]
+    for r, ids in zip(rows, docs, strict=True):
+        logs = brute_class_logs(model, ids)
+        want = sum(logs[k][v.klass[w]] / np.log(10) + (log10(in_class(w)) if w >= 0 else 0) for k, w in enumerate(ids))
+        assert abs(r["model"] - want) < 1e-6 * max(1, abs(want)) and r["n_tokens"] == len(ids) and r["head_known"] == sum(w >= 0 for w in ids)
+    # all words and the unseen one (weight 7) together have probability 1
+    for row in np.exp(brute_class_logs(model, docs[3])[:5]):
+        empty_classes = sum(p for k, p in enumerate(row[:-1]) if not mass[k])
+        assert abs(sum(row[v.klass[w]] * in_class(w) for w in range(30)) + row[-1] * 7.0 / tail_mass + empty_classes - 1) < 1e-9
+
+
+def test_lm_gradient_is_the_derivative(small_model):
+    v, model = small_model
+    rng = np.random.default_rng(2)
+    ids, offs = rng.integers(-1, 30, 300), np.array([0, 1, 120, 300])
+    got = np.zeros((3, model.rows, lm_scoring.CLASSES + 1))
+    lm_scoring.gradient(model, ids, offs, v.klass, got)
+
+    def loss(m):
+        return -sum(brute_class_logs(m, ids[a:b])[np.arange(b - a), v.klass[ids[a:b]]].sum() for a, b in zip(offs[:-1], offs[1:], strict=True))
+
+    for k, row, c in [(int(rng.integers(3)), int(rng.integers(64)), int(rng.integers(49))) for _ in range(12)]:
+        ends = []
+        for d in (1e-4, -1e-4):
+            tables = [t.copy() for t in model.tables]
+            tables[k][row, c] += d
+            ends.append(loss(lm_scoring.Model(tables, model.bias)))
+        assert abs((ends[0] - ends[1]) / 2e-4 - got[k, row, c]) < 1e-4
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    """Held-out log10 a token above the base, and the same for 1, 16 and 64 partitions."""
+    docs, means = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    for parts in (1, 16, 64):
+        got = lm_scoring.score_texts(docs.repartition(parts)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        means.append(got["s"] / got["n"])
+        assert means[-1] > got["b"] / got["n"] + 0.5
+    assert max(means) - min(means) < 1e-5
 
 
 def test_quality(spark):
