@@ -12,9 +12,11 @@ whose match of `window` words occurs twice or more marks that window. Shards of
 documents sent to every document would cost the square of the corpus; routing
 sends a document's words only to shards that can hold a match.
 
-A k-gram with more than `shard_segments` distinct segments is not built in one
-task: its windows are counted one by one under their own hash, by native
-aggregation.
+Runs that share a k-gram for more than 2048 windows (one word over and over, say) are
+cut, so equal stretches collapse here, too. A k-gram whose distinct segments have more
+than `shard_words` words is not built in one task: its windows are counted one by one
+under their own hash, by native aggregation. A task's memory follows that bound and its
+longest text.
 
 Edge cases: null and empty texts have no words and keep none; texts shorter than
 the window are kept; a passage repeated within one text counts; documents with a
@@ -36,6 +38,8 @@ from pyspark.sql import types as T
 from tallyseal.llm.common import Scratch, all_columns, arrow_map, signed, span_hashes, text_slices, word_hashes, word_spans
 
 KGRAM = 8
+LONGEST = 2048  # windows of a segment
+HEAVY, MOST_HEAVY = 2_000, 100_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -58,6 +62,10 @@ def _segments(hashes: np.ndarray, window: int):
     anchors = _sliding_min(grams, window - KGRAM + 1)
     starts = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
     counts = np.diff(np.concatenate([starts, [n]]))
+    if counts.max() > LONGEST:
+        cut = -(-counts // LONGEST)
+        at = (np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)) * LONGEST
+        starts, counts = np.repeat(starts, cut) + at, np.minimum(np.repeat(counts, cut) - at, LONGEST)
     segs = span_hashes(hashes, starts, starts + counts + window - 1)
     own = np.zeros(len(starts), bool)
     spans = counts + window - KGRAM  # k-grams of each segment
@@ -247,15 +255,16 @@ def _rewrite(batches, window: int, texts: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, *more.values()], names=["key", "n_words", "n_removed", "kept_sha256", *["kept"] * texts, *more])
 
 
-def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments: int) -> DataFrame:
+def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_words: int) -> DataFrame:
     """(key, hits) for keyed(key, text) with unique keys: the segments of a text that hold windows met elsewhere, and which."""
     spark = keyed.sparkSession
     rows = scratch.keep(arrow_map(keyed, lambda it: _route(it, window), "anchor long, seg long, key long, first int, wins int, own boolean"), "segments")
     distinct = rows.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.min(F.struct("key", "first")).alias("at"), F.max("wins").alias("wins"), F.max("own").alias("own"))
     distinct = scratch.keep(distinct.select("anchor", "seg", "weight", "at.key", "at.first", "wins", "own"), "distinct")
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("own").alias("any_own")).where("variants > 1 or any_own")
+    size = F.sum(F.col("wins").cast("long") + window - 1)
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("variants"), size.alias("size"), F.max("own").alias("any_own")).where("variants > 1 or any_own")
     whole = distinct.where("weight > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("marks"))
-    wanted = distinct.join(shared, "anchor").withColumn("hot", F.col("variants") > shard_segments)
+    wanted = distinct.join(shared, "anchor").withColumn("hot", F.col("size") > shard_words)
     wanted = scratch.keep(wanted.groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.struct("anchor", "seg", "first", "wins", "weight"))).alias("wanted"), F.collect_list(F.when(F.col("hot"), F.struct("anchor", "seg", "first", "wins", "weight"))).alias("hot")), "wanted")
     texts = keyed.join(wanted.hint("shuffle_hash"), "key")
     schema = "anchor long, seg long, weight long, words binary"
@@ -275,8 +284,16 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["anchor", "seg", "weight", "at", "win"])
 
         each = scratch.keep(arrow_map(keyed.join(wanted.where(F.size("hot") > 0).select("key", F.col("hot").alias("wanted")).hint("shuffle_hash"), "key").select("key", "text", "wanted"), windows, "anchor long, seg long, weight long, at int, win long"), "windows")
-        often = each.groupBy("anchor", "win").agg(F.sum("weight").alias("k")).where("k > 1").select("anchor", "win")
-        found = each.where("weight = 1").join(often, ["anchor", "win"]).groupBy("anchor", "seg").agg(F.collect_set("at").alias("marks"))
+        often = each.groupBy("anchor", "win").agg(F.sum("weight").alias("k")).where("k > 1")
+        # windows met most often, at most one in HEAVY, would each be one task's; they are sent out if they are few
+        once, heavy = each.where("weight = 1"), often.where(F.col("k") > HEAVY).select("anchor", "win")
+        often = often.select("anchor", "win")
+        if heavy.limit(MOST_HEAVY + 1).count() <= MOST_HEAVY:
+            heavy = F.broadcast(heavy)
+            met = once.join(heavy, ["anchor", "win"]).union(once.join(heavy, ["anchor", "win"], "left_anti").join(often, ["anchor", "win"]).select("anchor", "win", *[c for c in once.columns if c not in ("anchor", "win")]))
+        else:
+            met = once.join(often, ["anchor", "win"])
+        found = met.groupBy("anchor", "seg").agg(F.collect_set("at").alias("marks"))
         verdict = verdict.union(found)
     verdict = scratch.keep(verdict, "verdict")
     scratch.drop(distinct)
@@ -286,7 +303,7 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_segments
     return hits
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5000, texts: bool = False, stats: tuple[str, str, str] = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 35, shard_words: int = 240_000, texts: bool = False, stats: tuple[str, str, str] = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, n_words, n_removed, kept_sha256).
 
     With texts: all columns of docs, text being what is kept (a text that loses nothing stays byte for byte), and the three under the
@@ -300,7 +317,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, shard_segments: int = 5
         keyed = keyed.withColumn("key", F.col("doc_id"))
     else:  # ids that are no key: rows get numbers of their own in a written copy
         keyed = scratch.keep(keyed.withColumn("key", F.monotonically_increasing_id()), "numbered")
-    hits = find_repeats(keyed.select("key", "text"), scratch, window, shard_segments)
+    hits = find_repeats(keyed.select("key", "text"), scratch, window, shard_words)
     own = keyed.select("key", "text", *["_row"] * texts, *([] if texts else [F.struct("doc_id").alias("_row")]))
     joined = own.join(hits.hint("shuffle_hash"), "key", "left").select("key", "text", "hits", "_row")
     schema = T.StructType.fromDDL("key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts).add(joined.schema["_row"])
