@@ -9,11 +9,14 @@ too small or whose members are connected already. Here bitmaps alone decide, and
 spanning forest of what they let pass is written, not all pairs. Distributed connected
 components over these edges give coarse groups that no link leaves; every distinct set
 then goes with its tokens to the one task of its coarse group, where the same tree
-with exact intersections at the end finds the links. Tokens with more than `hot_sets`
-sets are split by size ranges that overlap, so that no linked pair is parted.
+with exact intersections at the end finds the links. A token counts only if for one of
+its sets it is among the even rarer tokens of which one must be shared with a set at
+least as large; so sets that have much in common, but not enough, don't meet. Tokens with
+more than `hot_sets` sets are split by size ranges that overlap, and sets of one size
+into blocks that meet in pairs, so that no linked pair is parted and no task has more.
 
-A coarse group with more than `group_tokens` tokens is cut into blocks by size, and
-block pairs that the size ranges allow are joined in tasks of their own.
+A coarse group with more than `group_tokens` tokens or `group_sets` sets is cut into
+blocks by size, and block pairs that the size ranges allow are joined in tasks of their own.
 
 Edge cases: exact copies are one set with many documents; null or empty texts have
 an empty set, are linked with nothing and stand alone; a null id takes no part in
@@ -34,7 +37,7 @@ from tallyseal.llm.common import Scratch, arrow_map, mix, pages_sum, signed, spa
 COUNTERS = 1 << 18
 PAGE = 1 << 12
 BITS = 2048
-HOT_SETS = 50_000
+HOT_SETS = 20_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -105,17 +108,23 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def index_length(n: int, num: int, den: int) -> int:
+    """As prefix_length, where the other set is at least as large: the first common token then lies in this shorter prefix."""
+    return n - -(-2 * n * num // (num + den)) + 1
+
+
 def _prefixes(batches, words: int, num: int, den: int, counters) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, sid, n, tokens, sig) a document; tokens and signature only the first time that this task meets the set."""
+    """A row (doc_id, sid, n, tokens, lead, sig) a document, `lead` of the tokens being its index prefix; tokens and signature only the first time that this task meets the set."""
     rank, seen = counters.value, set()
     for batch, i, sets in _sets(batches, words):
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(i, len(sets))
-        sids, sizes, tokens, sigs = [], [], [], []
+        sids, sizes, tokens, leads, sigs = [], [], [], [], []
         for s, known in zip(sets, ids.is_valid().to_pylist(), strict=True):
             n = len(s)
             sid = set_id(s) if n else None
             sids.append(sid)
             sizes.append(n)
+            leads.append(index_length(n, num, den) if n else 0)
             if not known or not n or sid in seen:
                 tokens.append(None)
                 sigs.append(None)
@@ -126,7 +135,7 @@ def _prefixes(batches, words: int, num: int, den: int, counters) -> Iterator[pa.
             order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:p]
             tokens.append(signed(s[order]))
             sigs.append(signature(s))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "sid", "n", "tokens", "sig"])
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(leads, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "sid", "n", "tokens", "lead", "sig"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -149,17 +158,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return new.selectExpr("u as node", "v as label").union(new.selectExpr("v as node", "v as label").distinct())
 
 
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint16)
-
-
 class _Tree:
     """Signature tree over sets in the order given: node k covers [lo, hi)."""
 
-    LEAF = 16
+    LEAF = 32
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        self.sizes, self.bits = sizes, bits
-        self.slack = sizes - _ONES[bits].sum(1).astype(np.int64)
+        self.sizes, self.bits = sizes, np.ascontiguousarray(bits).view(np.uint64)
+        self.slack = sizes - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
         self.nodes: list[tuple[int, int, int, int, int, np.ndarray, int, int]] = []
         self.root = self._build(0, len(sizes))
 
@@ -257,23 +263,23 @@ def link_sets(sets: list[np.ndarray] | None, num: int, den: int, cut: int | None
         if same[x] >= 0 and same[y] >= 0 and root(same[x]) == root(same[y]):
             continue
         if x != y:
-            most = min(xb, yb, int(_ONES[xbits & ybits].sum()) + min(xs, ys))
+            most = min(xb, yb, int(np.bitwise_count(xbits & ybits).sum(dtype=np.int64)) + min(xs, ys))
             if xb * den < ya * num or yb * den < xa * num or (num + den) * most < num * (xa + ya):
                 continue
         if x1 < 0 and y1 < 0:
-            for i in range(xl, xh):
-                js = np.arange(max(yl, i + 1), yh)
-                if cut is not None:
-                    if i >= cut:
-                        break
-                    js = js[js >= cut]
-                if not len(js):
-                    continue
-                r = root(i)
+            left, right = np.arange(xl, xh), np.arange(yl, yh)
+            near = np.array([root(i) for i in range(xl, xh)])[:, None] != np.array([root(j) for j in range(yl, yh)])
+            near &= left[:, None] < right
+            if cut is not None:
+                near &= (left[:, None] < cut) & (right >= cut)
+            if near.any():
+                most = np.bitwise_count(tree.bits[left][:, None] & tree.bits[right]).sum(2, dtype=np.int64) + np.minimum(tree.slack[left][:, None], tree.slack[right])
+                near &= (num + den) * most >= num * (sizes[left][:, None] + sizes[right])
+            for i in np.flatnonzero(near.any(1)).tolist():
+                js, r = right[near[i]], root(xl + i)
                 js = js[[root(int(j)) != r for j in js]]
                 if len(js):
-                    most = _ONES[tree.bits[js] & tree.bits[i]].sum(1).astype(np.int64) + np.minimum(tree.slack[js], tree.slack[i])
-                    compare(i, js[(num + den) * most >= num * (sizes[i] + sizes[js])])
+                    compare(xl + i, js)
             for k in {x, y}:
                 ends = {root(i) for i in range(nodes[k][0], nodes[k][1])}
                 same[k] = ends.pop() if len(ends) == 1 else -1
@@ -360,23 +366,31 @@ def _link_groups(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), group_tokens: int = 4_000_000, hot_sets: int = HOT_SETS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), group_tokens: int = 4_000_000, group_sets: int = 20_000, hot_sets: int = HOT_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for each row of docs(doc_id, text): links at Jaccard >= threshold, followed to components."""
     spark: SparkSession = docs.sparkSession
     num, den = threshold
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counters = spark.sparkContext.broadcast(token_counters(docs, words))  # COUNTERS x 4 bytes
-    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, sig binary"), "prefixes")
-    tokens = sets.where("tokens is not null").select("sid", "n", F.explode("tokens").alias("tok"))
+    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, lead int, sig binary"), "prefixes")
+    tokens = sets.where("tokens is not null").select("sid", "n", "lead", F.posexplode("tokens").alias("place", "tok")).withColumn("first", F.col("place") < F.col("lead")).drop("lead", "place")
     # tokens that the same sets share make one group (a mark that two groups have by chance joins them, which loses nothing)
-    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = shared.where((F.col("lo") != F.col("hi")) & ((F.col("sets") > 2) | (F.col("least") * den >= F.col("most") * num)))  # two sets alone must be of like sizes
-    shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets")
-    rows = tokens.join(shared, "tok").select("held", "sid", "sets").distinct()
-    signs = sets.where("sig is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    smallest = F.min(F.when(F.col("first"), F.col("n")))
+    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark"), F.min("n").alias("least"), F.max("n").alias("most"), smallest.alias("smallest"))
+    # of a linked pair the smaller set has the first common token in its index prefix: a group without such a set has no link
+    shared = shared.where((F.col("lo") != F.col("hi")) & F.col("smallest").isNotNull() & ((F.col("sets") > 2) | (F.col("least") * den >= F.col("most") * num)))  # two sets alone must be of like sizes
+    shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets", "smallest")
+    rows = tokens.join(shared, "tok").where(F.col("first") | (F.col("n") >= F.col("smallest"))).select("held", "sid", "n", "sets").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)).cast("int")
-    signed_rows = rows.join(signs, "sid").select("held", F.explode(F.when(F.col("sets") > hot_sets, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("part"), "n", "sid", "sig")
+    # a hot group is split by size ranges that overlap, and each into blocks that meet in pairs
+    blocks = F.ceil(F.col("sets") * 2 / hot_sets).cast("int")
+    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c) * blocks + F.greatest(own, c))
+    split = F.flatten(F.transform(F.array(band, band + 1), lambda x: F.transform(pairs, lambda c: x.cast("long") * (1 << 32) + c)))
+    parts_of = F.when(F.col("sets") > hot_sets, split).otherwise(F.array(F.lit(-1).cast("long")))
+    signs = sets.where("sig is not null").groupBy("sid").agg(F.first("sig").alias("sig"))
+    signed_rows = rows.join(signs, "sid").select("held", F.explode(parts_of).alias("part"), "n", "sid", "sig")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed_rows.repartition(parts, "held", "part").sortWithinPartitions("held", "part", "n", "sid")
     edges = scratch.keep(arrow_map(dealt, lambda it: _candidates(it, num, den), "a long, b long").distinct(), "edges")
@@ -388,7 +402,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     who = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     member = who.join(coarse.withColumnRenamed("node", "sid"), "sid")
     member = scratch.keep(member.select("doc_id", "sid", "n", F.col("label").alias("grp")), "members")
-    big = scratch.keep(member.groupBy("grp").agg(F.sum("n").alias("size")).where(F.col("size") > group_tokens), "big")
+    big = scratch.keep(member.groupBy("grp").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).where((F.col("size") > group_tokens) | (F.col("sets") > group_sets)).select("grp"), "big")
     scratch.sweep()
 
     def fetch(batches):
@@ -414,7 +428,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
         small = held.join(big, "grp", "left_anti").withColumn("side", F.lit(0))
         # blocks of one coarse group: ranges of the size, cut by hash where one size alone is too much
         bins = held.join(big, "grp").withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)))
-        volume = bins.groupBy("grp", "bin").agg(F.sum("n").alias("v")).withColumn("cuts", F.ceil(F.col("v") * 2 / group_tokens))
+        volume = bins.groupBy("grp", "bin").agg(F.sum("n").alias("v"), F.count("*").alias("k")).withColumn("cuts", F.greatest(F.ceil(F.col("v") * 2 / group_tokens), F.ceil(F.col("k") * 2 / group_sets)))
         bins = bins.join(volume, ["grp", "bin"]).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts"))).select("grp", "bin", "cut", "sid", "n", "data")
         blocks = volume.select("grp", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
         other = blocks.select("grp", F.col("bin").alias("bin2"), F.col("cut").alias("cut2"))

@@ -138,8 +138,10 @@ def test_token_files(spark, docs, texts, tmp_path):
 
 # -- 2 --------------------------------------------------------------------------
 
-@pytest.mark.parametrize("shard_words", [120_000, 0])
-def test_substring_dedup(docs, texts, shard_words):
+@pytest.mark.parametrize(("shard_words", "heavy", "most"), [(240_000, 2000, 9), (0, 1, 100_000), (0, 1, 1)])
+def test_substring_dedup(docs, texts, shard_words, heavy, most, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(substring_dedup, "MOST_HEAVY", most)
     window = 12
     words = {k: word_list(t) for k, t in enumerate(texts)}
     seen = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
@@ -172,7 +174,7 @@ def test_substring_dedup_short_periods(spark, n, period):
         assert (r["n_words"], r["n_removed"]) == (n + 2 * lead, n)
 
 
-@pytest.mark.parametrize("shard_words", [120_000, 5000])
+@pytest.mark.parametrize("shard_words", [240_000, 5000])
 def test_substring_dedup_of_very_long_runs(spark, shard_words):
     """Two million times one word, and texts in which one phrase comes again and again between words of their own."""
     rng = random.Random(4)
@@ -490,7 +492,7 @@ def test_quality(spark):
 
 # -- 7, 10 ------------------------------------------------------------------------
 
-@pytest.mark.parametrize("options", [{}, {"hot_sets": 2, "group_tokens": 300}])
+@pytest.mark.parametrize("options", [{}, {"hot_sets": 2, "group_tokens": 300}, {"hot_sets": 3, "group_sets": 4}])
 def test_jaccard(docs, texts, options):
     sets = {}
     for k, t in enumerate(texts):
@@ -513,6 +515,34 @@ def test_jaccard(docs, texts, options):
     assert got == {k: (len(s), root(k)) for k, s in sets.items()}
 
 
+def test_jaccard_of_form_letters(spark):
+    """Letters of 20 shingles: 20,000 share 18 of them, which is no link; 3000 others share 19, which is."""
+    import time
+
+    common, other = " ".join(f"c{k}" for k in range(20)), " ".join(f"o{k}" for k in range(21))
+    rows = [(k, f"{common} a{k} b{k}") for k in range(20_000)] + [(k, f"{other} z{k}") for k in range(20_000, 23_000)]
+    began = time.time()
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), group_sets=1000).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: min(k, 20_000) for k in range(23_000)} and {r["n_shingles"] for r in got} == {20}
+    assert time.time() - began < 120
+
+
+def test_prefix_roles_lose_no_link():
+    """For random sets over few tokens: of a linked pair the smaller has the first common token in its index prefix, the larger in its prefix."""
+    rng = random.Random(12)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        met = 0
+        for _ in range(4000):
+            base = rng.sample(range(60), rng.randrange(1, 40))
+            x, y = ({*base} - {*rng.sample(range(60), rng.randrange(4))} for _ in range(2))
+            x, y = sorted((x, y), key=len)
+            if x and den * len(x & y) >= num * len(x | y):
+                first = min(x & y)
+                met += 1
+                assert sorted(x).index(first) < jaccard_join.index_length(len(x), num, den) and sorted(y).index(first) < jaccard_join.prefix_length(len(y), num, den)
+        assert met > 100
+
+
 def test_jaccard_edges(spark):
     rows = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(strange(spark)).collect()), key=repr)
     assert rows == sorted([(1, 1), (1, 1), (None, None), (None, None), (2, 2), (3, 1)], key=repr)
