@@ -180,8 +180,9 @@ def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text", score_co
     """docs with the score in 0 to 1 as one more column; the statistics are computed once, below the rules."""
     used = sorted(model.used())
     stats = statistics(F.col(text_col))
-    made, own = F.struct(*[stats[k].cast("double").alias(k) for k in used]) if used else F.lit(None), unused([*docs.columns, score_col], "stats")
-    return docs.withColumn(own, made).withColumn(score_col, model.score(lambda k: F.col(own)[k])).drop(own)
+    made, own = F.struct(*[stats[k].cast("double").alias(k) for k in used]) if used else F.lit(0), unused([*docs.columns, score_col], "stats")
+    # a generated row is made once, even where a filter on the score is pushed down
+    return docs.select("*", F.explode(F.array(made)).alias(own)).withColumn(score_col, model.score(lambda k: F.col(own)[k])).drop(own)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
