@@ -5,7 +5,8 @@ bytes. Features: polyphase resampling by 3/4, log-mel filterbanks of overlapped
 and segments by hysteresis on the frames' energy. `features` gives fixed-shape tensors
 (`WINDOW` frames x `MELS` bands, zero-padded) with their time spans, `tensor_table`
 holds them as a fixed-shape tensor Arrow column. A file is worked on in blocks of
-frames, so memory does not follow its length.
+frames; what is held whole follows its length by some ten bytes a byte: the payload, the
+stored file, what is read back, and the features.
 
 Edge cases: null and empty texts are one padded payload of spaces; equal texts give
 equal values wherever they lie; null ids and repeated rows are carried through.
@@ -28,6 +29,7 @@ from tallyseal.llm.common import arrow_map, text_slices
 RATE, UP, DOWN = 16_000, 3, 4
 FRAME, HOP, FFT, MELS, WINDOW = 256, 96, 256, 32, 64
 UNIT = 192
+BLOCK = 2048
 
 
 def payload(text: bytes) -> bytes:
@@ -70,22 +72,20 @@ def _taps(up: int, down: int, lobes: int = 6) -> np.ndarray:
 _PHASES = _taps(UP, DOWN)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, phases: np.ndarray = _PHASES) -> np.ndarray:
-    """Polyphase resampling: output n takes the taps of phase n * down mod up."""
+def resample(x: np.ndarray, first: int = 0, last: int | None = None, up: int = UP, down: int = DOWN, phases: np.ndarray = _PHASES) -> np.ndarray:
+    """Outputs first to last of polyphase resampling (all by default): output n takes the taps of phase n * down mod up."""
     width = phases.shape[1]
-    n_out = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(width - 1), x, np.zeros(width)])
-    delay = phases.shape[1] * up // 2
-    out = np.empty(n_out)
-    for first in range(up):
-        n = np.arange(first, n_out, up)
-        if len(n):
-            place = n * down + delay
-            start = int(place[0] // up)
-            rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start :: down][: len(n)]
-            if len(rows) < len(n):
-                rows = np.concatenate([rows, np.zeros((len(n) - len(rows), width))])
-            out[n] = rows @ phases[place[0] % up]
+    last, delay = -(-len(x) * up // down) if last is None else last, phases.shape[1] * up // 2
+    if last <= first:
+        return np.zeros(0)
+    # inputs from lo on, zeros where there are none
+    lo, hi = (first * down + delay) // up - (width - 1), ((last - 1) * down + delay) // up + 1
+    part, a, b = np.zeros(hi - lo), max(lo, 0), min(hi, len(x))
+    if a < b:
+        part[a - lo : b - lo] = x[a:b]
+    windows, out = np.lib.stride_tricks.sliding_window_view(part, width), np.empty(last - first)
+    for n in range(first, min(first + up, last)):
+        out[n - first :: up] = windows[(n * down + delay) // up - (width - 1) - lo :: down][: -(-(last - n) // up)] @ phases[(n * down + delay) % up]
     return out
 
 
@@ -99,15 +99,22 @@ def _mel_bank() -> np.ndarray:
 _BANK, _HANN = _mel_bank(), np.hanning(FRAME)
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """float32 log energies, a row a frame; the last frame is zero-padded."""
-    n = max(1, -(-max(len(x) - FRAME, 0) // HOP) + 1)
-    x = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + FRAME - len(x)))])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
+def log_mel(samples: np.ndarray) -> np.ndarray:
+    """float32 log energies of 8-bit samples after resampling, a row a frame; the last frame is zero-padded. Worked on BLOCK frames at a time."""
+    total = -(-len(samples) * UP // DOWN)
+    n = max(1, -(-max(total - FRAME, 0) // HOP) + 1)
     out = np.empty((n, MELS), np.float32)
-    for s in range(0, n, 2048):
-        power = np.abs(np.fft.rfft(frames[s : s + 2048] * _HANN, FFT)) ** 2
-        out[s : s + 2048] = np.round(np.log(power @ _BANK + 1e-6), 2)  # stored to a hundredth
+    for s in range(0, n, BLOCK):
+        count = min(BLOCK, n - s)
+        first, last = s * HOP, min((s + count - 1) * HOP + FRAME, total)
+        reach = 2 * _PHASES.shape[1]  # inputs that the taps may need around the block
+        a, b = max(first * DOWN // UP // DOWN * DOWN - reach * DOWN, 0), min(last * DOWN // UP + reach * DOWN, len(samples))
+        x = np.zeros((count - 1) * HOP + FRAME)
+        shift = a * UP // DOWN  # a is a multiple of DOWN, so outputs keep their phase
+        x[: last - first] = resample((samples[a:b].astype(np.float64) - 128) / 128, first - shift, last - shift)
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(frames * _HANN, FFT)) ** 2
+        out[s : s + count] = np.round(np.log(power @ _BANK + 1e-6), 2)  # stored to a hundredth
     return out
 
 
@@ -127,8 +134,7 @@ def segments(energy: np.ndarray, high: float = 0.25, low: float = 0.1) -> list[t
 def analyse(stored: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     """Samples, log-mel rows and segments of a stored file."""
     samples, _ = load(stored)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
-    mel = log_mel(resample(x))
+    mel = log_mel(np.frombuffer(samples, np.uint8))
     return samples, mel, segments(mel.mean(1))
 
 

@@ -289,6 +289,45 @@ def test_media_digests_come_from_the_tensors(spark, docs, texts):
         assert r["feature"].startswith(f"{len(mel)}x{media.MELS};{len(found)};{zlib.crc32(flat[: len(mel)].tobytes()):08x};") and not flat[len(mel) :].any()
 
 
+def test_log_mel_equals_plain_arithmetic():
+    """Convolution with the whole filter, frames one by one and triangles by hand; and blocks join without a seam."""
+    rng = np.random.default_rng(3)
+    for size in (192, 960, 5 * 192 * media.BLOCK // 2):
+        samples = rng.integers(0, 256, size).astype(np.uint8)
+        got = media.log_mel(samples)
+        x = (samples.astype(np.float64) - 128) / 128
+        half = 6 * media.DOWN
+        n = np.arange(-half, half + 1)
+        h = np.sinc(n / media.DOWN) * np.hamming(len(n)) * media.UP / media.DOWN
+        wide = np.zeros(len(x) * media.UP)
+        wide[:: media.UP] = x
+        total = -(-len(x) * media.UP // media.DOWN)
+        delay = media._PHASES.shape[1] * media.UP // 2
+        y = np.concatenate([np.convolve(wide, h), np.zeros(4 * media.FRAME)])[delay :: media.DOWN][:total] if size < 10_000 else media.resample(x)
+        assert np.allclose(y, media.resample(x), atol=1e-12)
+        frames = max(1, -(-max(total - media.FRAME, 0) // media.HOP) + 1)
+        y = np.concatenate([y, np.zeros(media.FRAME + media.HOP)])
+        assert len(got) == frames
+        mels = np.linspace(0, 2595 * np.log10(1 + media.RATE * media.UP / media.DOWN / 2 / 700), media.MELS + 2)
+        hz = 700 * (10 ** (mels / 2595) - 1)
+        f = np.arange(media.FFT // 2 + 1) * media.RATE * media.UP / media.DOWN / media.FFT
+        for k in sorted({0, frames // 2, frames - 1, min(media.BLOCK - 1, frames - 1), min(media.BLOCK, frames - 1)}):
+            power = np.abs(np.fft.fft(y[k * media.HOP : k * media.HOP + media.FRAME] * np.hanning(media.FRAME))[: media.FFT // 2 + 1]) ** 2
+            band = [sum(p * max(0.0, min((a - lo) / (mid - lo), (hi - a) / (hi - mid))) for p, a in zip(power, f, strict=True)) for lo, mid, hi in zip(hz, hz[1:], hz[2:], strict=False)]
+            assert np.abs(got[k] - np.log(np.array(band) + 1e-6)).max() < 0.0051
+
+
+def test_media_memory_of_long_texts():
+    import tracemalloc
+
+    text = b"some words " * 800_000
+    tracemalloc.start()
+    media.analyse(media.store(media.payload(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text) + (100 << 20)
+
+
 def test_media_signal():
     t = np.arange(16_000) / 16_000
     y = media.resample(np.sin(2 * np.pi * 440 * t))
