@@ -136,6 +136,33 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "strange")).count() == 6
 
 
+def test_token_files_have_stripes_and_indexes(spark, tmp_path):
+    """Stripes, row indexes and Bloom filters on the document id, as the files' own metadata tell, and reads that use them."""
+    from pyarrow import orc
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.randrange(10**9)}" for _ in range(60))) for k in range(24_000)]
+    path = str(tmp_path / "ids")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, files=2, stripe_mb=1)
+    files = sorted((tmp_path / "ids").glob("*.orc"))
+    held = [orc.ORCFile(str(f)) for f in files]
+    assert len(files) == 2 and all(f.row_index_stride == 1000 and f.nstripes > 1 for f in held) and sum(f.nrows for f in held) == 24_000
+    # ids of a file ascend over its stripes, and each stripe can be read by itself
+    for f in held:
+        ids = [x for s in range(f.nstripes) for x in f.read_stripe(s, columns=["doc_id"]).column(0).to_pylist()]
+        assert ids == sorted(ids)
+    jvm, sc = spark._jvm, spark.sparkContext
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{files[0]}"), jvm.org.apache.orc.OrcFile.readerOptions(sc._jsc.hadoopConfiguration()))
+    kinds = set()
+    for s in reader.getStripes():
+        footer = reader.rows().readStripeFooter(s)
+        kinds |= {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+        assert footer.getColumns(1).getKind().toString() == "DIRECT_V2"  # integer run-length encoding
+    assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(k == "BLOOM_FILTER_UTF8" and c != 1 for c, k in kinds)
+    back = token_files.read_tokens(spark, path).where("doc_id = 4321")
+    assert "EqualTo(doc_id,4321)" in back._jdf.queryExecution().executedPlan().toString() and back.count() == 1
+
+
 # -- 2 --------------------------------------------------------------------------
 
 @pytest.mark.parametrize(("shard_words", "heavy", "most"), [(240_000, 2000, 9), (0, 1, 100_000), (0, 1, 1)])
