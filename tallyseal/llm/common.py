@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import math
 import tempfile
 import uuid
@@ -99,22 +100,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.ones(size, np.uint64)
-        np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), out=have)
-        if size <= 4 * SLICE_BYTES:
-            _powers[int(base)] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,13 +107,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd, with as many ones as zeros.
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that its key holds as they are.
+EXACT = 15
+_LOW_BYTES = np.array([0] + [0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) for k in range(1, 9)], np.uint64)
+
+
+def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two spans in a row. Each step is mixed, so that no sum of positions can cancel out, whatever patterns the values form."""
+    return mix(left * _TIMES + right)
+
+
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each `width` consecutive hashes, by doubling."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, level, span = None, 0, values, 1
+    while True:
+        if width & span:
+            part = level[at : at + n]
+            out, at = part if out is None else joined_hash(out, part), at + span
+        if span * 2 > width:
+            return out
+        level = joined_hash(level[:-span], level[span:])
+        span *= 2
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of a sequence of integers."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64, copy=False) * powers(n, _R), out=sums[1:])
-    spans = (sums[ends] - sums[starts]) * powers(n + 1, _RINV)[starts]
-    return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hashes of the spans [start, end), of any lengths, of a sequence of hashes: their lengths' powers of two, folded."""
+    lens = (ends - starts).astype(np.int64)
+    out, at, level, span = mix(lens.astype(np.uint64)), starts.astype(np.int64), values, 1
+    most = int(lens.max(initial=0))
+    while span <= most:
+        use = np.flatnonzero(lens & span)
+        out[use] = joined_hash(out[use], level[at[use]])
+        at[use] += span
+        if span * 2 <= most:
+            level = joined_hash(level[:-span], level[span:])
+        span *= 2
+    return out
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers that tell spans of bytes apart: the bytes themselves up to 15, and 120 bits of a BLAKE2b digest beyond."""
+    padded = np.zeros(len(data) + 24, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))
+    lens = ends - starts
+    a = eight[starts] & _LOW_BYTES[np.minimum(lens, 8)]
+    b = eight[starts + 8] if len(data) else a
+    b = (b & _LOW_BYTES[np.clip(lens - 8, 0, 7)]) | (np.minimum(lens, EXACT).astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(lens > EXACT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        marks = b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        pairs = np.frombuffer(marks, "<u8").reshape(-1, 2)
+        a[long], b[long] = pairs[:, 0], (pairs[:, 1] & _LOW_BYTES[7]) | np.uint64((EXACT + 1) << 56)
+    return a, b
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +192,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     starts, ends, first = word_spans(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), first
-    return span_hashes(data, starts, ends), first
+    return joined_hash(*(mix(x) for x in span_keys(data, starts, ends))), first
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseal.llm.common import Scratch, arrow_map, mix, pages_sum, signed, span_hashes, text_slices, word_hashes
+from tallyseal.llm.common import Scratch, arrow_map, mix, pages_sum, signed, span_hashes, text_slices, window_hashes, word_hashes
 
 COUNTERS = 1 << 18
 PAGE = 1 << 12
@@ -44,8 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     """Sorted distinct hashes of the word shingles of each text; a shorter text is one shingle."""
     hashes, first = word_hashes(data, offsets, lower=True)
     n = np.diff(first)
-    starts = np.arange(max(len(hashes) - words + 1, 0))
-    grams = span_hashes(hashes, starts, starts + words) if len(starts) else np.zeros(0, np.uint64)
+    grams = window_hashes(hashes, words)
     out = []
     for i, k in enumerate(n):
         a = first[i]

@@ -11,8 +11,8 @@ nothing but the order of sums. P(word | class) is a softmax over one weight a wo
 whose best value has a closed form, the log count (smoothed by one); the model differs
 from the unigram base by what the history tells.
 
-Words are known by 128-bit keys (the word itself up to 15 bytes, hashes of 120 bits
-beyond). Their counts are exact over all training documents. The `head` words by count
+Words are known by 128-bit keys (the word itself up to 15 bytes, 120 bits of its
+BLAKE2b digest beyond). Their counts are exact over all training documents. The `head` words by count
 (whole ranges of counts, at most that many) have identities on the workers, which
 bounds what is broadcast; all rarer words form the tail class and get their counts by a
 join, where no key is hot, as at least `head` words have higher counts. Classes of the
@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyseal.llm.common import LOWER, Scratch, arrow_map, mix, pages_sum, signed, text_slices, word_spans
-from tallyseal.llm.tokens import ChunkStore, chunk_keys
+from tallyseal.llm.common import LOWER, Scratch, arrow_map, mix, pages_sum, signed, span_keys, text_slices, word_spans
+from tallyseal.llm.tokens import ChunkStore
 
 CLASSES = 48  # of head words; the tail is one more
 CONTEXTS = 64
@@ -76,7 +76,7 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
     for i, j, data, offs in text_slices(batch):
         data = LOWER[data]
         starts, ends, first = word_spans(data, offs)
-        a, b = chunk_keys(data, starts, ends)
+        a, b = span_keys(data, starts, ends)
         cuts = first + np.arange(j - i + 1)
         keep = np.ones(int(cuts[-1]), bool)
         keep[cuts[1:] - 1] = False

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyseal.llm.common import Scratch, all_columns, arrow_map, signed, span_hashes, text_slices, word_hashes, word_spans
+from tallyseal.llm.common import Scratch, all_columns, arrow_map, signed, span_hashes, text_slices, window_hashes, word_hashes, word_spans
 
 KGRAM = 8
 LONGEST = 2048  # windows of a segment
@@ -57,8 +57,7 @@ def _segments(hashes: np.ndarray, window: int):
     n = len(hashes) - window + 1
     if n <= 0:
         return None
-    at = np.arange(len(hashes) - KGRAM + 1)
-    grams = span_hashes(hashes, at, at + KGRAM)
+    grams = window_hashes(hashes, KGRAM)
     anchors = _sliding_min(grams, window - KGRAM + 1)
     starts = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
     counts = np.diff(np.concatenate([starts, [n]]))
@@ -72,7 +71,7 @@ def _segments(hashes: np.ndarray, window: int):
     first = np.cumsum(spans) - spans
     met = grams[np.arange(spans.sum()) + np.repeat(starts - first, spans)] == np.repeat(anchors[starts], spans)
     if (np.add.reduceat(met, first, dtype=np.int64) > 1).any():  # equal windows of one segment hold its anchor at two places
-        w = span_hashes(hashes, np.arange(n), np.arange(n) + window)
+        w = window_hashes(hashes, window)
         owner = np.repeat(np.arange(len(starts)), counts)
         order = np.lexsort((owner, w))
         same = (w[order][1:] == w[order][:-1]) & (owner[order][1:] == owner[order][:-1])
@@ -219,7 +218,7 @@ def _fetch(batches, window: int, single: bool) -> Iterator[pa.RecordBatch]:
                     words = own[a : a + n + window - 1]
                     if len(words) != n + window - 1 or int(signed(span_hashes(words, np.array([0]), np.array([len(words)])))[0]) != w["seg"]:
                         continue  # another text under the same id
-                    data_ = span_hashes(words, np.arange(n), np.arange(n) + window) if single else words
+                    data_ = window_hashes(words, window) if single else words
                     for x, v in zip(out, (w["anchor"], w["seg"], w["weight"], data_.tobytes()), strict=True):
                         x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "weight", "words"])
@@ -307,8 +306,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, shard_words: int = 240_
     """docs(doc_id, text, ...) to (doc_id, n_words, n_removed, kept_sha256).
 
     With texts: all columns of docs, text being what is kept (a text that loses nothing stays byte for byte), and the three under the
-    names of `stats`, which must not be names of docs' columns.
+    names of `stats`, which must not be names of docs' columns. A window has KGRAM words or more.
     """
+    if window < KGRAM:
+        raise ValueError(f"a window must have {KGRAM} words or more")
     if texts and {c.lower() for c in docs.columns} & {c.lower() for c in stats}:
         raise ValueError("name the three results so that no column of the input has their names")
     scratch = Scratch(docs.sparkSession, "substring")

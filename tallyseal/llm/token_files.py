@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tallyseal.llm.common import Scratch, arrow_map
 from tallyseal.llm.tokens import default_path, encoder, id_runs
 
+FILE_BYTES = 256 << 20
 SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
 
 
@@ -37,11 +38,18 @@ def _encode(batches, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
             at += len(ids)
 
 
+def file_count(docs: DataFrame) -> int:
+    """By the size that the scan's statistics tell; no job is run."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # Spark takes an input of unknown size for as large as can be
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // FILE_BYTES)
+
+
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 1, files: int | None = None, stripe_mb: int = 64) -> None:
-    """docs(doc_id, text) to ORC files under path; a retried task writes the same rows."""
+    """docs(doc_id, text) to ORC files under path; a retried task writes the same rows. files: one a shuffle partition, or more where that would make files of over FILE_BYTES of the input's estimated bytes."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path("word_bpe_49k.json")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or file_count(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     writer = arrow_map(ranged, lambda it: _encode(it, tokenizer, end_id), SCHEMA).write

@@ -4,7 +4,7 @@ A chunk ends where every tokenization of the text must break: in front of a run
 white space. Ids of a text are its chunks' ids in a row, so each distinct chunk is
 encoded once while the store holds it. Chunks are found, and looked up by 128-bit
 keys, by numpy over a slice of texts; a key is the chunk itself up to 15 bytes, and
-two hashes beyond.
+120 bits of its BLAKE2b digest beyond.
 
 The result is the library's with add_special_tokens=False: strings of special tokens
 in a text become those tokens, as the library has it.
@@ -17,13 +17,12 @@ import os
 
 import numpy as np
 
-from tallyseal.llm.common import LOWER, SPACE, mix, span_hashes
+from tallyseal.llm.common import LOWER, SPACE, mix, span_keys
 
 #: Characters beyond ASCII that are white space, by their UTF-8 bytes (fixed values of Unicode).
 WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _TWO = np.array([int.from_bytes(x) for x in WIDE_SPACES if len(x) == 2], np.uint32)
 _THREE = np.array([int.from_bytes(x) for x in WIDE_SPACES if len(x) == 3], np.uint32)
-_LOW_BYTES = np.array([0] + [0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) for k in range(1, 9)], np.uint64)
 #: In a key: the chunk's letter case was kept.
 _AS_IT_IS = np.uint64(1 << 63)
 
@@ -81,25 +80,6 @@ def bare_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray) -> tuple[n
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def chunk_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two integers that tell chunks apart: exact up to 15 bytes, hashes of 64 and 56 bits beyond."""
-    padded = np.zeros(len(data) + 24, np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))
-    lens = ends - starts
-    a = eight[starts] & _LOW_BYTES[np.minimum(lens, 8)]
-    b = eight[starts + 8] if len(data) else a
-    b = (b & _LOW_BYTES[np.clip(lens - 8, 0, 7)]) | (np.minimum(lens, 15).astype(np.uint64) << np.uint64(56))
-    long = np.flatnonzero(lens > 15)
-    if len(long):
-        n = lens[long]
-        cuts = np.cumsum(n)
-        h = span_hashes(data[gather(starts[long], n)], cuts - n, cuts)
-        b[long] = (mix(mix(a[long]) + eight[ends[long] - 8] * np.uint64(3) + n.astype(np.uint64)) >> np.uint64(8)) | np.uint64(16 << 56)
-        a[long] = h
-    return a, b
-
-
 class ChunkStore:
     """Ids of chunks by key: an open-addressing table of entry numbers, and flat ids."""
 
@@ -199,7 +179,7 @@ class ChunkEncoder:
         if store.full():
             store.clear()
         src, starts, ends, odd = self.chunks(data, offs)
-        a, b = chunk_keys(src, starts, ends)
+        a, b = span_keys(src, starts, ends)
         if odd is not None:
             b[odd] |= _AS_IT_IS
         at = store.find(a, b)

@@ -136,6 +136,13 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "strange")).count() == 6
 
 
+def test_token_files_grow_in_number(docs, monkeypatch):
+    few = token_files.file_count(docs)
+    assert few == 8
+    monkeypatch.setattr(token_files, "FILE_BYTES", 64)
+    assert token_files.file_count(docs) > 8
+
+
 def test_token_files_have_stripes_and_indexes(spark, tmp_path):
     """Stripes, row indexes and Bloom filters on the document id, as the files' own metadata tell, and reads that use them."""
     from pyarrow import orc
