@@ -139,7 +139,7 @@ def test_token_files(spark, docs, texts, tmp_path):
 def test_token_files_grow_in_number(docs, monkeypatch):
     few = token_files.file_count(docs)
     assert few == 8
-    monkeypatch.setattr(token_files, "FILE_BYTES", 64)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1)
     assert token_files.file_count(docs) > 8
 
 
