@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import jaccard_join, license_scan, lm_scoring, media, packing, pieces, pipeline, quality_rules, substring_dedup, token_files, topk
+from tallyseal.llm import chat_format, jaccard_join, license_scan, lm_scoring, media, packing, pieces, pipeline, quality_rules, substring_dedup, token_files, topk
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_pieces": pieces.op9_pieces,
         "op10_topk": topk.op10_topk,
+        "op13_chat_format": chat_format.op13_chat_format,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.sql(), "op10_topk": topk.OP10_SQL}
+    return {"op3_license_scan": license_scan.sql(), "op10_topk": topk.OP10_SQL, "op13_chat_format": chat_format.SQL}
