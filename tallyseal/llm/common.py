@@ -168,11 +168,11 @@ def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return a, b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the index of its first word (one more entry than texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of what isn't `space`) and, for each text, the index of its first word (one more entry than texts)."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -219,6 +219,25 @@ def pages_sum(df: DataFrame, parts: int) -> DataFrame:
     return df
 
 
+#: Rows of counts that a task merges before it hands them on.
+HELD = 400_000
+
+
+def merged_counts(tables: Iterator[pa.Table], keys: list[str], held: int = HELD) -> Iterator[pa.Table]:
+    """Tables of keys and counts `n`, counts of equal keys added as far as `held` rows allow."""
+    some, rows = [], 0
+    for t in tables:
+        some.append(t)
+        rows += len(t)
+        if rows > held:
+            one = pa.concat_tables(some).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+            some, rows = ([one], len(one)) if len(one) * 2 < held else ([], 0)
+            if not some:
+                yield one
+    if some:
+        yield pa.concat_tables(some).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+
 def unused(columns, name: str) -> str:
     """The name, with underscores behind it until no column has it, in any letter case."""
     taken = {c.lower() for c in columns}

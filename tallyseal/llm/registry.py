@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyseal.llm import chat_format, jaccard_join, license_scan, lm_scoring, media, packing, pieces, pipeline, quality_rules, spelling, substring_dedup, token_files, topk
+from tallyseal.llm import chat_format, collocations, jaccard_join, license_scan, lm_scoring, media, packing, pieces, pipeline, quality_rules, spelling, substring_dedup, token_files, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_pieces": pieces.op9_pieces,
         "op10_topk": topk.op10_topk,
+        "op11_collocations": collocations.op11_collocations,
         "op12_spelling": spelling.op12_spelling,
         "op13_chat_format": chat_format.op13_chat_format,
         "pipeline": pipeline.run,
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.sql(), "op10_topk": topk.OP10_SQL, "op13_chat_format": chat_format.SQL}
+    return {"op3_license_scan": license_scan.sql(), "op10_topk": topk.OP10_SQL, "op11_collocations": collocations.SQL, "op12_spelling": spelling.SQL, "op13_chat_format": chat_format.SQL}

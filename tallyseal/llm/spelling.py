@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyseal.llm.common import LOWER, Scratch, arrow_map, span_keys, text_slices
+from tallyseal.llm.common import LOWER, Scratch, arrow_map, merged_counts, span_keys, text_slices
 from tallyseal.llm.tokens import gather
 
 SHORTEST = 7
 SMALL = 48
-HELD = 400_000  # rows of counts that a task merges before it hands them on
 LONG_RUN = 48
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -119,21 +118,6 @@ def words_of(data: np.ndarray, offs: np.ndarray, names: list, every: int) -> tup
     return pa.Array.from_buffers(pa.large_string(), len(one), [None, pa.py_buffer(cuts), pa.py_buffer(flat)]), pa.array(np.diff(at, append=len(order)).astype(np.int64))
 
 
-def merged_counts(tables: Iterator[pa.Table], keys: list[str], held: int = HELD) -> Iterator[pa.Table]:
-    """Tables of keys and counts `n`, counts of equal keys added as far as `held` rows allow."""
-    some, rows = [], 0
-    for t in tables:
-        some.append(t)
-        rows += len(t)
-        if rows > held:
-            one = pa.concat_tables(some).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
-            some, rows = ([one], len(one)) if len(one) * 2 < held else ([], 0)
-            if not some:
-                yield one
-    if some:
-        yield pa.concat_tables(some).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
-
-
 def _count(batches, every: int) -> Iterator[pa.RecordBatch]:
     def tables():
         for batch in batches:
@@ -319,3 +303,37 @@ def group_variants(docs: DataFrame, *, every: int = 31, times: int = 10, block_w
 
 def op12_spelling(spark, sf_dir: str) -> DataFrame:
     return group_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with recursive table_(k, c) as materialized (
+  select i, list_reduce(list_concat([i::ubigint], range(8)::ubigint[]), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) from range(256) t(i)
+),
+crc_table as materialized (select list(c order by k) as t from table_),
+runs as (
+  select doc_id, run, count(*) as k from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) group by all
+),
+hashed as (
+  select run, k, xor(4294967295::ubigint, list_reduce(list_concat([4294967295::ubigint], list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::ubigint)), lambda c, b: xor(t[((xor(c, b) & 255) + 1)::bigint], c >> 8))) as h
+  from (select *, coalesce(doc_id::varchar, '') || ':' || run as s from runs), crc_table
+),
+words as materialized (
+  select word, sum(k)::bigint as n from (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from hashed)
+  where length(word) >= 7 group by word having sum(k) > 1
+),
+holes as materialized (select word, n, i, substr(word, 1, i) || chr(10) || substr(word, i + 2) as hole from (select *, unnest(range(length(word))) as i from words)),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from holes a join holes b on a.hole = b.hole and a.word <> b.word
+  union select a.word, b.word, b.n from holes a join words b on replace(a.hole, chr(10), '') = b.word
+  union select b.word, a.word, a.n from holes a join words b on replace(a.hole, chr(10), '') = b.word
+),
+best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pairs group by word
+),
+forms as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * n then near end as form, case when near_n >= 10 * n then near_n end as form_n from words w left join best using (word)),
+steps as (
+  select word, word as at from forms union all select s.word, f.form from steps s join forms f on s.at = f.word where f.form is not null
+),
+root as (select s.word, s.at as root from steps s join forms f on s.at = f.word where f.form is null)
+select word, form, root, n, n_near, form_n from forms join root using (word)
+"""
