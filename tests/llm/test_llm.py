@@ -56,7 +56,7 @@ def empty(spark):
 
 def test_registered():
     names = set(registry.queries())
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(k) for k in range(1, 11)} and "pipeline" in names
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(k) for k in range(1, 14)} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
