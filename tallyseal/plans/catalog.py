@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyseal.functions import crypto, encoding, numbers, schemaless, strings, timestamps
-from tallyseal.operators import hashing, prove, receipts, sameness, verify
+from tallyseal.functions import encoding, numbers, schemaless, strings, timestamps
+from tallyseal.operators import hashing, receipts, sameness, verify
 from tallyseal.operators import keys as K
 from tallyseal.plans.compiler import Compiler
 from tallyseal.plans.policy import DEFAULT, Policy
@@ -278,14 +278,6 @@ def verify_receipts(spark, d):
     return receipts.verify(moved, _keys(spark), id_col="o_orderkey").select("o_orderkey", "valid", "keyid", "reason")
 
 
-def key_validity(spark, d):
-    return _keys(spark).select("keyid", K.is_valid(F.lit(WHEN)).alias("valid"))
-
-
-def public_export(spark, d):
-    return K.public_keys(_keys(spark)).select("keyid", "algorithm", "hmac_fingerprint")
-
-
 def coordinates(spark, d):
     o = _t(spark, d, "orders", "o_orderkey")
     h, k = F.sha2(F.col("o_orderkey").cast("string"), 256), F.col("o_orderkey") % 7
@@ -337,30 +329,6 @@ def claims(spark, d):
     return r.select("o_orderkey", F.coalesce(F.col("r.claims")["io_integrity_state"], F.lit("-")).alias("io_state"), F.size("r.claims").alias("n"))
 
 
-def ed25519_verify(spark, d):
-    """Eight signed messages, half of them tampered with; reads no table, and the seed is public."""
-    seed = bytes(range(32))
-    key = crypto.ed25519_public(seed)
-    names = [f"message {k}" for k in range(8)]
-    sigs = spark.createDataFrame([(k, n, crypto.ed25519_sign(seed, n.encode())) for k, n in enumerate(names)], "k long, m string, sig binary")
-    tried = sigs.withColumn("m", F.when(F.col("k") % 2 == 1, F.concat("m", F.lit("!"))).otherwise(F.col("m")))
-    return tried.select("k", crypto.ed25519_valid(F.lit(key), F.encode("m", "UTF-8"), F.col("sig")).alias("valid"))
-
-
-VECTORS = [
-    ("w1", "white space", '"a b"', '" a \\t b "', True, None), ("k1", "key order", '{"x":1,"y":{"b":1,"a":2}}', '{"y":{"a":2,"b":1},"x":1}', True, None),
-    ("n1", "number text", '{"v":10}', '{"v":1e1}', True, None), ("n2", "signed zero", '{"v":0}', '{"v":-0.0}', True, None), ("n3", "other number", '{"v":1}', '{"v":1.01}', False, None),
-    ("z1", "null is missing", '{"a":1}', '{"a":1,"b":null}', True, None), ("s1", "synonym", '"port in the UK"', '"port in the United Kingdom"', True, None), ("s2", "not inside a word", '"museum"', '"mUnited Stateseum"', False, None),
-    ("l1", "set", '{"t":["b","a"]}', '{"t":["a","b"]}', True, ["t"]), ("l2", "sequence", '{"t":["b","a"]}', '{"t":["a","b"]}', False, None), ("o1", "nonce", '{"a":1,"trace_id":"1"}', '{"a":1,"trace_id":"2"}', True, None),
-    ("u1", "composed", '"\\u00e9"', '"e\\u0301"', True, None), ("t1", "same day", '{"date":"2024-02-03T01:00:00Z"}', '{"date":"2024-02-03"}', True, None), ("t2", "other day by zone", '{"date":"2024-02-03T23:00:00-05:00"}', '{"date":"2024-02-03"}', False, None),
-]
-
-
-def conformance_report(spark, d):
-    v = spark.createDataFrame(VECTORS, "id string, description string, a_json string, b_json string, expect_same boolean, set_fields array<string>")
-    return prove.counts(prove.run(v))
-
-
 _QUERIES = {
     "norm_text": (norm_text, f"select doc_id, {_norm('text')} as norm from documents"),
     "norm_lower": (norm_lower, f"select doc_id, lower({_norm('text')}) as norm from documents"),
@@ -393,22 +361,18 @@ _QUERIES = {
     "typed_equals_schemaless": (typed_equals_schemaless, "select count(*) as n, 0::bigint as different from orders"),
     "pae_b64url": (pae_b64url, "select o_orderkey, translate(rtrim(to_base64(encode(p)), '='), '+/', '-_') as b64, hex(encode('DSSEv1 4 t/é ' || octet_length(encode(p)) || ' ' || p)) as pae, true as back from (select o_orderkey, o_orderkey || 'é?~' || o_orderpriority as p from orders)"),
     "verify_receipts": (verify_receipts, "select o_orderkey, k in (0, 5) as valid, case k when 0 then 'good' when 5 then 'rested' end as keyid, case k when 0 then 'Signature valid' when 5 then 'Signature valid' when 1 then 'revoked: key revoked at 2024-01-01T00:00:00Z' when 2 then 'expired: signed after key expiry (key expired 2024-01-01T00:00:00Z, receipt signed 2024-05-01T00:00:00Z)' when 3 then 'wrong: signature mismatch' when 4 then 'strange: unknown algorithm ''RSA''' else 'nobody: not found in registry' end as reason from (select o_orderkey, o_orderkey % 7 as k from orders)"),
-    "key_validity": (key_validity, "select * from (values ('good', true), ('revoked', false), ('expired', false), ('wrong', true), ('strange', true), ('rested', false)) t(keyid, valid)"),
-    "public_export": (public_export, f"select keyid, case when keyid = 'strange' then 'RSA' else 'HMAC-SHA256' end as algorithm, case keyid when 'strange' then null when 'wrong' then substr(sha256('another'), 1, 16) else substr(sha256('{TEST_KEY.decode()}'), 1, 16) end as hmac_fingerprint from (values ('good'), ('revoked'), ('expired'), ('wrong'), ('strange'), ('rested')) t(keyid)"),
     "coordinates": (coordinates, "select o_orderkey, case k when 0 then 'seal' when 1 then 'obligation' when 2 then 'sha256' when 3 then 'bare_hex' when 4 then 'bare_hex' else 'unknown' end as format, case k when 0 then substr(h, 1, 32) when 1 then substr(h, 1, 32) when 4 then substr(h, 1, 32) when 5 then upper(h) when 6 then 'seal:' || h else h end as hash, k < 5 as valid from (select o_orderkey, o_orderkey % 7 as k, sha256(cast(o_orderkey as varchar)) as h from orders)"),
     "format_dispatch": (format_dispatch, "select o_orderkey, case o_orderkey % 4 when 0 then 'dsse' when 1 then 'envelope_v1' when 2 then 'core' else 'legacy' end as format, case o_orderkey % 4 when 1 then 'sha256:' || h when 2 then 'seal:' || substr(h, 1, 32) else 'unknown' end as label from (select o_orderkey, sha256(cast(o_orderkey as varchar)) as h from orders)"),
     "envelope_checks": (envelope_checks, "select o_orderkey, case k when 0 then 'dsse' when 1 then 'envelope_v1' when 2 then 'core' else 'legacy' end as format, case when k = 1 then true end as payload_hash, case when k in (1, 2) then true end as coordinate, cast(case when k = 1 then 8 else 0 end as int) as errors, false as valid from (select o_orderkey, o_orderkey % 4 as k from orders)"),
     "canonical_bytes": (canonical_bytes, _BYTES_SQL),
     "claims": (claims, "select o_orderkey, case when o_orderkey % 4 = 2 then 'ok' else '-' end as io_state, cast(case when o_orderkey % 4 = 2 then 1 else 0 end as int) as n from orders"),
-    "ed25519_verify": (ed25519_verify, "select k, k % 2 = 0 as valid from range(8) t(k)"),
-    "conformance_report": (conformance_report, f"select {len(VECTORS)}::bigint as total, {len(VECTORS)}::bigint as passed, 0::bigint as failed"),
 }
 
 
 def _all() -> dict:
-    from tallyseal.plans import receipt_queries
+    from tallyseal.plans import key_queries, receipt_queries
 
-    return _QUERIES | receipt_queries.QUERIES
+    return _QUERIES | receipt_queries.QUERIES | key_queries.QUERIES
 
 
 def queries() -> dict:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tallyseal.functions import crypto
 from tallyseal.functions.encoding import py_pae
 from tallyseal.operators import keys as K
-from tallyseal.operators import prove, receipts, verify
+from tallyseal.operators import receipts, verify
 from tallyseal.plans import catalog
 
 #: Public test material, no secrets.
@@ -143,39 +143,6 @@ from region, (values ('none'), ('payload'), ('domain'), ('signature'), ('empty_p
 """
 
 
-def key_lifecycle(spark, d):
-    """A registry's key table after making, rotating and revoking, by way of its public export with one secret loaded again: which keys are valid, current, and verify what they signed."""
-    r, data = K.Registry(), b"message"
-    r.generate_hmac("one", secret=b"s" * 32)
-    marks = {"one": r.sign("one", data)}
-    r.rotate("two")
-    r.generate_hmac("extra", days=0, use=False)
-    r.rotate("three", algorithm=K.ECDSA)
-    r.generate_hmac("gone", use=False)
-    marks |= {k: r.sign(k, data) for k in ("three", "gone", "extra")}
-    r.revoke("gone")
-    known = K.Registry.from_public(r.export_public())
-    known.load_secret("one", b"s" * 32)
-    checked = spark.createDataFrame([(k, known.verify(k, data, marks[k]) if k in marks else None) for k in r.keys], "keyid string, verifies boolean")
-    table = known.table(spark)
-    valid = K.valid_keys(table).select("keyid", F.lit(True).alias("valid"))
-    return table.join(checked, "keyid").join(valid, "keyid", "left").select("keyid", "algorithm", F.coalesce("valid", F.lit(False)).alias("valid"), "current", F.col("expires_utc").isNotNull().alias("expires"), "verifies")
-
-
-_LIFECYCLE_SQL = """
-select * from (values ('one', 'HMAC-SHA256', false, false, true, true), ('two', 'HMAC-SHA256', false, false, true, null), ('extra', 'HMAC-SHA256', true, false, false, false),
-                      ('three', 'ECDSA-P256', true, true, true, true), ('gone', 'HMAC-SHA256', false, false, true, false)) t(keyid, algorithm, valid, current, expires, verifies)
-"""
-
-
-def proof_receipts(spark, d):
-    """Every distinct form of the conformance vectors signed, and how many receipts verify."""
-    v = spark.createDataFrame(catalog.VECTORS, "id string, description string, a_json string, b_json string, expect_same boolean, set_fields array<string>")
-    keys = catalog._keys(spark)
-    signed = receipts.sign(prove.to_sign(prove.run(v)), keys, when=F.lit(catalog.WHEN)).withColumn("rid", F.concat_ws(":", "id", "frozen_hash"))
-    return receipts.verify(signed, keys, id_col="rid").agg(F.count("*").alias("receipts"), F.count_if("valid").alias("verified"))
-
-
 def _hmac_sql() -> str:
     """Nested SHA-256 with the pads of the test key."""
     kind = receipts.PAYLOAD_TYPE
@@ -193,6 +160,4 @@ QUERIES = {
     "ecdsa_receipts": (ecdsa_receipts, _ECDSA_SQL),
     "receipt_report": (receipt_report, _REPORT_SQL),
     "envelope_mutations": (envelope_mutations, _MUTATIONS_SQL),
-    "key_lifecycle": (key_lifecycle, _LIFECYCLE_SQL),
-    "proof_receipts": (proof_receipts, f"select {sum(1 if v[4] else 2 for v in catalog.VECTORS)}::bigint as receipts, {sum(1 if v[4] else 2 for v in catalog.VECTORS)}::bigint as verified"),
 }
