@@ -28,9 +28,45 @@ def _form(name: str):
     return normal
 
 
+#: Beyond it no character changes under normalization (Unicode's last ones are compatibility ideographs of plane 2).
+LAST = 0x2FFFF
+
+
+def _ranges(codes: list[int]) -> str:
+    """A Java regex class of ascending code points, without its brackets."""
+    out, first = [], None
+    for k, c in enumerate(codes):
+        first = c if first is None else first
+        if k + 1 == len(codes) or codes[k + 1] != c + 1:
+            out.append(rf"\x{{{first:x}}}" + (rf"-\x{{{c:x}}}" if c > first else ""))
+            first = None
+    return "".join(out)
+
+
+@functools.cache
+def unsure(name: str) -> tuple[int, str]:
+    """(least code point, regex class) of the characters by which a string may not be in a Unicode form: those that change by themselves, those that may join the one before, and those that may change places."""
+    chars = [chr(c) for c in range(0x80, LAST + 1) if not 0xD800 <= c <= 0xDFFF]
+    found = {c for c in chars if unicodedata.combining(c) or unicodedata.normalize(name, c) != c}
+    if name in ("NFC", "NFKC"):
+        for c in chars:
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+                found.add(chr(int(parts[1], 16)))
+        found |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul
+    codes = sorted(map(ord, found))
+    return codes[0], rf"[\x{{{codes[0]:x}}}-\x{{{LAST:x}}}&&[{_ranges(codes)}]]"
+
+
+def may_change(c: Column, name: str) -> Column:
+    """Quick check: false for strings that are in the form for sure."""
+    least, pattern = unsure(name)
+    return F.rlike(c, F.lit(rf"[^\x{{00}}-\x{{{least - 1:x}}}]")) & F.rlike(c, F.lit(pattern))
+
+
 def unicode_form(c: Column, name: str = "NFC") -> Column:
-    """ASCII stays in the JVM; only other strings are sent to Python."""
-    return F.coalesce(_form(name)(F.when(F.rlike(c, F.lit(r"[^\x{00}-\x{7f}]")), c)), c)
+    """Strings that are in the form by the quick check stay in the JVM; only others are sent to Python."""
+    return F.coalesce(_form(name)(F.when(may_change(c, name), c)), c)
 
 
 def trim(c: Column) -> Column:
@@ -112,13 +148,44 @@ def _dumped_normal(p: Policy):
     return run
 
 
+#: A string with more different odd characters is escaped by Python.
+MOST_ODD = 64
+
+
+def _odd_chars(c: Column) -> Column:
+    return F.array_distinct(F.split(F.regexp_replace(c, r"[\x{08}-\x{0a}\x{0c}\x{0d}\x{20}-\x{7e}]+", ""), ""))
+
+
+def _native_text(c: Column) -> Column:
+    """Quoted JSON text; odd characters are replaced one kind after the other, as escapes hold none."""
+    return once(c, lambda x: _quoted(F.when(~F.rlike(x, F.lit(ODD)), _escaped(x)).otherwise(F.reduce(_odd_chars(x), _escaped(x), lambda acc, o: F.when(o == "", acc).otherwise(F.replace(acc, o, _escape_char(o)))))))
+
+
 def json_text(c: Column, native: bool = False) -> Column:
-    """The string as quoted ASCII JSON; null stays null. Strings with odd characters go to Python, or with native through a lambda a character."""
+    """The string as quoted ASCII JSON; null stays null. Strings with very many different odd characters go to Python, unless native."""
     if native:
-        return once(c, lambda x: _quoted(F.when(~F.rlike(x, F.lit(ODD)), _escaped(x)).otherwise(F.array_join(F.transform(F.split(x, ""), _escape_char), ""))))
-    return F.coalesce(_dumped(F.when(F.rlike(c, F.lit(ODD)), c)), _quoted(_escaped(c)))
+        return _native_text(c)
+    cross = many_odd(c)
+    return F.coalesce(_dumped(F.when(cross, c)), F.when(~cross, _native_text(c)))
+
+
+def many_odd(c: Column) -> Column:
+    return F.rlike(c, F.lit(ODD)) & (F.size(_odd_chars(c)) > MOST_ODD)
+
+
+#: Characters on which case folding or word bounds of Java and Python may differ: numbers that are no digits, marks, connectors, joiners, letters in circles, relatives of I, K and S, final sigma, and what Java doesn't know.
+DOUBTFUL = r"[\x{80}-\x{10ffff}&&[\p{No}\p{Nl}\p{M}\p{Pc}\p{Cn}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f189}\x{130}\x{131}\x{17f}\x{212a}\x{3a3}\x{3c3}\x{3c2}]]"
+
+
+def crosses(c: Column, p: Policy) -> Column:
+    """Whether json_normal sends a string to Python: it may not be in the Unicode form, holds a doubtful character where that matters, or very many odd ones."""
+    out = may_change(c, p.unicode_form)
+    if p.lower or p.rules():
+        out = out | F.rlike(c, F.lit(DOUBTFUL))
+    return out | many_odd(c)
 
 
 def json_normal(c: Column, p: Policy) -> Column:
-    """json_text(normalize(c, p)) with each string normalized once: in the JVM, or in Python where it has odd characters."""
-    return F.coalesce(_dumped_normal(p)(F.when(F.rlike(c, F.lit(ODD)), c)), _quoted(_escaped(normalize(c, p, form=False))))
+    """json_text(normalize(c, p)) with each string normalized once: in the JVM, or in Python where crosses() says so."""
+    cross = crosses(c, p)
+    return F.coalesce(_dumped_normal(p)(F.when(cross, c)), F.when(~cross, _native_text(normalize(c, p, form=False))))
