@@ -79,12 +79,44 @@ def collapse(c: Column) -> Column:
 
 def synonym_pattern(variant: str) -> str:
     quoted = re.sub(r"([^0-9A-Za-z\s])", r"\\\1", variant)
-    return rf"(?iu)(?<![A-Za-z0-9.]){quoted}(?![A-Za-z0-9])" if "." in variant else rf"(?iuU)\b{quoted}\b"
+    return rf"(?iu:(?<![A-Za-z0-9.]){quoted}(?![A-Za-z0-9]))" if "." in variant else rf"(?iuU:\b{quoted}\b)"
+
+
+def _meet(left: str, right: str) -> bool:
+    """Whether an end of left is a beginning of right."""
+    return any(left.endswith(right[:k]) for k in range(1, min(len(left), len(right)) + 1))
+
+
+def independent(rules: list[tuple[str, str]]) -> bool:
+    """Whether rules (variant, name), longest variant first, give the same in one pass as one after the other.
+
+    Sufficient: variants are ASCII words with dots and spaces; no name holds, begins or ends in a part of a variant; and no variant ends as
+    another begins, except where the shorter one is the beginning of the longer. Then matches neither touch nor make new ones.
+    """
+    variants = [v.lower() for v, _ in rules]
+    if not all(re.fullmatch(r"[A-Za-z0-9](?:[A-Za-z0-9. ]*[A-Za-z0-9.])?", x) for rule in rules for x in rule):
+        return False
+    for v in variants:
+        for name in (n.lower() for _, n in rules):
+            if v in name or _meet(v, name) or _meet(name, v):
+                return False
+        for other in variants:
+            if other != v and any(other.startswith(v[k:]) for k in range(1, len(v))):
+                return False
+    return True
 
 
 def synonyms(c: Column, rules: list[tuple[str, str]]) -> Column:
-    for variant, name in rules:
-        c = F.regexp_replace(c, synonym_pattern(variant), name.replace("\\", "\\\\").replace("$", "\\$"))
+    """Variants become their names: one pass a name where rules are independent, else one a rule, in order."""
+    if independent(rules):
+        by_name: dict[str, list[str]] = {}
+        for variant, name in rules:
+            by_name.setdefault(name, []).append(synonym_pattern(variant))
+        passes = [("|".join(patterns), name) for name, patterns in by_name.items()]
+    else:
+        passes = [(synonym_pattern(variant), name) for variant, name in rules]
+    for pattern, name in passes:
+        c = F.regexp_replace(c, pattern, name.replace("\\", "\\\\").replace("$", "\\$"))
     return c
 
 

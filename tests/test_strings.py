@@ -61,3 +61,33 @@ def test_hashes_of_documents_do_not_change(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r["cf"] for r in docs.select("doc_id", hashing.value_form(docs, "text", policy=DEFAULT).alias("cf")).collect()}
     assert got == {r["doc_id"]: schemaless.canonical_text(json.dumps(r["text"]), DEFAULT) for r in docs.collect() if r["text"] is not None}
+
+
+def rule_sets():
+    rng = random.Random(13)
+    words = ["us", "usa", "u.s.", "u.s.a.", "uk", "u.k.", "a b", "b c", "c", "ab", "ba", "x.", "n.y.", "new york", "s us"]
+    names = ["United States", "United Kingdom", "us", "Big Apple", "b", "A us", "x. y", "$1", "a\\b"]
+    return [tuple((v, rng.choice(names)) for v in rng.sample(words, rng.randrange(1, 6))) for _ in range(60)]
+
+
+def test_synonyms_in_one_pass_equal_those_in_a_row(spark):
+    rng = random.Random(14)
+    parts = ["us", "US", "usa", "U.S.", "u.s.a.", "U.S.A", "uk", "u.k.", "a b c", "ab", "x.", "n.y.", "New York", " ", " ", ".", "-", "s", "1", ".us", "$"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").cache()
+    policies = [Policy("x", synonyms=rules) for rules in rule_sets()] + [DEFAULT]
+    rows = df.select("s", *[strings.synonyms(F.col("s"), p.rules()).alias(str(k)) for k, p in enumerate(policies)]).collect()
+    plain = Policy("x", trim=False, collapse=False)
+    for k, p in enumerate(policies):
+        own = plain.with_(synonyms=p.synonyms)
+        assert [r[str(k)] for r in rows] == [schemaless.normalize(r["s"], own) for r in rows], p.rules()
+    alone = [p for p in policies if strings.independent(p.rules())]
+    assert len(alone) > 5 and len(alone) < len(policies)
+
+
+def test_plan_has_a_pass_for_each_name(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    plan = df.select(strings.synonyms(F.col("s"), DEFAULT.rules()).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+    plan = df.select(strings.synonyms(F.col("s"), [("a b", "x"), ("b c", "y"), ("x", "z")]).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3
