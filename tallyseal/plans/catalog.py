@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyseal.functions import encoding, numbers, schemaless, strings, timestamps
+from tallyseal.functions import encoding, numbers, schemaless, strings, timestamps, variant_json
 from tallyseal.operators import hashing, receipts, sameness, verify
 from tallyseal.operators import keys as K
 from tallyseal.plans.compiler import Compiler
@@ -232,7 +232,7 @@ def input_hash(spark, d):
 
 
 def schemaless_props(spark, d):
-    return _t(spark, d, "events", "event_id", "props").select("event_id", schemaless.canonical_json(F.col("props"), PLAIN).alias("cf"))
+    return variant_json.with_json_form(_t(spark, d, "events", "event_id", "props"), "props", PLAIN, form="cf").select("event_id", "cf")
 
 
 def typed_equals_schemaless(spark, d):
@@ -314,7 +314,7 @@ def envelope_checks(spark, d):
 
 def canonical_bytes(spark, d):
     """Of the receipts of all four forms."""
-    return _receipt_texts(spark, d).select("o_orderkey", schemaless.sorted_json(F.col("receipt"), verify.EXCLUDED).alias("bytes"))
+    return variant_json.with_sorted_json(_receipt_texts(spark, d), "receipt", without=verify.EXCLUDED).select("o_orderkey", "bytes")
 
 
 _BYTES_SQL = (
