@@ -162,16 +162,49 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def sql(templates: dict[str, str] | None = None, threshold: float = 0.8) -> str:
-    rows = ", ".join("('%s', [%s])" % (name, ", ".join(f"'{b}'" for b in bigram_set(t))) for name, t in sorted((templates or TEMPLATES).items()))
+    """The scan, windows included, in DuckDB's SQL."""
+    share = threshold / (2 - threshold)
+    sets = {name: bigram_set(t) for name, t in sorted((templates or TEMPLATES).items())}
+    bounds = {k: (max(1, math.ceil(len(v) * share - 1e-9)), math.floor(len(v) / share + 1e-9)) for k, v in sets.items()}
+    rows = ", ".join("('%s', [%s], %d, %d)" % (k, ", ".join(f"'{b}'" for b in v), *bounds[k]) for k, v in sets.items())
+
+    def dice(own: str, pairs: str) -> str:
+        return f"(2.0::double * len(list_intersect({own}, {pairs})) / (len(list_distinct({pairs})) + len({own})))"
+
     return rf"""
-with t(license, b) as (values {rows}),
-c as (select doc_id, string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) as lines from documents where text is not null),
+with t(license, b, least, most) as (values {rows}),
+tb as (select license, least, unnest(b) as pair from t),
+c as (select row_number() over () as doc, doc_id, string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) as lines from documents where text is not null),
 u as (
-  select doc_id, cast(i as int) as line, lines[i] as s from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from c)
-  union all select doc_id, 0, array_to_string(lines, ' ') from c where len(lines) > 1
+  select doc, doc_id, cast(i as int) as line, lines[i] as s from (select doc, doc_id, lines, unnest(range(1, len(lines) + 1)) as i from c)
+  union all select doc, doc_id, 0, array_to_string(lines, ' ') from c where len(lines) > 1
+),
+w as (select doc, doc_id, line, list_filter(string_split(s, ' '), lambda x: x <> '') as w from u),
+g as materialized (select doc, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+d as (select doc, doc_id, line, license, 2.0::double * len(list_intersect(g, b)) / (len(g) + len(b)) as dice from g cross join t where 2.0 * least(len(g), len(b)) >= {threshold} * (len(g) + len(b))),
+units as (select doc, doc_id, line, license, dice from (select *, row_number() over (partition by doc, line order by dice desc, license) as k from d where dice >= {threshold}) where k = 1),
+-- word windows: of whole texts, words with their lines
+words as (select doc, doc_id, flatten(list_transform(lines, lambda x, i: list_transform(list_filter(string_split(x, ' '), lambda y: y <> ''), lambda y: {{'w': y, 'line': i}}))) as w from c),
+pairs as materialized (select doc, doc_id, list_transform(range(1, len(w)), lambda i: {{'pair': w[i].w || ' ' || w[i + 1].w, 'first': w[i].line, 'last': w[i + 1].line}}) as p from words where len(w) > 1),
+met as (select doc, license, i from (select doc, unnest(range(1, len(p) + 1)) as i, unnest(p).pair as pair from pairs) join tb using (pair)),
+placed as (select m.doc, m.license, list(m.i order by m.i) as places from met m group by m.doc, m.license),
+able as (
+  select pairs.doc, pairs.doc_id, p, t.license, b, least, most, places, list_transform(p, lambda x: x.pair) as all_pairs from placed join pairs on pairs.doc = placed.doc join t on t.license = placed.license
+  where len(list_distinct(list_transform(places, lambda i: p[i].pair))) >= least
+),
+starts as (select *, places[k] as a from (select *, unnest(range(1, len(places) + 1)) as k from able)),
+ends as (select doc, doc_id, license, b, p, a, unnest(list_filter(places[k + least - 1 : ], lambda e: e - a < most)) as e, all_pairs from starts),
+tried as (select doc, doc_id, license, b, a, e, {dice("b", "all_pairs[a : e]")} as dice, len(list_intersect(b, all_pairs[a : e])) as held from ends),
+best as (select * from (select *, row_number() over (partition by doc, license, a order by dice desc, e) as k from tried where dice >= {threshold}) where k = 1),
+listed as (select doc, list({{'a': a, 'e': e, 'license': license, 'dice': dice}} order by held desc, dice desc, license, a, e) as x from best group by doc),
+apart as (
+  select doc, unnest(list_reduce(list_concat([list_filter(x, lambda y: false)], list_transform(x, lambda y: [y])), lambda acc, y: case when len(list_filter(acc, lambda z: z.a <= y[1].e and y[1].a <= z.e)) > 0 then acc else list_concat(acc, y) end)) as y from listed
 ),
-w as (select doc_id, line, list_filter(string_split(s, ' '), lambda x: x <> '') as w from u),
-g as (select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
-d as (select doc_id, line, license, 2.0::double * len(list_intersect(g, b)) / (len(g) + len(b)) as dice from g cross join t where 2.0 * least(len(g), len(b)) >= {threshold} * (len(g) + len(b)))
-select doc_id, line, license, dice from (select *, row_number() over (partition by doc_id, line order by dice desc, license) as k from d where dice >= {threshold}) where k = 1
+windows as (
+  select distinct q.doc, q.doc_id, cast(q.p[y.a].first as int) as line, y.license as license, y.dice as dice
+  from apart join pairs q on q.doc = apart.doc join t on t.license = y.license
+  where {dice("t.b", "list_transform(q.p, lambda x: x.pair)")} < {threshold}
+    and (q.p[y.a].first <> q.p[y.e].last or {dice("t.b", "list_transform(list_filter(q.p, lambda x: x.first = q.p[y.a].first and x.last = q.p[y.a].first), lambda x: x.pair)")} < {threshold})
+)
+select doc_id, line, license, dice from units union all select doc_id, line, license, dice from windows
 """

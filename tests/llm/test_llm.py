@@ -265,6 +265,30 @@ def test_license_scan_reports_each_kind_of_line(spark):
     assert len(cc) == 12 and got == {k: (k, 1.0) for k in cc}
 
 
+def test_license_scan_equals_sql_on_planted_notices(spark):
+    """Notices on a line, wrapped, within lines, changed, twice, and next to each other, in texts of other words: the SQL says the same."""
+    import textwrap
+
+    import duckdb
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
+    rows = [(1, None), (2, ""), (3, "MIT"), (4, "license\n\nlicense")]
+    for k, (_, text) in enumerate(license_scan.TEMPLATES.items()):
+        words = text.split()
+        if len(words) > 12:
+            words[rng.randrange(len(words))] = "changed"
+        other = rng.choice(list(license_scan.TEMPLATES.values()))
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(" ".join(words), rng.choice((72, 40, 30)), break_long_words=False))
+        rows += [(10 * k + 10, text), (10 * k + 11, f"{prose(40)}\n{wrapped}\n{prose(30)}"), (10 * k + 12, f"{prose(20)} {text} {prose(20)} {other}\n{prose(5)}"), (10 * k + 13, f"{text} {other}\n{text}"), (10 * k + 13, wrapped), (None, f"{wrapped}\n{wrapped}\n{prose(60)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    theirs = sorted(con.sql(license_scan.sql()).fetchall(), key=repr)
+    ours = sorted(map(tuple, license_scan.scan(df).collect()), key=repr)
+    assert ours == theirs and len(ours) > 150
+
+
 def test_license_scan_wrapped_notices(spark):
     """Notices wrapped over lines, or within a line, of longer texts; brute force over all word windows."""
     import textwrap
