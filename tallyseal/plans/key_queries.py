@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyseal.functions import crypto, schemaless
-from tallyseal.operators import hashing, key_history, prove, receipts, verify
+from tallyseal.operators import hashing, key_history, policy_change, prove, receipts, verify
 from tallyseal.operators import keys as K
 from tallyseal.operators.index import HashIndex
 from tallyseal.plans import catalog, receipt_queries
@@ -313,6 +313,34 @@ def index_join(spark, d):
     return index.lookup_all(asked).select("c_custkey", "other")
 
 
+# -- a change of policy -------------------------------------------------------------------------------------------------------------------------
+
+
+def class_changes(spark, d):
+    """Events by day under an old policy, by hour and without one field's case under the new: parts that stay, split, merge or mix."""
+    e = catalog._t(spark, d, "events", "ts", "event_type", "user_id")
+    mixed = F.when(F.col("user_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    rows = e.select(_text("ts").alias("ts"), mixed.alias("kind"))
+    old, new = catalog.PLAIN, catalog.PLAIN.with_(granularity="hour", lower=True)
+    hashed = rows.select(*[hashing.digest(hashing.row_form(rows, ["ts", "kind"], policy=p)).alias(n) for n, p in (("old", old), ("new", new))])
+    return policy_change.class_changes(hashed, "old", "new")
+
+
+_CHANGES_SQL = f"""
+with recursive r as materialized (
+  select sha256('{{"_policy_version":"1.0.0","data":{{"kind":"' || k || '","ts":"' || strftime(date_trunc('day', ts), {SQL_ISO}) || '"}}}}') as old,
+         sha256('{{"_policy_version":"1.0.0","data":{{"kind":"' || lower(k) || '","ts":"' || lower(strftime(date_trunc('hour', ts), {SQL_ISO})) || '"}}}}') as new
+  from (select ts, case when user_id % 2 = 0 then upper(event_type) else event_type end as k from events)
+),
+p as materialized (select 'o' || old as a, 'w' || new as b, count(*) as n from r group by all),
+e as materialized (select a as x, b as y from p union select b, a from p),
+reach(x, y) as (select x, x from e union select reach.x, e.y from reach join e on reach.y = e.x),
+part as (select x, min(y) as part from reach group by x)
+select substr(part, 2) as part, case when o = 1 and w = 1 then 'same' when o = 1 then 'split' when w = 1 then 'merged' else 'mixed' end as kind, n, o as old_classes, w as new_classes
+from (select part, sum(n)::bigint as n, count(distinct a) as o, count(distinct b) as w from p join part on part.x = p.a group by part)
+"""
+
+
 QUERIES = {
     "key_validity": (key_validity, _VALIDITY_SQL),
     "public_export": (public_export, _EXPORT_SQL),
@@ -332,5 +360,6 @@ select c_custkey, to_base64(unhex(sha256('{"_policy_version":"7.1","data":{"c_na
     "conformance_report": (conformance_report, _CONFORMANCE_SQL),
     "proof_receipts": (proof_receipts, _PROOF_SQL),
     "index_lookup": (index_lookup, _LOOKUP_SQL),
+    "class_changes": (class_changes, _CHANGES_SQL),
     "index_join": (index_join, "select a.c_custkey, b.c_custkey as other from customer a join customer b using (c_name, c_mktsegment)"),
 }
