@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyseal.functions import schemaless
 from tallyseal.operators import hashing, receipts
+from tallyseal.operators.receipt_store import ReceiptStore
 from tallyseal.plans.policy import DEFAULT, Policy
+from tallyseal.sources.shared import scratch_path
 
 
 def run(vectors: DataFrame, policy: Policy = DEFAULT, only: str | None = None) -> DataFrame:
@@ -31,20 +33,29 @@ def to_sign(results: DataFrame) -> DataFrame:
 
 
 def prove(vectors: DataFrame, keys: DataFrame | None, keyid: str | None, *, public: DataFrame | None = None, policy: Policy = DEFAULT, when: Column | None = None, out: str | None = None, only: str | None = None) -> dict:
-    """Runs, signs, verifies with an independently loaded key table and writes what it found. Without keys nothing is signed."""
-    results = run(vectors, policy, only)
-    n = counts(results).first().asDict()
-    n |= {"receipts": 0, "receipts_valid": 0, "policy_version": policy.version, "hash_algorithm": policy.digest}
+    """Runs, signs, verifies with an independently loaded key table and writes what it found. Without keys nothing is signed.
+
+    Vectors are evaluated once, and receipts signed once: both are written (under `out`, else in the shared scratch folder), counted in the same pass, and read back for what follows.
+    """
+    spark = vectors.sparkSession
+    base = f"{out}/stage" if out else scratch_path(spark, "prove")
+    seen = Observation()
+    made = run(vectors, policy, only).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    made.write.mode("overwrite").parquet(f"{base}/results")
+    n = {k: int(v or 0) for k, v in seen.get.items()} | {"receipts": 0, "receipts_valid": 0, "policy_version": policy.version, "hash_algorithm": policy.digest}
+    results = spark.read.schema(made.schema).parquet(f"{base}/results")
     if keys is not None:
         signed = receipts.sign(to_sign(results), keys, keyid, policy_version=policy.version, algorithm=policy.digest, when=when).withColumn("rid", F.concat_ws(":", "id", "frozen_hash"))
-        checked = receipts.verify(signed, public if public is not None else keys, id_col="rid").agg(F.count("*").alias("n"), F.count_if("valid").alias("ok")).first()
-        n |= {"receipts": checked["n"], "receipts_valid": checked["ok"]}
+        store = ReceiptStore(spark, f"{out}/store" if out else f"{base}/store")
+        n["receipts"] = store.append(signed, "all")["rows"]
+        n["receipts_valid"] = receipts.verify(store.rows("all"), public if public is not None else keys, id_col="rid").agg(F.count_if("valid")).first()[0]
         if out:
-            receipts.save(signed, out)
+            store.receipts("all").write.text(f"{out}/receipts")
+            store.manifest("all").select("receipt_id", "frozen_hash").write.json(f"{out}/manifest")
     n["ok"] = n["failed"] == 0 and n["receipts"] == n["receipts_valid"] and n["total"] > 0
     if out:
         results.select("id", "description", "expect_same", "actual_same", "passed", "fh_a", "fh_b").write.json(f"{out}/results")
-        results.sparkSession.createDataFrame([(line,) for line in summary(n).split("\n")], "value string").coalesce(1).write.text(f"{out}/summary")
+        spark.createDataFrame([(line,) for line in summary(n).split("\n")], "value string").coalesce(1).write.text(f"{out}/summary")
     return n
 
 

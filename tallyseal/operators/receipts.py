@@ -187,11 +187,15 @@ def verify(df: DataFrame, keys: DataFrame, *, id_col: str = "id", payload_type:
     )
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Envelopes as JSON lines and a manifest (receipt_id, frozen_hash), partitioned like the input."""
-    df.select("envelope.*").write.json(f"{path}/receipts")
-    p = payload_of(F.col("envelope"))
-    df.select(p["receipt_id"].alias("receipt_id"), p["frozen_hash"].alias("frozen_hash")).write.json(f"{path}/manifest")
+def save(df: DataFrame, path: str) -> dict:
+    """Envelopes as JSON lines and, after them, a manifest (receipt_id, frozen_hash) as JSON lines, both from one written table (path/store), so that ids agree; returns its numbers."""
+    from tallyseal.operators.receipt_store import ReceiptStore
+
+    store = ReceiptStore(df.sparkSession, f"{path}/store")
+    numbers = store.append(df, "all")
+    store.receipts("all").write.text(f"{path}/receipts")
+    store.manifest("all").select("receipt_id", "frozen_hash").write.json(f"{path}/manifest")
+    return numbers
 
 
 def chain_breaks(df: DataFrame, by: str, order: str, own: str, prior: str) -> DataFrame:
