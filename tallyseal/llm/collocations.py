@@ -31,6 +31,8 @@ from tallyseal.llm.common import LOWER, Scratch, arrow_map, joined_hash, merged_
 from tallyseal.llm.tokens import gather
 
 PAGE = 1 << 16
+SLICE = 1 << 18  # bytes of text looked at together
+HELD = 100_000  # rows of counts that a task merges
 SLICES = 64
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?\n\v\f\r"]] = True
@@ -95,14 +97,15 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 ROW = "lang string, phrase string, n long, page int, part int, data binary"
 
 
-def _page_rows(total: np.ndarray) -> pa.RecordBatch:
+def _page_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pages with anything in them, as rows of ROW."""
     from pyspark import TaskContext
 
-    pages = [(k // PAGE, total[k : k + PAGE].tobytes()) for k in range(0, len(total), PAGE) if total[k : k + PAGE].any()]
-    n, part = len(pages), TaskContext.get().partitionId()
-    cols = [pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in pages], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([x for _, x in pages], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "n", "page", "part", "data"])
+    part = TaskContext.get().partitionId()
+    for k in range(0, len(total), PAGE):
+        if total[k : k + PAGE].any():
+            none = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k // PAGE], pa.int32()), pa.array([part], pa.int32()), pa.array([total[k : k + PAGE].tobytes()], pa.binary())], names=["lang", "phrase", "n", "page", "part", "data"])
 
 
 def _pass(batches, k: int, frequent, buckets_now, next_size: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def _pass(batches, k: int, frequent, buckets_now, next_size: int) -> Iterator[pa
         nonlocal total
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for i, j, data, offs in text_slices(batch):
+            for i, j, data, offs in text_slices(batch, most=SLICE):
                 s = Slice(data, offs, langs[i:j])
                 h, good = s.phrases(k)
                 if k > 1:
@@ -130,12 +133,12 @@ def _pass(batches, k: int, frequent, buckets_now, next_size: int) -> Iterator[pa
                     total[at] += np.minimum(c, 255 - total[at]).astype(np.uint8)
                 yield s.counted(k, h, np.flatnonzero(good))
 
-    for t in merged_counts(tables(), ["lang", "phrase"]):
-        for b in t.combine_chunks().to_batches(max_chunksize=50_000):
+    for t in merged_counts(tables(), ["lang", "phrase"], HELD):
+        for b in t.combine_chunks().to_batches(max_chunksize=20_000):
             none = [pa.nulls(len(b), x) for x in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), b.column(2), *none], names=["lang", "phrase", "n", "page", "part", "data"])
     if next_size:
-        yield _page_rows(total)
+        yield from _page_rows(total)
 
 
 def _folded(pages: DataFrame, parts: int, add: bool) -> DataFrame:

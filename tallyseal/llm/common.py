@@ -71,8 +71,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of at most SLICE_BYTES unless one text is longer; null is empty."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of at most `most` bytes unless one text is longer; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
         col = col.cast(pa.large_binary())
@@ -90,7 +90,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         data, offs = (np.concatenate(keep) if keep else data), full
     i = 0
     while i < n:
-        j = int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1
+        j = int(np.searchsorted(offs, offs[i] + most, "right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j, data[offs[i] : offs[j]], (offs[i : j + 1] - offs[i]).astype(np.int64)
         i = j
