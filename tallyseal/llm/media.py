@@ -4,12 +4,13 @@ A payload is held as a WAV file of 8-bit mono samples and read back from its sto
 bytes. Features: polyphase resampling by 3/4, log-mel filterbanks of overlapped frames,
 and segments by hysteresis on the frames' energy. `features` gives fixed-shape tensors
 (`WINDOW` frames x `MELS` bands, zero-padded) with their time spans, `tensor_table`
-holds them as a fixed-shape tensor Arrow column. A file is worked on in blocks of
+holds them as a fixed-shape tensor Arrow column. Frames are centred, so the first span begins half a frame before the first sample. A file is worked on in blocks of
 frames; what is held whole follows its length by some ten bytes a byte: the payload, the
 stored file, what is read back, and the features.
 
 Edge cases: null and empty texts are one padded payload of spaces; equal texts give
-equal values wherever they lie; null ids and repeated rows are carried through.
+equal values wherever they lie; other columns are not read, whatever their names; an
+empty table gives no rows; null ids and repeated rows are carried through.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tallyseal.llm.common import arrow_map, text_slices
 
 RATE, UP, DOWN = 16_000, 3, 4
 FRAME, HOP, FFT, MELS, WINDOW = 256, 96, 256, 32, 64
+HALF = FRAME // 2
 UNIT = 192
 BLOCK = 2048
 
@@ -99,19 +101,25 @@ def _mel_bank() -> np.ndarray:
 _BANK, _HANN = _mel_bank(), np.hanning(FRAME)
 
 
+def frame_count(total: int) -> int:
+    """Frames of so many resampled samples."""
+    return -(-total // HOP) + 1
+
+
 def log_mel(samples: np.ndarray) -> np.ndarray:
-    """float32 log energies of 8-bit samples after resampling, a row a frame; the last frame is zero-padded. Worked on BLOCK frames at a time."""
+    """float32 log energies of 8-bit samples after resampling, a row a frame. Frames are centred on every HOP-th sample from the first to the last or beyond, with zeros outside, so that no sample lies only where the window vanishes. Worked on BLOCK frames at a time."""
     total = -(-len(samples) * UP // DOWN)
-    n = max(1, -(-max(total - FRAME, 0) // HOP) + 1)
+    n = frame_count(total)
     out = np.empty((n, MELS), np.float32)
     for s in range(0, n, BLOCK):
         count = min(BLOCK, n - s)
-        first, last = s * HOP, min((s + count - 1) * HOP + FRAME, total)
+        begin = s * HOP - HALF
+        first, last = max(begin, 0), min((s + count - 1) * HOP + HALF, total)
         reach = 2 * _PHASES.shape[1]  # inputs that the taps may need around the block
         a, b = max(first * DOWN // UP // DOWN * DOWN - reach * DOWN, 0), min(last * DOWN // UP + reach * DOWN, len(samples))
         x = np.zeros((count - 1) * HOP + FRAME)
         shift = a * UP // DOWN  # a is a multiple of DOWN, so outputs keep their phase
-        x[: last - first] = resample((samples[a:b].astype(np.float64) - 128) / 128, first - shift, last - shift)
+        x[first - begin : last - begin] = resample((samples[a:b].astype(np.float64) - 128) / 128, first - shift, last - shift)
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(frames * _HANN, FFT)) ** 2
         out[s : s + count] = np.round(np.log(power @ _BANK + 1e-6), 2)  # stored to a hundredth
@@ -156,12 +164,12 @@ def tensors(mel: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
     ends = np.minimum(np.arange(1, n + 1) * WINDOW, len(mel))
     active = [int(inside[w * WINDOW : (w + 1) * WINDOW].sum()) for w in range(n)]
     made = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS)), pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), WINDOW * MELS))
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) * WINDOW * HOP / second), pa.array(((ends - 1) * HOP + FRAME) / second), pa.array(active, pa.int32()), made], names=["window", "start_s", "end_s", "active_frames", "tensor"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array((np.arange(n) * WINDOW * HOP - HALF) / second), pa.array(((ends - 1) * HOP + HALF) / second), pa.array(active, pa.int32()), made], names=["window", "start_s", "end_s", "active_frames", "tensor"])
 
 
 def frames_of(rows: pa.RecordBatch) -> np.ndarray:
     """The log-mel rows of a text's tensors, without the padding that their time spans leave out."""
-    n = round((rows.column("end_s")[-1].as_py() * RATE * UP / DOWN - FRAME) / HOP) + 1
+    n = round((rows.column("end_s")[-1].as_py() * RATE * UP / DOWN - HALF) / HOP) + 1
     return rows.column("tensor").storage.flatten().to_numpy().reshape(-1, MELS)[:n]
 
 
