@@ -16,6 +16,10 @@ from tallyseal.plans import policy
 from tallyseal.sources import files
 
 
+#: Malformed lines told on standard error.
+MOST_WARNINGS = 20
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallyseal", description=__doc__)
     commands = p.add_subparsers(dest="command", required=True)
@@ -24,6 +28,8 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--policy", help="TOML file")
     c.add_argument("--vector", help="only the vector with this id")
     c.add_argument("--no-sign", action="store_true")
+    c.add_argument("--keys", help="registry file whose active key signs; without it a new key does")
+    c.add_argument("--keyid", help="another key of the registry")
     c.add_argument("--evidence-dir", help="results, receipts, manifest and summary go there")
     c.add_argument("--verbose", action="store_true", help="a line a vector")
     c = commands.add_parser("verify", help="check receipts, one a file")
@@ -37,10 +43,21 @@ def _parser() -> argparse.ArgumentParser:
 def _prove(spark: SparkSession, a: argparse.Namespace) -> int:
     rules = policy.load(a.policy) if a.policy else policy.DEFAULT
     vectors = files.read_vectors(spark, a.vectors)
-    registry = K.Registry()
-    registry.generate_hmac("run")
-    keys = None if a.no_sign else registry.table(spark)
-    n = P.prove(vectors, keys, None, only=a.vector, policy=rules, out=a.evidence_dir)
+    if a.keyid and not a.keys:
+        raise ValueError("--keyid names a key of --keys")
+    keys = None
+    if a.keys:
+        keys = None if a.no_sign else files.read_keys(spark, a.keys)
+    elif not a.no_sign:
+        registry = K.Registry()
+        registry.generate_hmac("run")
+        keys = registry.table(spark)
+    rejects = files.read_rejects(spark, a.vectors).orderBy("file", "line").limit(MOST_WARNINGS + 1).collect()
+    for r in rejects[:MOST_WARNINGS]:
+        print(f"tallyseal: {r['file']}:{r['line']}: {r['reason']}", file=sys.stderr)
+    if len(rejects) > MOST_WARNINGS:
+        print("tallyseal: and more malformed lines", file=sys.stderr)
+    n = P.prove(vectors, keys, a.keyid, only=a.vector, policy=rules, out=a.evidence_dir)
     if a.verbose:
         for r in P.run(vectors, rules, a.vector).select("id", "description", "passed").toLocalIterator():
             print(f"{'pass' if r['passed'] else 'FAIL'} {r['id']} {r['description']}")

@@ -15,6 +15,7 @@ from tallyseal.operators import keys as K
 from tallyseal.operators.index import HashIndex
 from tallyseal.plans import catalog, receipt_queries
 from tallyseal.plans.policy import from_toml
+from tallyseal.sources import files
 from tallyseal.sources.shared import scratch_path
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -279,6 +280,23 @@ from (select case when same is null then (case when s_suppkey % 3 = 0 then 1 els
 """
 
 
+def vector_rejects(spark, d):
+    """Vectors of events' properties as lines of text, four fifths of them damaged: which lines are none, and why."""
+    e = catalog._t(spark, d, "events", "event_id", "props")
+    k, name = F.col("event_id") % 5, F.concat(F.lit('"e'), F.col("event_id").cast("string"), F.lit('"'))
+    whole = F.concat(F.lit('{"id":'), name, F.lit(',"a":'), "props", F.lit(',"b":'), "props", F.lit(',"expect_same":true}'))
+    line = F.when(k == 0, whole).when(k == 1, F.substr(whole, F.lit(1), F.length(whole) - 1)).when(k == 2, F.replace(whole, F.lit(":true}"), F.lit(':"yes"}'))).when(k == 3, F.concat(F.lit('{"id":'), name, F.lit(',"b":1}'))).otherwise(F.concat(F.lit("["), name, F.lit("]")))
+    path = scratch_path(spark, "vectors")
+    e.select(line.alias("value")).write.text(path)
+    rejects = files.read_rejects(spark, path)
+    return rejects.select(F.regexp_extract("value", '"e([0-9]+)"', 1).cast("long").alias("event_id"), "reason", (F.col("line") > 0).alias("numbered"))
+
+
+_REJECTS_SQL = """
+select event_id, case event_id % 5 when 1 then 'no JSON' when 2 then 'wrong type of expect_same' when 3 then 'no a, expect_same' else 'no object' end as reason, true as numbered from events where event_id % 5 <> 0
+"""
+
+
 # -- the hash index -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -360,6 +378,7 @@ select c_custkey, to_base64(unhex(sha256('{"_policy_version":"7.1","data":{"c_na
     "conformance_report": (conformance_report, _CONFORMANCE_SQL),
     "proof_receipts": (proof_receipts, _PROOF_SQL),
     "index_lookup": (index_lookup, _LOOKUP_SQL),
+    "vector_rejects": (vector_rejects, _REJECTS_SQL),
     "class_changes": (class_changes, _CHANGES_SQL),
     "index_join": (index_join, "select a.c_custkey, b.c_custkey as other from customer a join customer b using (c_name, c_mktsegment)"),
 }
