@@ -10,7 +10,7 @@ lower than its inner part, and are looked for only in texts with enough of a tem
 bigrams in all. A unit is normalised (lower case, everything but letters and digits is one
 space) and becomes its set of word bigrams. A template is compared only if the sizes
 allow the threshold (2 min / (a + b) >= t) and the unit shares a bigram with any
-template; texts and units without a telling word of any template are left out before
+template; texts and units without a telling word or bigram of any template are left out before
 (those sizes allow so few missing bigrams that none of them can reach the threshold). All of it is a projection and a filter of the scan: no shuffle, no Python.
 
 Edge cases: null and empty texts and units of one word match nothing; null ids and
@@ -84,16 +84,31 @@ def bigram_set(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def telling_words(text: str, threshold: float) -> set[str]:
-    """Longest words of a template without any of which a unit can't reach the threshold: too many of the template's bigrams hold one of them."""
-    pairs = bigram_set(text)
-    spare = len(pairs) - len(pairs) * threshold / (2 - threshold)  # so many bigrams may be missing at most
+def telling_parts(templates: dict[str, str], threshold: float) -> tuple[list[str], list[str]]:
+    """(words, bigrams) without any of which a unit can't reach the threshold with any template: too many of each template's bigrams are among them or hold one of them.
+
+    Words have six letters or more; those that serve another template already, then those in many bigrams, come first. Templates of short words are told by bigrams.
+    """
     words: set[str] = set()
-    for w in sorted(set(normalised_words(text)), key=lambda w: (-len(w), w)):
-        words.add(w)
-        if sum(not words.isdisjoint(p.split()) for p in pairs) > spare + 1e-9:
-            break
-    return words
+    told: set[str] = set()
+    for text in sorted(templates.values(), key=len, reverse=True):
+        w = normalised_words(text)
+        pairs = list(dict.fromkeys(zip(w, w[1:], strict=False)))
+        spare = len(pairs) - len(pairs) * threshold / (2 - threshold)  # so many bigrams may be missing at most
+
+        def held(own: set[str], pairs=pairs) -> int:
+            return sum(" ".join(p) in told or not own.isdisjoint(p) for p in pairs)
+
+        long = {x for x in w if len(x) >= 6}
+        for x in sorted(long, key=lambda x: (x not in words, -held({x}), -len(x), x)):
+            if held(words) > spare + 1e-9:
+                break
+            words.add(x)
+        for p in pairs:
+            if held(words) > spare + 1e-9:
+                break
+            told.add(" ".join(p))
+    return sorted(words), sorted(told)
 
 
 def _bigrams(words: Column) -> Column:
@@ -106,13 +121,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, threshold:
     chosen = dict(sorted((templates or TEMPLATES).items()))
     sets = {name: bigram_set(t) for name, t in chosen.items()}
     least = min(len(s) for s in sets.values()) * threshold / (2 - threshold)
-    telling = sorted({w for t in chosen.values() for w in telling_words(t, threshold)})
+    telling, pairs = telling_parts(chosen, threshold)
 
     def may_hold(x: Column) -> Column:
-        hold = F.lit(False)
-        for w in telling:
-            hold = hold | F.contains(x, F.lit(w))
-        return hold
+        """x is lower case; its words are looked up all at once."""
+        hold = F.arrays_overlap(F.split(x, r"[^\p{L}\p{N}]+", -1), F.array(*map(F.lit, telling))) if telling else F.lit(False)
+        return hold | F.rlike(x, F.lit("|".join(p.replace(" ", r"[^\p{L}\p{N}]+") for p in pairs))) if pairs else hold
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_t")).where(may_hold(F.lower("_t")))
     clean = rows.select(id_col, F.explode(F.array(F.regexp_replace(F.lower("_t"), r"[^\p{L}\p{N}\n]+", " "))).alias("clean"))
