@@ -136,11 +136,12 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "strange")).count() == 6
 
 
-def test_token_files_grow_in_number(docs, monkeypatch):
-    few = token_files.file_count(docs)
-    assert few == 8
-    monkeypatch.setattr(token_files, "FILE_BYTES", 1)
-    assert token_files.file_count(docs) > 8
+def test_token_files_grow_in_number(spark, monkeypatch):
+    stored = spark.read.parquet(f"{SF}/documents.parquet")
+    assert token_files.file_count(stored) == 8
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    assert token_files.file_count(stored) > 100
+    assert token_files.file_count(spark.createDataFrame([(1, "a")], "doc_id long, text string")) == 8  # of unknown size
 
 
 def test_token_files_have_stripes_and_indexes(spark, tmp_path):
