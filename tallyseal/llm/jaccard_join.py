@@ -16,7 +16,13 @@ more than `hot_sets` sets are split by size ranges that overlap, and sets of one
 into blocks that meet in pairs, so that no linked pair is parted and no task has more.
 
 A coarse group with more than `group_tokens` tokens or `group_sets` sets is cut into
-blocks by size, and block pairs that the size ranges allow are joined in tasks of their own.
+blocks by size. Each block is joined by itself, together with a few hubs, sets of all
+sizes that go to every block of their range; what the blocks and hubs link is one main
+component in a family of near copies. Two sets of it need not meet any more, so only
+block pairs with a block of other sets are joined, in tasks of their own.
+
+Sets are told apart by 128 bits of a digest. Tables carry a 64-bit name of each, and sets
+with other digests that had one name by chance get others before anything is joined.
 
 Edge cases: exact copies are one set with many documents; null or empty texts have
 an empty set, are linked with nothing and stand alone; a null id takes no part in
@@ -25,6 +31,8 @@ linking and gets a null component; repeated rows give repeated result rows.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseal.llm.common import Scratch, arrow_map, mix, pages_sum, signed, span_hashes, text_slices, window_hashes, word_hashes
+from tallyseal.llm.common import Scratch, arrow_map, pages_sum, signed, span_hashes, text_slices, window_hashes, word_hashes
 
 COUNTERS = 1 << 18
 PAGE = 1 << 12
 BITS = 2048
 HOT_SETS = 20_000
+#: Sets of each size range that meet all sets of a large group near their size.
+HUBS = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -57,10 +67,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """64-bit identity of a set."""
-    with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0])
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128-bit identity of a set of sorted hashes."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -113,28 +122,48 @@ def index_length(n: int, num: int, den: int) -> int:
 
 
 def _prefixes(batches, words: int, num: int, den: int, counters) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, sid, n, tokens, lead, sig) a document, `lead` of the tokens being its index prefix; tokens and signature only the first time that this task meets the set."""
+    """A row (doc_id, k1, k2, n, tokens, lead, sig) a document, `lead` of the tokens being its index prefix; tokens and signature only the first time that this task meets the set."""
     rank, seen = counters.value, set()
     for batch, i, sets in _sets(batches, words):
         ids = batch.column(batch.schema.get_field_index("doc_id")).slice(i, len(sets))
-        sids, sizes, tokens, leads, sigs = [], [], [], [], []
+        keys, sizes, tokens, leads, sigs = [], [], [], [], []
         for s, known in zip(sets, ids.is_valid().to_pylist(), strict=True):
             n = len(s)
-            sid = set_id(s) if n else None
-            sids.append(sid)
+            key = set_key(s) if n else (None, None)
+            keys.append(key)
             sizes.append(n)
             leads.append(index_length(n, num, den) if n else 0)
-            if not known or not n or sid in seen:
+            if not known or not n or key in seen:
                 tokens.append(None)
                 sigs.append(None)
                 continue
             if len(seen) < 1_000_000:
-                seen.add(sid)
+                seen.add(key)
             p = prefix_length(n, num, den)
             order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:p]
             tokens.append(signed(s[order]))
             sigs.append(signature(s))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(leads, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "sid", "n", "tokens", "lead", "sig"])
+        yield pa.RecordBatch.from_arrays(
+            [ids.cast(pa.int64()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(leads, pa.int32()), pa.array(sigs, pa.binary())],
+            names=["doc_id", "k1", "k2", "n", "tokens", "lead", "sig"],
+        )
+
+
+def named(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets(doc_id, k1, k2, n, ...) with a 64-bit name `sid` of their key (null without a key), and each name's (sid, k1, k2, n, smallest doc_id).
+
+    A name is k1; keys that share one get hashes of the whole key instead, and again until every key has a name of its own.
+    """
+    rows, turn = sets.withColumn("sid", F.col("k1")), 0
+    while True:
+        ends = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+        who = scratch.keep(rows.where("sid is not null").groupBy("sid").agg(*ends, F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "names")
+        shared = who.where("min_k1 != max_k1 or min_k2 != max_k2").select("sid", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return rows, who.selectExpr("sid", "min_k1 as k1", "min_k2 as k2", "n", "doc_id")
+        turn += 1
+        name = F.when(F.col("shared"), F.xxhash64("k1", "k2", F.lit(turn))).otherwise(F.col("sid"))
+        rows = scratch.keep(rows.join(shared, "sid", "left").withColumn("sid", name).drop("shared"), "renamed")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -365,6 +394,46 @@ def _link_groups(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def size_range(num: int, den: int):
+    """Column of the range of sizes of `n`: sets that can be linked lie in one range or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)).cast("int")
+
+
+def _cut(rows: DataFrame, by: list[str], tokens: int, sets: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number `cut` each, so that the rows of one number have half of the tokens and sets at most, as a rule; and the numbers of each `by`."""
+    cuts = F.greatest(F.ceil(F.sum("n") * 2 / tokens), F.ceil(F.count("*") * 2 / sets)).alias("cuts")
+    volume = rows.groupBy(*by).agg(cuts)
+    blocks = volume.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    return rows.join(volume, by).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts"))).drop("cuts"), blocks
+
+
+def hub_blocks(large: DataFrame, tokens: int, sets: int) -> DataFrame:
+    """Each block of large(grp, bin, sid, n, data), with hubs of its own and the neighbouring size ranges as further members."""
+    rows, blocks = _cut(large, ["grp", "bin"], tokens, sets)
+    slot = F.pmod(F.xxhash64("sid", F.lit("hub")), F.lit(HUBS)).alias("slot")
+    names = rows.groupBy("grp", "bin", slot).agg(F.min("sid").alias("sid")).drop("slot")
+    hubs = rows.join(names, ["grp", "bin", "sid"]).withColumnsRenamed({"bin": "bin0", "cut": "cut0"})
+    hubs = hubs.withColumn("bin", F.explode(F.array(F.col("bin0") - 1, F.col("bin0"), F.col("bin0") + 1))).join(blocks, ["grp", "bin"]).where("bin != bin0 or cut != cut0")
+    cols = [F.xxhash64("grp", "bin", "cut").alias("grp"), F.lit(0).alias("side"), "sid", "n", "data"]
+    return rows.select(cols).union(hubs.select(cols))
+
+
+def block_pairs(large: DataFrame, labels: DataFrame, tokens: int, sets: int) -> DataFrame:
+    """Pairs of blocks of large(grp, bin, sid, n, data) that may have links, but for pairs within the component of most sets of a group; labels(sid, part) has the sets that are linked already."""
+    rows = large.join(labels, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    main = rows.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("main_part"))
+    rows = rows.join(main, "grp").withColumn("main", F.col("part") == F.col("main_part")).drop("part", "main_part")
+    rows, blocks = _cut(rows, ["grp", "bin", "main"], tokens, sets)
+    other = blocks.withColumnsRenamed({"bin": "bin2", "main": "main2", "cut": "cut2"})
+    order = F.struct("bin2", "main2", "cut2") >= F.struct(F.col("bin").alias("bin2"), F.col("main").alias("main2"), F.col("cut").alias("cut2"))
+    pair = blocks.join(other, "grp").where("bin2 between bin and bin + 1 and not (main and main2)").where(order)
+    key = F.xxhash64("grp", "bin", "main", "cut", "bin2", "main2", "cut2").alias("pair")
+    first = rows.join(pair, ["grp", "bin", "main", "cut"]).select(key.alias("grp"), F.lit(0).alias("side"), "sid", "n", "data")
+    again = pair.where("bin != bin2 or main != main2 or cut != cut2")
+    second = rows.withColumnsRenamed({"bin": "bin2", "main": "main2", "cut": "cut2"}).join(again, ["grp", "bin2", "main2", "cut2"])
+    return first.union(second.select(key.alias("grp"), F.lit(1).alias("side"), "sid", "n", "data"))
+
+
 def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int, int] = (90, 100), group_tokens: int = 4_000_000, group_sets: int = 20_000, hot_sets: int = HOT_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for each row of docs(doc_id, text): links at Jaccard >= threshold, followed to components."""
     spark: SparkSession = docs.sparkSession
@@ -372,7 +441,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counters = spark.sparkContext.broadcast(token_counters(docs, words))  # COUNTERS x 4 bytes
-    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, sid long, n long, tokens array<long>, lead int, sig binary"), "prefixes")
+    sets = scratch.keep(arrow_map(docs, lambda it: _prefixes(it, words, num, den, counters), "doc_id long, k1 long, k2 long, n long, tokens array<long>, lead int, sig binary"), "prefixes")
+    sets, who = named(sets, scratch)
     tokens = sets.where("tokens is not null").select("sid", "n", "lead", F.posexplode("tokens").alias("place", "tok")).withColumn("first", F.col("place") < F.col("lead")).drop("lead", "place")
     # tokens that the same sets share make one group (a mark that two groups have by chance joins them, which loses nothing)
     smallest = F.min(F.when(F.col("first"), F.col("n")))
@@ -381,7 +451,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     shared = shared.where((F.col("lo") != F.col("hi")) & F.col("smallest").isNotNull() & ((F.col("sets") > 2) | (F.col("least") * den >= F.col("most") * num)))  # two sets alone must be of like sizes
     shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets", "smallest")
     rows = tokens.join(shared, "tok").where(F.col("first") | (F.col("n") >= F.col("smallest"))).select("held", "sid", "n", "sets").distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)).cast("int")
+    band = size_range(num, den)
     # a hot group is split by size ranges that overlap, and each into blocks that meet in pairs
     blocks = F.ceil(F.col("sets") * 2 / hot_sets).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
@@ -398,22 +468,22 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     scratch.drop(edges)
 
     # one document stands for each set of a coarse group, and its whole text is read again
-    who = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    member = who.join(coarse.withColumnRenamed("node", "sid"), "sid")
-    member = scratch.keep(member.select("doc_id", "sid", "n", F.col("label").alias("grp")), "members")
+    member = who.where("doc_id is not null").join(coarse.withColumnRenamed("node", "sid"), "sid")
+    member = scratch.keep(member.select("doc_id", "sid", "n", F.col("label").alias("grp"), "k1", "k2"), "members")
     big = scratch.keep(member.groupBy("grp").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).where((F.col("size") > group_tokens) | (F.col("sets") > group_sets)).select("grp"), "big")
     scratch.sweep()
 
     def fetch(batches):
         for batch in batches:
             sid, n, grp = (batch.column(k) for k in (2, 3, 4))
+            keys = list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True))
             for i, j, data, offs in text_slices(batch):
                 got = shingle_sets(data, offs, words)
-                ok = np.array([set_id(s) == x if len(s) else False for s, x in zip(got, sid.slice(i, j - i).to_pylist(), strict=True)])
+                ok = np.array([set_key(s) == x if len(s) else False for s, x in zip(got, keys[i:j], strict=True)])
                 out = [s.tobytes() if k else None for s, k in zip(got, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([sid.slice(i, j - i), n.slice(i, j - i), grp.slice(i, j - i), pa.array(out, pa.binary())], names=["sid", "n", "grp", "data"]).filter(pa.array(ok))
 
-    texts = docs.join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sid", "n", "grp")
+    texts = docs.join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sid", "n", "grp", "k1", "k2")
     full = arrow_map(texts, fetch, "sid long, n long, grp long, data binary")
 
     def solve(rows: DataFrame) -> DataFrame:
@@ -425,24 +495,16 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     else:
         held = scratch.keep(full, "sets")
         small = held.join(big, "grp", "left_anti").withColumn("side", F.lit(0))
-        # blocks of one coarse group: ranges of the size, cut by hash where one size alone is too much
-        bins = held.join(big, "grp").withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * 1.0001)))
-        volume = bins.groupBy("grp", "bin").agg(F.sum("n").alias("v"), F.count("*").alias("k")).withColumn("cuts", F.greatest(F.ceil(F.col("v") * 2 / group_tokens), F.ceil(F.col("k") * 2 / group_sets)))
-        bins = bins.join(volume, ["grp", "bin"]).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts"))).select("grp", "bin", "cut", "sid", "n", "data")
-        blocks = volume.select("grp", "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-        other = blocks.select("grp", F.col("bin").alias("bin2"), F.col("cut").alias("cut2"))
-        pair = blocks.join(other, "grp").where("bin2 between bin and bin + 1 and (bin2 > bin or cut2 >= cut)")
-        key = F.xxhash64("grp", "bin", "cut", "bin2", "cut2").alias("pair")
-        first = bins.join(pair, ["grp", "bin", "cut"]).select(key, F.lit(0).alias("side"), "sid", "n", "data")
-        again = pair.where("bin != bin2 or cut != cut2").select("grp", F.col("bin2"), F.col("cut2"), "bin", "cut")
-        second = bins.withColumnsRenamed({"bin": "bin2", "cut": "cut2"}).join(again, ["grp", "bin2", "cut2"]).select(key, F.lit(1).alias("side"), "sid", "n", "data")
-        links = scratch.keep(solve(small).union(solve(first.union(second).withColumnRenamed("pair", "grp"))), "links")
+        large = held.join(big, "grp").withColumn("bin", band)
+        near = scratch.keep(solve(hub_blocks(large, group_tokens, group_sets)), "near")
+        labels = components(near, scratch).withColumnsRenamed({"node": "sid", "label": "part"})
+        links = scratch.keep(near.union(solve(small)).union(solve(block_pairs(large, labels, group_tokens, group_sets))), "links")
     scratch.sweep()
     fine = components(links, scratch)
-    least = sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = least.join(fine.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    label = scratch.keep(named.join(smallest, "label").select("sid", "component_id"), "labels")
+    least = who.where("doc_id is not null").select("sid", F.col("doc_id").alias("least"))
+    joined = least.join(fine.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+    label = scratch.keep(joined.join(smallest, "label").select("sid", "component_id"), "labels")
     out = sets.select("doc_id", "n", "sid").join(label, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.col("sid").alias("set_id"))
 
