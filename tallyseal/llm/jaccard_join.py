@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyseal.llm.common import Scratch, arrow_map, pages_sum, signed, span_hashes, text_slices, window_hashes, word_hashes
@@ -46,6 +46,8 @@ COUNTERS = 1 << 18
 PAGE = 1 << 12
 BITS = 2048
 HOT_SETS = 20_000
+#: Ids up to so many are sent to all executors to pick rows by; with more, the rows are shuffled.
+FEW_IDS = 2_000_000
 #: Sets of each size range that meet all sets of a large group near their size.
 HUBS = 8
 
@@ -186,6 +188,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return new.selectExpr("u as node", "v as label").union(new.selectExpr("v as node", "v as label").distinct())
 
 
+def picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose id is one of ids(id) (left_semi), or isn't (left_anti). Rows hold texts, so they stay where they are while the ids, counted before, are few."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), ids.columns, how)
+
+
 class _Tree:
     """Signature tree over sets in the order given: node k covers [lo, hi)."""
 
@@ -445,12 +453,14 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
     sets, who = named(sets, scratch)
     tokens = sets.where("tokens is not null").select("sid", "n", "lead", F.posexplode("tokens").alias("place", "tok")).withColumn("first", F.col("place") < F.col("lead")).drop("lead", "place")
     # tokens that the same sets share make one group (a mark that two groups have by chance joins them, which loses nothing)
-    smallest = F.min(F.when(F.col("first"), F.col("n")))
-    shared = tokens.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("sets"), F.bit_xor("sid").alias("mark"), F.min("n").alias("least"), F.max("n").alias("most"), smallest.alias("smallest"))
+    # each token goes to its group's other rows once: sums over a window instead of a join with sums, which would shuffle all tokens twice
+    of = {
+        "lo": F.min("sid"), "hi": F.max("sid"), "sets": F.count("*"), "mark": F.bit_xor("sid"), "least": F.min("n"), "most": F.max("n"), "smallest": F.min(F.when(F.col("first"), F.col("n"))),
+    }
+    shared = tokens.withColumns({k: c.over(Window.partitionBy("tok")) for k, c in of.items()})
     # of a linked pair the smaller set has the first common token in its index prefix: a group without such a set has no link
     shared = shared.where((F.col("lo") != F.col("hi")) & F.col("smallest").isNotNull() & ((F.col("sets") > 2) | (F.col("least") * den >= F.col("most") * num)))  # two sets alone must be of like sizes
-    shared = shared.select("tok", F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sets", "smallest")
-    rows = tokens.join(shared, "tok").where(F.col("first") | (F.col("n") >= F.col("smallest"))).select("held", "sid", "n", "sets").distinct()
+    rows = shared.where(F.col("first") | (F.col("n") >= F.col("smallest"))).select(F.xxhash64("lo", "hi", "sets", "mark").alias("held"), "sid", "n", "sets").distinct()
     band = size_range(num, den)
     # a hot group is split by size ranges that overlap, and each into blocks that meet in pairs
     blocks = F.ceil(F.col("sets") * 2 / hot_sets).cast("int")
@@ -483,7 +493,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, threshold: tuple[int,
                 out = [s.tobytes() if k else None for s, k in zip(got, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([sid.slice(i, j - i), n.slice(i, j - i), grp.slice(i, j - i), pa.array(out, pa.binary())], names=["sid", "n", "grp", "data"]).filter(pa.array(ok))
 
-    texts = docs.join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sid", "n", "grp", "k1", "k2")
+    texts = picked(docs, member.select("doc_id"), "left_semi").join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sid", "n", "grp", "k1", "k2")
     full = arrow_map(texts, fetch, "sid long, n long, grp long, data binary")
 
     def solve(rows: DataFrame) -> DataFrame:
