@@ -34,7 +34,7 @@ def _curve_keys(spark) -> DataFrame:
 def ecdsa_receipts(spark, d):
     """Receipts signed by the table's current ECDSA key, a third relabelled as another key's and a third as an unknown one's, verified by public keys only."""
     keys = _curve_keys(spark)
-    s = catalog._t(spark, d, "supplier", "s_suppkey", "s_name").withColumn("canonical_form", F.col("s_name")).withColumn("frozen_hash", F.sha2("s_name", 256))
+    s = catalog._spread(catalog._t(spark, d, "supplier", "s_suppkey", "s_name")).withColumn("canonical_form", F.col("s_name")).withColumn("frozen_hash", F.sha2("s_name", 256))
     signed = receipts.sign(s, keys, receipt_id=F.col("s_suppkey").cast("string"), when=F.lit(catalog.WHEN))
     who, e = F.element_at(F.array(*map(F.lit, ("first", "second", "nobody"))), (F.col("s_suppkey") % 3 + 1).cast("int")), F.col("envelope")
     moved = signed.withColumn("envelope", F.struct(e["payloadType"].alias("payloadType"), e["payload"].alias("payload"), F.array(F.struct(who.alias("keyid"), e["signatures"][0]["sig"].alias("sig"))).alias("signatures")))
@@ -94,7 +94,7 @@ def _receipts(k: pd.Series, name: pd.Series) -> pd.Series:
 
 def receipt_report(spark, d):
     """Every check of signed receipts of the four formats against a given key; two thirds are damaged."""
-    r = catalog._t(spark, d, "supplier", "s_suppkey", "s_name").select("s_suppkey", _receipts("s_suppkey", "s_name").alias("receipt"), F.lit(crypto.ed25519_public(SEED).hex()).alias("key"))
+    r = catalog._spread(catalog._t(spark, d, "supplier", "s_suppkey", "s_name")).select("s_suppkey", _receipts("s_suppkey", "s_name").alias("receipt"), F.lit(crypto.ed25519_public(SEED).hex()).alias("key"))
     out, c = verify.report(r, id_col="s_suppkey", key_col="key"), F.col("checks")
     return out.select(
         "s_suppkey", "format", "receipt_type", "key_source", F.coalesce(c["signature"], c["dsse_signature"]).alias("signature"), F.coalesce(c["payload_hash"], c["payload_hash_format"], c["payload_hash_present"]).alias("payload_hash"),
