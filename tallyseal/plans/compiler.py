@@ -126,8 +126,11 @@ class Compiler:
             return F.coalesce(self.text(kind.elementType, x, spaced), F.lit("null"))
 
         if is_set and self.p.sort_sets and not self.raw:
-            pairs = F.array_sort(F.transform(c, lambda x: F.struct(F.coalesce(self.text(kind.elementType, x, True), F.lit("null")).alias("k"), one(x).alias("t"))))
-            items = F.transform(pairs, lambda x: x["t"])
+            if isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType)):
+                pairs = F.array_sort(F.transform(c, lambda x: F.struct(F.coalesce(self.text(kind.elementType, x, True), F.lit("null")).alias("k"), one(x).alias("t"))))
+                items = F.transform(pairs, lambda x: x["t"])
+            else:  # a single value has no spaces of its own, so its text orders itself
+                items = F.sort_array(F.transform(c, one))
             if self.p.dedup_sets:
                 items = F.array_distinct(items)
         else:
