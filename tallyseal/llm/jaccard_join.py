@@ -188,10 +188,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return new.selectExpr("u as node", "v as label").union(new.selectExpr("v as node", "v as label").distinct())
 
 
+def are_few(ids: DataFrame) -> bool:
+    return ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+
+
 def picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The rows whose id is one of ids(id) (left_semi), or isn't (left_anti). Rows hold texts, so they stay where they are while the ids, counted before, are few."""
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), ids.columns, how)
+    return rows.join(F.broadcast(ids) if are_few(ids) else ids.hint("shuffle_hash"), ids.columns, how)
 
 
 class _Tree:

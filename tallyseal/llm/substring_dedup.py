@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyseal.llm.common import Scratch, all_columns, arrow_map, signed, span_hashes, text_slices, window_hashes, word_hashes, word_spans
+from tallyseal.llm.jaccard_join import are_few
 
 KGRAM = 8
 LONGEST = 2048  # windows of a segment
@@ -254,24 +255,36 @@ def _rewrite(batches, window: int, texts: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, *more.values()], names=["key", "n_words", "n_removed", "kept_sha256", *["kept"] * texts, *more])
 
 
+def _with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """texts(key, ...) joined (inner, left) with lists(key, ...). Only texts that have a list are shuffled, the others stay where they are, while the keys of lists, counted before, are few."""
+    keys = lists.select("key")
+    if not are_few(keys):
+        return texts.join(lists.hint("shuffle_hash"), "key", how)
+    met = texts.join(F.broadcast(keys), "key", "left_semi").join(lists.hint("shuffle_hash"), "key")
+    return met if how == "inner" else met.unionByName(texts.join(F.broadcast(keys), "key", "left_anti"), allowMissingColumns=True)
+
+
 def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_words: int) -> DataFrame:
     """(key, hits) for keyed(key, text) with unique keys: the segments of a text that hold windows met elsewhere, and which."""
     spark = keyed.sparkSession
     rows = scratch.keep(arrow_map(keyed, lambda it: _route(it, window), "anchor long, seg long, key long, first int, wins int, own boolean"), "segments")
     distinct = rows.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.min(F.struct("key", "first")).alias("at"), F.max("wins").alias("wins"), F.max("own").alias("own"))
     distinct = scratch.keep(distinct.select("anchor", "seg", "weight", "at.key", "at.first", "wins", "own"), "distinct")
+    scratch.sweep()
     size = F.sum(F.col("wins").cast("long") + window - 1)
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("variants"), size.alias("size"), F.max("own").alias("any_own")).where("variants > 1 or any_own")
-    whole = distinct.where("weight > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("marks"))
+    whole = scratch.keep(distinct.where("weight > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("marks")), "whole")
     wanted = distinct.join(shared, "anchor").withColumn("hot", F.col("size") > shard_words)
     wanted = scratch.keep(wanted.groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.struct("anchor", "seg", "first", "wins", "weight"))).alias("wanted"), F.collect_list(F.when(F.col("hot"), F.struct("anchor", "seg", "first", "wins", "weight"))).alias("hot")), "wanted")
-    texts = keyed.join(wanted.hint("shuffle_hash"), "key")
+    scratch.drop(distinct)
+    texts = _with_lists(keyed, wanted, "inner")
     schema = "anchor long, seg long, weight long, words binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = arrow_map(texts.select("key", "text", "wanted"), lambda it: _fetch(it, window, False), schema).repartition(parts, "anchor").sortWithinPartitions("anchor")
     marks = arrow_map(dealt, lambda it: _shards(it, window), "anchor long, seg long, marks array<int>")
     # a segment met twice is repeated as a whole; the automaton's marks of the others
     verdict = marks.join(whole.select("anchor", "seg"), ["anchor", "seg"], "left_anti").union(whole)
+    done = [wanted, whole]
     if not wanted.where(F.size("hot") > 0).isEmpty():
 
         def windows(batches):
@@ -282,7 +295,8 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_words: i
                 at = np.concatenate([np.arange(n) for n in lens]) if len(lens) else lens
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["anchor", "seg", "weight", "at", "win"])
 
-        each = scratch.keep(arrow_map(keyed.join(wanted.where(F.size("hot") > 0).select("key", F.col("hot").alias("wanted")).hint("shuffle_hash"), "key").select("key", "text", "wanted"), windows, "anchor long, seg long, weight long, at int, win long"), "windows")
+        each = scratch.keep(arrow_map(_with_lists(keyed, wanted.where(F.size("hot") > 0).select("key", F.col("hot").alias("wanted")), "inner").select("key", "text", "wanted"), windows, "anchor long, seg long, weight long, at int, win long"), "windows")
+        done.append(each)
         often = each.groupBy("anchor", "win").agg(F.sum("weight").alias("k")).where("k > 1")
         # windows met most often, at most one in HEAVY, would each be one task's; they are sent out if they are few
         once, heavy = each.where("weight = 1"), often.where(F.col("k") > HEAVY).select("anchor", "win")
@@ -295,10 +309,10 @@ def find_repeats(keyed: DataFrame, scratch: Scratch, window: int, shard_words: i
         found = met.groupBy("anchor", "seg").agg(F.collect_set("at").alias("marks"))
         verdict = verdict.union(found)
     verdict = scratch.keep(verdict, "verdict")
-    scratch.drop(distinct)
+    scratch.drop(*done)
     hits = rows.join(verdict, ["anchor", "seg"]).groupBy("key").agg(F.collect_list(F.struct("first", "wins", "marks")).alias("hits"))
     hits = scratch.keep(hits, "hits")
-    scratch.drop(rows, wanted, verdict)
+    scratch.drop(rows, verdict)
     return hits
 
 
@@ -320,7 +334,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, shard_words: int = 240_
         keyed = scratch.keep(keyed.withColumn("key", F.monotonically_increasing_id()), "numbered")
     hits = find_repeats(keyed.select("key", "text"), scratch, window, shard_words)
     own = keyed.select("key", "text", *["_row"] * texts, *([] if texts else [F.struct("doc_id").alias("_row")]))
-    joined = own.join(hits.hint("shuffle_hash"), "key", "left").select("key", "text", "hits", "_row")
+    joined = _with_lists(own, hits, "left").select("key", "text", "hits", "_row")
     schema = T.StructType.fromDDL("key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts).add(joined.schema["_row"])
     out = arrow_map(joined, lambda it: _rewrite(it, window, texts), schema)
     if not texts:

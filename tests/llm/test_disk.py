@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyseal.llm import jaccard_join, pipeline
+from tallyseal.llm import jaccard_join, pipeline, substring_dedup
 
 
 @pytest.fixture
@@ -50,3 +50,34 @@ def test_tokens_are_shuffled_once(spark, docs, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     (dealt,) = [p for p in plans if "hashpartitioning(held" in p]
     assert dealt.count("hashpartitioning(tok") == 1
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+@pytest.mark.parametrize("shard_words", [0, 240_000])
+def test_texts_without_repeats_stay(spark, docs, monkeypatch, most, shard_words):
+    monkeypatch.setattr(jaccard_join, "FEW_IDS", most)
+    out = substring_dedup.remove_repeats(docs, shard_words=shard_words)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join LeftSemi" in plan and "Join LeftAnti" in plan and "strategy=broadcast" in plan) == (most > 0)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out.collect()}
+    near = {k for k in range(0, 200, 10)}
+    assert got == {**{k: (60, 60 * (k in near)) for k in range(200)}, **{k + 1000: (61, 60) for k in near}}
+
+
+def test_tables_of_repeats_go_when_done(spark, docs, monkeypatch):
+    kept, gone = [], []
+    keep, drop = substring_dedup.Scratch.keep, substring_dedup.Scratch.drop
+
+    def keeps(self, df, name):
+        kept.append((name, list(gone)))
+        return keep(self, df, name)
+
+    def drops(self, *tables):
+        gone.extend(t._scratch_path.rsplit("-", 1)[-1] for t in tables)
+        drop(self, *tables)
+
+    monkeypatch.setattr(substring_dedup.Scratch, "keep", keeps)
+    monkeypatch.setattr(substring_dedup.Scratch, "drop", drops)
+    substring_dedup.remove_repeats(docs, shard_words=0)
+    before = dict(kept)
+    assert "distinct" in before["windows"] and {"windows", "wanted", "whole"} <= set(before["hits"]) and {"segments", "verdict"} <= set(gone)
