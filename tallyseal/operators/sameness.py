@@ -26,8 +26,8 @@ def match_counts(left: DataFrame, right: DataFrame, id_col: str, hash_col: str =
 
 
 def keep_first(df: DataFrame, order: str, hash_col: str = "frozen_hash") -> DataFrame:
-    """The row with the smallest order of each class: an aggregate, not a window, so that a hot class is reduced before the shuffle."""
-    return df.groupBy(hash_col).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row")).select("_row.*")
+    """The row with the smallest order of each class, nulls last: an aggregate, not a window, so that a hot class is reduced before the shuffle."""
+    return df.groupBy(hash_col).agg(F.min_by(F.struct("*"), F.struct(F.col(order).isNull(), F.col(order))).alias("_row")).select("_row.*")
 
 
 def policy_diff(df: DataFrame, one: str, two: str) -> DataFrame:
